@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import bpe
+from lociq.llm import bpe, pii, quality_rules
 from lociq.llm.common import table
 
 
@@ -21,8 +21,19 @@ def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op5_quality_divergence)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_transducer,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
