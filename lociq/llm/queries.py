@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import bpe, pii, quality_rules
+from lociq.llm import bpe, discriminant, pii, quality_rules
 from lociq.llm.common import table
 
 
@@ -25,11 +25,15 @@ def op2_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op5_quality_divergence)
+QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op3_quality_discriminant, op5_quality_divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
