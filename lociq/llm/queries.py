@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import bpe, discriminant, pii, quality_rules
+from lociq.llm import bpe, decontaminate, discriminant, near_duplicates, pii, quality_rules
 from lociq.llm.common import table
 
 
@@ -33,7 +33,15 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op3_quality_discriminant, op5_quality_divergence)
+def op6_decontamination_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op3_quality_discriminant, op5_quality_divergence, op6_decontamination_cgk, op7_minhash_inverted_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
