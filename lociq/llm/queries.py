@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import bpe, decontaminate, discriminant, near_duplicates, pii, quality_rules
+from lociq.llm import bpe, decontaminate, discriminant, html_text, near_duplicates, pii, quality_rules
 from lociq.llm.common import table
 
 
@@ -41,7 +41,11 @@ def op7_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op3_quality_discriminant, op5_quality_divergence, op6_decontamination_cgk, op7_minhash_inverted_join)
+def op8_html_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op3_quality_discriminant, op5_quality_divergence, op6_decontamination_cgk, op7_minhash_inverted_join, op8_html_block_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
