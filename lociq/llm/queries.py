@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import bpe, decontaminate, discriminant, html_text, near_duplicates, pii, quality_rules
+from lociq.llm import bpe, chat_pairs, decontaminate, discriminant, html_text, licenses, near_duplicates, pii, quality_rules, secrets
 from lociq.llm.common import table
 
 
@@ -45,7 +45,19 @@ def op8_html_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op3_quality_discriminant, op5_quality_divergence, op6_decontamination_cgk, op7_minhash_inverted_join, op8_html_block_rules)
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_pairs.segments(chat_pairs.neighbours(table(spark, sf_dir, "conversations")))
+
+
+def op9_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op3_quality_discriminant, op4_preference_pairs, op5_quality_divergence, op6_decontamination_cgk, op7_minhash_inverted_join, op8_html_block_rules, op9_license_set_join, op10_secret_ownership)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -53,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_preference_pairs": chat_pairs.ORACLE}
