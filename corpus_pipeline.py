@@ -1,31 +1,60 @@
 """A training-corpus pipeline: quality rules, near-duplicates, benchmark leaks, personal
-data, token ids. Each stage reads what the stage before it has written."""
+data, token ids. Each stage reads what the stage before it has written, and works on every
+document that was kept; all but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lociq.llm import bpe
+from lociq.llm import bpe, decontaminate, near_duplicates, pii, quality_rules
 from lociq.llm.common import shared_dir, table
 from lociq.llm.queries import vocabulary
 
 
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each kept text: the last stage, a row per document."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    kept = quality_rules.judge(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, on five-word shingles at 0.8; of
+    rows that share an id, one."""
+    kept = near_duplicates.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes a tag of its kind; the length column follows."""
+    return pii.redact_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with digests of the ids and of what they decode to."""
     return bpe.encode_documents(docs, vocabulary(), with_ids=True)
 
 
 STAGES = [
-    ("bpe", encoded),
+    ("quality rules", quality),
+    ("near-duplicates", near_duplicate_groups),
+    ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("token ids", token_ids),
 ]
 
-#: BPE cannot be stated in SQL; tests hold run() against a brute-force version.
+#: SQL cannot state BPE or the boosted spans; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, at = table(spark, sf_dir, "documents"), shared_dir(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/stage-{k}")
+        docs = spark.read.parquet(f"{at}/stage-{k}")
     return docs
