@@ -135,3 +135,13 @@ def usual_copy_number(regions: DataFrame, track: DataFrame) -> DataFrame:
     counts = range_join(regions.select("region_id", "chr", "start", "end"), spans, points=True).groupBy("region_id", "cn").agg(F.count("*").alias("n"))
     best = counts.groupBy("region_id").agg(F.min(F.struct(-F.col("n"), F.abs(F.col("cn") - 2), "cn")).alias("b")).select("region_id", F.col("b.cn").alias("cn"))
     return regions.select("region_id").join(best, "region_id", "left").select("region_id", F.coalesce("cn", F.lit(2)).alias("cn"))
+
+
+def running_depth(rafs: DataFrame) -> DataFrame:
+    """Adds depth: intervals begun so far that still reach past this one's start, itself
+    included, in genome order (W05). Ends count before starts at one place."""
+    row = F.struct("end", "read_id")
+    starts = rafs.select("chr", F.col("start").alias("at"), F.lit(1).alias("change"), row.alias("row"))
+    ends = rafs.select("chr", F.col("end").alias("at"), F.lit(-1).alias("change"), row.alias("row"))
+    order = W.partitionBy("chr").orderBy("at", "change", "row").rowsBetween(W.unboundedPreceding, 0)
+    return starts.union(ends).withColumn("depth", F.sum("change").over(order)).where("change = 1").select("chr", F.col("at").alias("start"), F.col("row.end").alias("end"), F.col("row.read_id").alias("read_id"), "depth")
