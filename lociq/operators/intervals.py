@@ -55,7 +55,8 @@ def range_join(
 ) -> DataFrame:
     """Every pair of the same key whose intervals overlap, once.
 
-    within: also pairs at most so far apart. points: empty intervals count as one base.
+    within: also pairs less than so far apart. points: empty intervals count as one base;
+    otherwise one overlaps what lies on both its sides.
     Other column names must differ between the sides.
     """
     (ls, le), (rs, re_) = left_span, right_span
