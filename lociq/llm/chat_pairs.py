@@ -33,7 +33,7 @@ def rendered():
 def neighbours(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Pairs for a table that names none: conversations 2k and 2k + 1, the even one chosen."""
     conv = F.coalesce(F.col(id_col), F.lit(-1)).cast("bigint")
-    return conversations.select("*", F.floor(conv / 2).cast("bigint").alias("pair_id"), (F.pmod(conv, F.lit(2)) == 0).alias("is_chosen"))
+    return conversations.select("turn", "role", "text", F.floor(conv / 2).cast("bigint").alias("pair_id"), (F.pmod(conv, F.lit(2)) == 0).alias("is_chosen"))
 
 
 def segments(turns: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "x": [statistics(t) for t in batch["t"]]})
+            if len(batch):
+                yield pd.DataFrame({"k": batch["k"], "x": [statistics(t) for t in batch["t"]]})
 
     return docs.select(F.col(id_col).alias("k"), text_or_empty(text_col).alias("t")).mapInPandas(run, f"k {kind}, x array<double>")
 
