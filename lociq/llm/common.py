@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lociq-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one run in the shared folder. A table that is written and read back
+    survives lost executors, cuts the lineage, and is a plain scan for what joins it next;
+    those that are used up are dropped at once, the others with the session."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.n = spark, shared_dir(spark), 0
+        atexit.register(self.drop)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.at}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *but: DataFrame) -> None:
+        """Deletes the tables, except those that the given ones read."""
+        try:
+            keep = {p.rsplit("/", 2)[-2] for df in but for p in df.inputFiles()}
+            jvm = self.spark._jvm
+            fs = jvm.org.apache.hadoop.fs.Path(self.at).getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for k in range(1, self.n + 1):
+                if str(k) not in keep:
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.at}/{k}"), True)
+        except Exception:  # at exit the session may be gone
+            if but:
+                raise
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: reliable across lost
-    executors, a short lineage, and a plain scan for whatever joins it next."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """df written to the shared folder and read back."""
+    return Scratch(df.sparkSession).cut(df)
 
 
 def text_or_empty(col: str = "text"):

@@ -26,6 +26,7 @@ reported once for each row. Empty tables give no rows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -187,15 +188,31 @@ class Index:
             offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             pairs.append(np.stack([np.repeat(hit, count), order[table][np.repeat(low[hit], count) + offset]]))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for w, i in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
-            distance = edits(own[i][1], flat[starts[w] : ends[w]], most)
-            if distance <= most:
-                key, start = (int(owner[starts[w]]), i), int(starts[w])
-                best[key] = min(best.get(key, (n + 1, 0)), (distance, start))
+        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        for i in np.unique(found[1]).tolist():
+            at = found[0][found[1] == i]
+            # A window within the allowed edits shares so many words with the item at least.
+            for w in at[np.isin(windows[at], own[i][1]).sum(axis=1) >= n - most].tolist():
+                start = int(starts[w])
+                distance = edits(own[i][1], flat[start : ends[w]], most)
+                if distance <= most:
+                    key = int(owner[start]), i
+                    best[key] = min(best.get(key, (n + 1, 0)), (distance, start))
         for (doc, i), (distance, start) in best.items():
             yield doc, own[i][0], start - int(first[doc]), n, distance
 
 
+_LAST: dict[str, Index] = {}
+
+
+def index_of(name: str, items: list[tuple[int, str]]) -> Index:
+    """The index of a block, made once in each Python worker; one block is kept."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Index(items)
+    return _LAST[name]
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items by blocks of bounded number and size; an item longer than a block's size
     is a block of its own."""
@@ -216,8 +233,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for items in blocks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value)
+        def run(batches: Iterator[pd.DataFrame], shared=shared, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            index = index_of(name, shared.value)
             for batch in batches:
                 ids = list(batch["k"])
                 found = [np.array(list(map(index.vocabulary.__getitem__, words_of(t))), dtype=np.int32) for t in batch["t"]]

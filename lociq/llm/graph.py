@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.common import cut
+from lociq.llm.common import Scratch
 
 
-def components(links: DataFrame, labels: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, labels: DataFrame | None = None, scratch: Scratch | None = None, most_rounds: int = 60) -> DataFrame:
     """(node, label) of every node that has a link; label is the smallest node it reaches.
 
     links: (a, b). labels: earlier labels, whose nodes and reach are kept. Each round takes
     the least label among the neighbours and then follows labels of labels, so the number
     of rounds grows with the logarithm of a component's width. Every round is written to
-    the checkpoint folder; a node with very many links is no single task's work, since its
+    the shared folder; a node with very many links is no single task's work, since its
     join is between fresh scans and the minimum is taken before the shuffle.
     """
+    cut = (scratch or Scratch(links.sparkSession)).cut
     edges = links.select("a", "b").where("a <> b")
     if labels is not None:
         edges = edges.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b"))

@@ -16,7 +16,8 @@ no pair inside a component is made.
 
 Null text, or text without words, has no set and is linked with nothing. Texts with fewer
 words than a shingle are one shingle. Rows that share an id are one document for links
-and still give a row each. Ids must be integers; the smallest id names a component.
+and still give a row each. Ids must be integers; the smallest id names a component; a row
+without an id belongs to its copies' component and is kept only where it has none.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.common import cut, text_or_empty
+from lociq.llm.common import Scratch, text_or_empty
 from lociq.llm.graph import components
 
-COORDINATES, MATCHES = 64, 36
+COORDINATES, MATCHES = 32, 15
 PREFIX = COORDINATES - MATCHES + 1
 #: A hub's set is copied to this many groups at most, for the confirmation of its links.
 SPREAD = 128
+#: Bits of the bitmap that picks the documents to make sets of: 16 MB.
+BITS = 1 << 27
 #: Remembered words of a Python worker.
 CACHE_ENTRIES = 400_000
 
@@ -105,45 +108,54 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id bigint, n bigint, same binary, postings array<bigint>")
 
 
+def bitmap(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of the wanted ids: `BITS` / 8 bytes, whatever their number."""
+    place = F.pmod(F.xxhash64("node"), F.lit(BITS))
+    parts = wanted.select(F.floor(place / 32768).alias("part"), (place % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, found): the sets of the wanted documents, made again from their texts."""
+    """(node, found, postings) of the wanted documents, and of the few whose hash falls on
+    one of theirs; made again from the texts, which are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), shared.value
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "found": [shingles(t, width, hashes).view(np.int64) for t in batch["text"]]})
-
-    chosen = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    return chosen.mapInPandas(run, "node bigint, found array<bigint>")
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are as similar as asked. b may be a hub of very
-    many pairs: its row is copied to the groups that its pairs are dealt to."""
-    group = F.pmod(F.hash("a"), F.lit(SPREAD)).alias("part")
-
-    def beside(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
-        dealt = pairs.select("*", group)
-        spread = dealt.select("b", "part").distinct().join(side.withColumnRenamed("node", "b").withColumnRenamed(column, f"{column}_b"), "b")
-        return dealt.join(side.withColumnRenamed("node", "a").withColumnRenamed(column, f"{column}_a"), "a").join(spread, ["b", "part"]).drop("part")
-
-    counted = beside(pairs, nodes.select("node", "postings"), "postings")
-    agree = F.expr("aggregate(zip_with(postings_a, postings_b, (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END), 0, (s, x) -> s + x)")
-    likely = cut(counted.where(agree >= MATCHES).select("a", "b"))
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    sets = cut(full_sets(docs, wanted, width).dropDuplicates(["node"]))
-    both = beside(likely, sets, "found")
-    shared = both.select("a", "b", (F.size("found_a") + F.size("found_b")).alias("total"), F.size(F.array_intersect("found_a", "found_b")).alias("inter"))
-    return cut(shared.where(F.expr(f"100L * inter >= {percent}L * (total - inter)")).select("a", "b"))
-
-
-def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
+            place = batch["place"].to_numpy()
+            batch = batch[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+            found = [shingles(t, width, hashes) for t in batch["text"]]
+            if found:
+                yield pd.DataFrame({"node": batch["doc_id"].to_numpy(), "found": [x.view(np.int64) for x in found], "postings": [signature(x) for x in found]})
+
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("place"))
+    return rows.mapInPandas(run, "node bigint, found array<bigint>, postings array<bigint>")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) that agree in enough coordinates and whose sets are as
+    similar as asked. b may be a hub of very many pairs: its row is copied to the groups
+    that its pairs are dealt to, never to more than it has pairs."""
+    sets = scratch.cut(full_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), width))
+    dealt = pairs.select("*", F.pmod(F.hash("a"), F.lit(SPREAD)).alias("part"))
+    spread = dealt.select("b", "part").distinct().join(sets.select(F.col("node").alias("b"), F.col("found").alias("found_b"), F.col("postings").alias("postings_b")), "b")
+    both = dealt.join(sets.withColumnRenamed("node", "a"), "a").join(spread, ["b", "part"])
+    agree = F.expr("aggregate(zip_with(postings, postings_b, (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END), 0, (s, x) -> s + x)")
+    shared = both.where(agree >= MATCHES).select("a", "b", (F.size("found") + F.size("found_b")).alias("total"), F.size(F.array_intersect("found", "found_b")).alias("inter"))
+    return scratch.cut(shared.where(F.expr(f"100L * inter >= {percent}L * (total - inter)")).select("a", "b").distinct())
+
+
+def prefixes(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(posting, size_class, node, n): each class's rarest postings, under its own size
     class and the next, which is as far as similar sets can differ in size."""
-    posted = nodes.select("node", "n", F.explode("postings").alias("posting"))
-    shared = cut(posted.groupBy("posting").agg(F.count("*").alias("holders")).where("holders > 1"))
+    posted = nodes.select("node", F.explode("postings").alias("posting"))
+    shared = scratch.cut(posted.groupBy("posting").agg(F.count("*").alias("holders")).where("holders > 1"))
     held = posted.join(shared, "posting")
-    rarest = held.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "posting"))).alias("held"))  # at most COORDINATES each
+    rarest = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "posting"))).alias("held")).join(nodes.select("node", "n"), "node")  # at most COORDINATES each
     # Postings that nobody else holds come first in rarity and use up the prefix.
     left = f"{PREFIX} - ({COORDINATES} - size(held))"
     kept = rarest.where(f"{left} > 0").select("node", "n", F.explode(F.expr(f"slice(held, 1, {left})")).alias("p"))
@@ -152,15 +164,16 @@ def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
     return kept.select(F.col("p.posting").alias("posting"), F.explode(F.array(size_class, size_class + 1)).alias("size_class"), "node", "n")
 
 
-def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """(node, label) of the classes that are linked with another."""
-    posts, key = cut(prefixes(nodes, percent)), ["posting", "size_class"]
+    cut, key = scratch.cut, ["posting", "size_class"]
+    posts = cut(prefixes(nodes, percent, scratch))
     hubs = cut(posts.groupBy(key).agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1"))
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)")
     sized = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"))
     stars = posts.join(hubs.drop("m"), key).where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "n").distinct()
     stars = cut(stars.join(sized, "b").where(fits).select("a", "b"))
-    labels = components(confirmed(stars, nodes, docs, width, percent))
+    labels = components(confirmed(stars, docs, width, percent, scratch), None, scratch)
     # What the hubs have not settled: pairs of different components that share a posting.
     named = cut(posts.join(labels, "node", "left").select(*key, "node", "n", F.coalesce("label", "node").alias("label")))
     open_keys = cut(named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key))
@@ -169,15 +182,17 @@ def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     across = rest.join(other, key).where((F.col("node") > F.col("b")) & (F.col("label") != F.col("label_b")) & fits)
     pairs = across.select(F.col("node").alias("a"), "b").distinct()
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
-    return components(confirmed(pairs, nodes, docs, width, percent), labels)
+    return components(confirmed(pairs, docs, width, percent, scratch), labels, scratch)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    seen = cut(signed(docs, width))
-    nodes = cut(seen.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("postings").alias("postings")))
-    labels = links(nodes, docs, width, percent)
-    classes = cut(nodes.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("component")))
+    scratch = Scratch(docs.sparkSession)
+    seen = scratch.cut(signed(docs, width))
+    nodes = scratch.cut(seen.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("postings").alias("postings")))
+    labels = links(nodes, docs, width, percent, scratch)
+    classes = scratch.cut(nodes.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("component")))
+    scratch.drop(seen, classes)
     out = seen.select("doc_id", "n", "same").join(classes, "same", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))

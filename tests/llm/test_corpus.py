@@ -75,7 +75,7 @@ def test_near_duplicate_edges(spark, edge_docs, no_docs):
     by_id = collections.defaultdict(set)
     for r in out:
         by_id[r.doc_id].add((r.n_shingles, r.component_id, r.kept))
-    assert by_id[0] == {(0, 0, True)} and by_id[1] == {(0, 1, True)} and by_id[6] == by_id[5] and by_id[4] == {(18, 4, True)}
+    assert by_id[0] == {(0, 0, True)} and by_id[1] == {(0, 1, True)} and by_id[6] == by_id[5] and by_id[4] == {(20, 4, True)}
     assert near_duplicates.near_duplicates(no_docs).collect() == []
 
 
