@@ -8,9 +8,9 @@ over the whole corpus; values that no other document has count among these witho
 posted (the skip). Candidates that the prefixes bring together are counted over all
 coordinates, and those above the match threshold are confirmed on their full sets.
 
-Copies of one set are one class, and only classes are joined. Within a posting every
-class is first held against one hub, so a large group of near copies costs a link each
-and not a pair each. Components follow; then only pairs that lie in different components
+Copies of one set are one class, and only classes are joined. Each class first meets one
+hub in every posting and is tested with the best of these, so a large group of near copies
+costs a link each and not a pair each. Components follow; then only pairs that lie in different components
 and still share a posting are tested, all of them. No link between components is lost and
 no pair inside a component is made.
 
@@ -119,7 +119,7 @@ def bitmap(wanted: DataFrame) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, found, postings) of the wanted documents, and of the few whose hash falls on
+    """(node, found) of the wanted documents, and of the few whose hash falls on
     one of theirs; made again from the texts, which are not shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
@@ -130,22 +130,36 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             batch = batch[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
             found = [shingles(t, width, hashes) for t in batch["text"]]
             if found:
-                yield pd.DataFrame({"node": batch["doc_id"].to_numpy(), "found": [x.view(np.int64) for x in found], "postings": [signature(x) for x in found]})
+                yield pd.DataFrame({"node": batch["doc_id"].to_numpy(), "found": [x.view(np.int64) for x in found]})
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("place"))
-    return rows.mapInPandas(run, "node bigint, found array<bigint>, postings array<bigint>")
+    return rows.mapInPandas(run, "node bigint, found array<bigint>")
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, agree) of the pairs that agree in enough coordinates, from 15 bits of each:
+    these can only count too many, and what passes is confirmed on full sets. b may be a
+    hub of very many pairs: its row is copied to the groups that its pairs are dealt to."""
+    short = nodes.select("node", F.expr("transform(postings, p -> cast(pmod(shiftright(p, 20), 32768L) AS smallint))").alias("short"))
+    dealt, spread = dealt_out(pairs, short.withColumnRenamed("short", "short_b"))
+    both = dealt.join(short.withColumnRenamed("node", "a"), "a").join(spread, ["b", "part"])
+    agree = F.expr("aggregate(zip_with(short, short_b, (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END), 0, (s, x) -> s + x)")
+    return both.select("a", "b", agree.alias("agree")).where(F.col("agree") >= MATCHES)
+
+
+def dealt_out(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs with a group for each, and b's row once for each group that needs it:
+    never more copies than b has pairs, and `SPREAD` at most."""
+    dealt = pairs.select("*", F.pmod(F.hash("a"), F.lit(SPREAD)).alias("part"))
+    return dealt, dealt.select("b", "part").distinct().join(rows.withColumnRenamed("node", "b"), "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) that agree in enough coordinates and whose sets are as
-    similar as asked. b may be a hub of very many pairs: its row is copied to the groups
-    that its pairs are dealt to, never to more than it has pairs."""
+    """Those of the pairs (a, b) whose sets are as similar as asked."""
     sets = scratch.cut(full_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), width))
-    dealt = pairs.select("*", F.pmod(F.hash("a"), F.lit(SPREAD)).alias("part"))
-    spread = dealt.select("b", "part").distinct().join(sets.select(F.col("node").alias("b"), F.col("found").alias("found_b"), F.col("postings").alias("postings_b")), "b")
+    dealt, spread = dealt_out(pairs, sets.withColumnRenamed("found", "found_b"))
     both = dealt.join(sets.withColumnRenamed("node", "a"), "a").join(spread, ["b", "part"])
-    agree = F.expr("aggregate(zip_with(postings, postings_b, (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END), 0, (s, x) -> s + x)")
-    shared = both.where(agree >= MATCHES).select("a", "b", (F.size("found") + F.size("found_b")).alias("total"), F.size(F.array_intersect("found", "found_b")).alias("inter"))
+    shared = both.select("a", "b", (F.size("found") + F.size("found_b")).alias("total"), F.size(F.array_intersect("found", "found_b")).alias("inter"))
     return scratch.cut(shared.where(F.expr(f"100L * inter >= {percent}L * (total - inter)")).select("a", "b").distinct())
 
 
@@ -168,12 +182,13 @@ def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch:
     """(node, label) of the classes that are linked with another."""
     cut, key = scratch.cut, ["posting", "size_class"]
     posts = cut(prefixes(nodes, percent, scratch))
-    hubs = cut(posts.groupBy(key).agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1"))
+    hubs = cut(posts.groupBy(key).agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("holders")).where("holders > 1").select(*key, F.col("hub.node").alias("b"), F.col("hub.n").alias("m")))
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)")
-    sized = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"))
-    stars = posts.join(hubs.drop("m"), key).where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "n").distinct()
-    stars = cut(stars.join(sized, "b").where(fits).select("a", "b"))
-    labels = components(confirmed(stars, docs, width, percent, scratch), None, scratch)
+    stars = cut(posts.join(hubs, key).where((F.col("node") > F.col("b")) & fits).select(F.col("node").alias("a"), "b").distinct())
+    # A class is tested with the hub that it agrees with best; its others come below.
+    best = agreeing(stars, nodes).groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("least"))).alias("best"))
+    tested = cut(best.select("a", (-F.col("best.least")).alias("b")))
+    labels = components(confirmed(tested, docs, width, percent, scratch), None, scratch)
     # What the hubs have not settled: pairs of different components that share a posting.
     named = cut(posts.join(labels, "node", "left").select(*key, "node", "n", F.coalesce("label", "node").alias("label")))
     open_keys = cut(named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key))
@@ -181,7 +196,8 @@ def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch:
     other = rest.select(*key, F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
     across = rest.join(other, key).where((F.col("node") > F.col("b")) & (F.col("label") != F.col("label_b")) & fits)
     pairs = across.select(F.col("node").alias("a"), "b").distinct()
-    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+    pairs = cut(agreeing(pairs, nodes).select("a", "b"))
     return components(confirmed(pairs, docs, width, percent, scratch), labels, scratch)
 
 
