@@ -37,8 +37,8 @@ from lociq.llm.graph import components
 
 COORDINATES, MATCHES = 32, 15
 PREFIX = COORDINATES - MATCHES + 1
-#: A hub's set is copied to this many groups at most, for the confirmation of its links.
-SPREAD = 128
+#: Pairs of a block, on average, in the confirmation of links.
+BLOCK_PAIRS = 20_000
 #: Bits of the bitmap that picks the documents to make sets of: 16 MB.
 BITS = 1 << 27
 #: Remembered words of a Python worker.
@@ -91,9 +91,23 @@ def signature(found: np.ndarray) -> np.ndarray:
     return ((low & ~np.uint64(COORDINATES - 1)) | np.arange(COORDINATES, dtype=np.uint64)).view(np.int64)
 
 
+def lanes(postings: np.ndarray) -> tuple[int, int]:
+    """Four bits of each coordinate, sixteen coordinates to a number."""
+    bits = ((postings >> 20) & 15).reshape(2, 16) << np.arange(0, 64, 4)
+    low, high = np.bitwise_or.reduce(bits, axis=1).tolist()
+    return low, high
+
+
+def agree(other: str) -> str:
+    """SQL for the coordinates whose four bits agree in the lanes of this row and those
+    with a suffix: never fewer than agree in full, so what it rules out is no link."""
+    differ = lambda x: f"(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)"
+    return f"({COORDINATES} - bit_count({differ(f'(low ^ low{other})')}) - bit_count({differ(f'(high ^ high{other})')}))"
+
+
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, same, postings): set size, a digest that copies of a set share, and
-    the signature."""
+    """(doc_id, n, same, postings, low, high): set size, a digest that copies of a set
+    share, the signature, and a few bits of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -102,10 +116,11 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             for key, text in zip(batch["doc_id"], batch["text"]):
                 found = shingles(text, width, hashes)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
-                rows.append((key, len(found), digest, signature(found) if len(found) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "postings"])
+                sign = signature(found) if len(found) else None
+                rows.append((key, len(found), digest, sign, *(lanes(sign) if len(found) else (0, 0))))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "postings", "low", "high"])
 
-    return docs.mapInPandas(run, "doc_id bigint, n bigint, same binary, postings array<bigint>")
+    return docs.mapInPandas(run, "doc_id bigint, n bigint, same binary, postings array<bigint>, low bigint, high bigint")
 
 
 def bitmap(wanted: DataFrame) -> np.ndarray:
@@ -136,68 +151,66 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInPandas(run, "node bigint, found array<bigint>")
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, agree) of the pairs that agree in enough coordinates, from 15 bits of each:
-    these can only count too many, and what passes is confirmed on full sets. b may be a
-    hub of very many pairs: its row is copied to the groups that its pairs are dealt to."""
-    short = nodes.select("node", F.expr("transform(postings, p -> cast(pmod(shiftright(p, 20), 32768L) AS smallint))").alias("short"))
-    dealt, spread = dealt_out(pairs, short.withColumnRenamed("short", "short_b"))
-    both = dealt.join(short.withColumnRenamed("node", "a"), "a").join(spread, ["b", "part"])
-    agree = F.expr("aggregate(zip_with(short, short_b, (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END), 0, (s, x) -> s + x)")
-    return both.select("a", "b", agree.alias("agree")).where(F.col("agree") >= MATCHES)
-
-
-def dealt_out(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs with a group for each, and b's row once for each group that needs it:
-    never more copies than b has pairs, and `SPREAD` at most."""
-    dealt = pairs.select("*", F.pmod(F.hash("a"), F.lit(SPREAD)).alias("part"))
-    return dealt, dealt.select("b", "part").distinct().join(rows.withColumnRenamed("node", "b"), "b")
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are as similar as asked."""
+    """Those of the pairs (a, b) whose sets are as similar as asked.
+
+    Pairs are dealt to a square of blocks by a's and b's hashes, about `BLOCK_PAIRS` to
+    each, and a set goes once to every block that needs it: a document of very many pairs
+    is spread over a row of blocks, and no pair carries sets through a shuffle."""
+    spark = pairs.sparkSession
     sets = scratch.cut(full_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), width))
-    dealt, spread = dealt_out(pairs, sets.withColumnRenamed("found", "found_b"))
-    both = dealt.join(sets.withColumnRenamed("node", "a"), "a").join(spread, ["b", "part"])
-    shared = both.select("a", "b", (F.size("found") + F.size("found_b")).alias("total"), F.size(F.array_intersect("found", "found_b")).alias("inter"))
-    return scratch.cut(shared.where(F.expr(f"100L * inter >= {percent}L * (total - inter)")).select("a", "b").distinct())
+    side = max(4, math.isqrt(pairs.count() // BLOCK_PAIRS) + 1)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    dealt = pairs.withColumn("block", place("a") * side + place("b"))
+    of = lambda c: dealt.select(c, "block").distinct().join(sets.withColumnsRenamed({"node": c, "found": f"found_{c}"}), c).repartition("block")
+    both = dealt.repartition("block").join(of("a"), ["block", "a"]).join(of("b"), ["block", "b"])
+    shared = both.select("a", "b", (F.size("found_a") + F.size("found_b")).alias("total"), F.size(F.array_intersect("found_a", "found_b")).alias("inter"))
+    alike = shared.where(F.expr(f"100L * inter >= {percent}L * (total - inter)")).select("a", "b")
+    # What lies together by block need not be dealt again by block and id.
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return scratch.cut(alike)
+    finally:
+        spark.conf.set(key, before)
 
 
 def prefixes(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(posting, size_class, node, n): each class's rarest postings, under its own size
+    """(posting, size_class, node, n, low, high): each class's rarest postings, under its own size
     class and the next, which is as far as similar sets can differ in size."""
     posted = nodes.select("node", F.explode("postings").alias("posting"))
     shared = scratch.cut(posted.groupBy("posting").agg(F.count("*").alias("holders")).where("holders > 1"))
     held = posted.join(shared, "posting")
-    rarest = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "posting"))).alias("held")).join(nodes.select("node", "n"), "node")  # at most COORDINATES each
+    rarest = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "posting"))).alias("held")).join(nodes.select("node", "n", "low", "high"), "node")  # at most COORDINATES each
     # Postings that nobody else holds come first in rarity and use up the prefix.
     left = f"{PREFIX} - ({COORDINATES} - size(held))"
-    kept = rarest.where(f"{left} > 0").select("node", "n", F.explode(F.expr(f"slice(held, 1, {left})")).alias("p"))
+    kept = rarest.where(f"{left} > 0").select("node", "n", "low", "high", F.explode(F.expr(f"slice(held, 1, {left})")).alias("p"))
     step = math.log(100 / percent)
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    return kept.select(F.col("p.posting").alias("posting"), F.explode(F.array(size_class, size_class + 1)).alias("size_class"), "node", "n")
+    return kept.select(F.col("p.posting").alias("posting"), F.explode(F.array(size_class, size_class + 1)).alias("size_class"), "node", "n", "low", "high")
 
 
 def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """(node, label) of the classes that are linked with another."""
     cut, key = scratch.cut, ["posting", "size_class"]
     posts = cut(prefixes(nodes, percent, scratch))
-    hubs = cut(posts.groupBy(key).agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("holders")).where("holders > 1").select(*key, F.col("hub.node").alias("b"), F.col("hub.n").alias("m")))
-    fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)")
-    stars = cut(posts.join(hubs, key).where((F.col("node") > F.col("b")) & fits).select(F.col("node").alias("a"), "b").distinct())
+    hubs = posts.groupBy(key).agg(F.min(F.struct("node", "n", "low", "high")).alias("hub"), F.count("*").alias("holders")).where("holders > 1")
+    hubs = cut(hubs.select(*key, F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.low").alias("low_b"), F.col("hub.high").alias("high_b")))
+    fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND {agree('_b')} >= {MATCHES}")
     # A class is tested with the hub that it agrees with best; its others come below.
-    best = agreeing(stars, nodes).groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("least"))).alias("best"))
+    stars = posts.join(hubs, key).where((F.col("node") > F.col("b")) & fits)
+    best = stars.groupBy(F.col("node").alias("a")).agg(F.max(F.struct(F.expr(agree("_b")).alias("agree"), (-F.col("b")).alias("least"))).alias("best"))
     tested = cut(best.select("a", (-F.col("best.least")).alias("b")))
     labels = components(confirmed(tested, docs, width, percent, scratch), None, scratch)
     # What the hubs have not settled: pairs of different components that share a posting.
-    named = cut(posts.join(labels, "node", "left").select(*key, "node", "n", F.coalesce("label", "node").alias("label")))
+    named = cut(posts.join(labels, "node", "left").select(*key, "node", "n", "low", "high", F.coalesce("label", "node").alias("label")))
     open_keys = cut(named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key))
     rest = cut(named.join(open_keys, key, "left_semi"))
-    other = rest.select(*key, F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
+    other = rest.select(*key, F.col("node").alias("b"), F.col("n").alias("m"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("label").alias("label_b"))
     across = rest.join(other, key).where((F.col("node") > F.col("b")) & (F.col("label") != F.col("label_b")) & fits)
     pairs = across.select(F.col("node").alias("a"), "b").distinct()
     pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-    pairs = cut(agreeing(pairs, nodes).select("a", "b"))
     return components(confirmed(pairs, docs, width, percent, scratch), labels, scratch)
 
 
@@ -206,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession)
     seen = scratch.cut(signed(docs, width))
-    nodes = scratch.cut(seen.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("postings").alias("postings")))
+    nodes = scratch.cut(seen.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("postings", "low", "high"))))
     labels = links(nodes, docs, width, percent, scratch)
     classes = scratch.cut(nodes.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("component")))
     scratch.drop(seen, classes)
