@@ -3,12 +3,13 @@
 A benchmark item of n words is leaked by a document that has a window of n words (or,
 being shorter, is such a window itself) within `EDITS` of n edits of the item, words
 being lower-cased runs of letters and digits. The random-walk (CGK) embedding writes a window
-out as 3n symbols, stepping to the next word or staying by random bits that depend on the
+out as 2n symbols, stepping to the next word or staying by random bits that depend on the
 step and the word: few edits become few differing places. Each of several walks is sampled
-at a few places a table; windows that share a table's samples with an item of the same
-length are compared with it by exact edit distance. `WALKS` and `TABLES` are set so that
-at the largest distance still asked for more than 0.95 of the leaks share a sample;
-nearer ones do so more surely, and exact copies always.
+at a few places a table, all below 2n, where the walk still moves; windows that share a
+table's samples with an item of the same length are compared with it by exact edit
+distance. `WALKS` and `TABLES` are set so that at the largest distance still asked for
+more than 0.95 of the leaks share a sample, which a test holds for each length of 8 to 60
+words; nearer ones do so more surely, and exact copies always.
 
 Before embedding, windows too poor in words of the benchmark are passed over: a window
 within e edits shares n - e words with its item, and at least j of the item's e + j rarest
@@ -39,7 +40,9 @@ from lociq.llm.common import text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
 LEAST_WORDS, EDITS = 8, 0.2
-WALKS, TABLES, SAMPLES = 8, 8, 3
+WALKS, TABLES, SAMPLES = 16, 16, 3
+#: Windows whose walks are held at once.
+STEP_WINDOWS = 1024
 #: Of an item's rarest words beyond its allowed edits, those that a window must show.
 RARE = 4
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16_000_000
@@ -75,39 +78,61 @@ def edits(item: np.ndarray, window: np.ndarray, most: int) -> int:
 
 
 class Walks:
-    """The walks and sampled places for windows of n words; the same in every task."""
+    """The walks and sampled places for windows of n words; the same in every task.
+
+    A walk takes its n words in about 2n steps, and places are drawn below that. Factors
+    have all 64 bits, so that the walk also leaves small numbers and the unknown word 0."""
 
     def __init__(self, n: int):
         rng = np.random.RandomState(n)
-        self.n, self.steps = n, 3 * n
-        draw = lambda *shape: rng.randint(0, 2**62, shape).astype(np.uint64) | np.uint64(1)
-        self.factors = draw(WALKS, self.steps)
-        places = [np.stack([np.sort(rng.choice(self.steps, SAMPLES, replace=False)) for _ in range(TABLES)]) for _ in range(WALKS)]
-        self.places, self.mixers = places, draw(SAMPLES)
+        self.n, self.steps = n, 2 * n
+        draw = lambda *shape: rng.randint(0, 2**64, shape, dtype=np.uint64) | np.uint64(1)
+        self.factors, self.mixers, self.salts = draw(self.steps, WALKS, 1), draw(SAMPLES), draw(WALKS, TABLES, 1)
+        self.places = np.array([[rng.choice(self.steps, SAMPLES, replace=False) for _ in range(TABLES)] for _ in range(WALKS)])
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
-        """(WALKS * TABLES, windows) sample keys of an array of windows of word numbers."""
+        """(WALKS * TABLES, windows) sample keys of an array of windows of word numbers; 0
+        where a sample shows unknown words or the end only, which is a key of nothing."""
         m, n = windows.shape
-        padded = np.concatenate([windows, np.zeros((m, 1), windows.dtype)], axis=1).astype(np.uint64)
-        rows, out = np.arange(m), []
-        for walk in range(WALKS):
-            at, seen = np.zeros(m, dtype=np.int64), {}
-            needed = set(self.places[walk].ravel().tolist())
-            for step in range(max(needed) + 1):
-                symbol = padded[rows, at]
-                if step in needed:
-                    seen[step] = symbol
-                with np.errstate(over="ignore"):
-                    bit = ((symbol + np.uint64(1)) * self.factors[walk, step]) >> np.uint64(63)
-                at = np.minimum(at + bit.astype(np.int64), n)
-            for table in self.places[walk]:
-                key = np.zeros(m, np.uint64)
-                with np.errstate(over="ignore"):
-                    for place, mixer in zip(table.tolist(), self.mixers):
-                        key = (key ^ seen[place]) * mixer
-                        key ^= key >> np.uint64(29)
-                out.append(key)
-        return np.stack(out)
+        padded = np.concatenate([windows, np.zeros((m, 1), windows.dtype)], axis=1).astype(np.uint32).ravel()
+        row = np.arange(m) * (n + 1)
+        at, symbols = np.tile(row, (WALKS, 1)), np.empty((self.steps, WALKS, m), np.uint32)
+        for step in range(self.steps):
+            symbol = symbols[step] = padded[at]
+            bit = ((symbol.astype(np.uint64) + np.uint64(1)) * self.factors[step]) >> np.uint64(63)
+            at = np.minimum(at + bit.astype(np.int64), row + n)
+        key, shows = np.tile(self.salts, (1, 1, m)), np.zeros((WALKS, TABLES, m), dtype=bool)
+        for k in range(SAMPLES):
+            symbol = symbols[self.places[:, :, k], np.arange(WALKS)[:, None]]
+            shows |= symbol > 0
+            key = (key ^ symbol) * self.mixers[k]
+            key ^= key >> np.uint64(29)
+        return np.where(shows, key, np.uint64(0)).reshape(WALKS * TABLES, m)
+
+
+class Keys:
+    """The sample keys of items of one length, sorted, with a bit map that passes over most
+    keys of other windows."""
+
+    def __init__(self, walks: Walks, items: np.ndarray):
+        parts = [walks.keys(items[at : at + STEP_WINDOWS]) for at in range(0, len(items), STEP_WINDOWS)]
+        keys = np.concatenate(parts, axis=1)
+        item = np.broadcast_to(np.arange(len(items), dtype=np.int32), keys.shape)[keys > 0]
+        keys = keys[keys > 0]
+        order = np.argsort(keys)
+        self.keys, self.item = keys[order], item[order]
+        self.mask = np.uint64((1 << max(16, (8 * len(keys)).bit_length())) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.bits[keys & self.mask] = True
+
+    def pairs(self, keys: np.ndarray) -> np.ndarray:
+        """Distinct (window, item) that share a key, as two rows."""
+        table, window = np.nonzero(self.bits[keys & self.mask])
+        key = keys[table, window]
+        low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        count = high - low
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.unique(np.stack([np.repeat(window, count), self.item[np.repeat(low, count) + offset]]), axis=1)
 
 
 class Index:
@@ -135,9 +160,7 @@ class Index:
                 rarest = words[np.lexsort((words, -spelt[words], items_with[words]))]
                 self.rare[n][rarest[: int(EDITS * n) + min(RARE, n - int(EDITS * n))]] = True
             walks = Walks(n)
-            keys = walks.keys(np.stack([w for _, w in own]))
-            order = np.argsort(keys, axis=1, kind="stable")
-            self.lengths[n] = (own, walks, np.take_along_axis(keys, order, axis=1), order)
+            self.lengths[n] = (own, walks, Keys(walks, np.stack([w for _, w in own])))
 
     def search(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """(document's place, item_id, first word, item's words, edits), the nearest window
@@ -152,7 +175,7 @@ class Index:
         last = first + sizes
         rare_at = np.flatnonzero(np.logical_or.reduce(list(self.rare.values()))[flat[: len(owner)]]) if self.rare else np.zeros(0, np.int64)
         known = np.concatenate([[0], np.cumsum(flat > 0, dtype=np.int64)])
-        for n, (own, walks, keys, order) in self.lengths.items():
+        for n in self.lengths:
             most = int(EDITS * n)
             need = min(RARE, n - most)
             shown = rare_at[self.rare[n][flat[rare_at]]]
@@ -173,22 +196,15 @@ class Index:
             starts, ends = starts[whole], ends[whole]
             enough = known[ends] - known[starts] >= n - most
             starts, ends = starts[enough], ends[enough]
-            for at in range(0, len(starts), 8192):
-                yield from self._compare(flat, owner, first, starts[at : at + 8192], ends[at : at + 8192], n, most)
+            for at in range(0, len(starts), STEP_WINDOWS):
+                yield from self._compare(flat, owner, first, starts[at : at + STEP_WINDOWS], ends[at : at + STEP_WINDOWS], n, most)
 
     def _compare(self, flat, owner, first, starts, ends, n, most):
-        own, walks, keys, order = self.lengths[n]
+        own, walks, keys = self.lengths[n]
         places = starts[:, None] + np.arange(n)
         windows = np.where(places < ends[:, None], flat[np.minimum(places, len(flat) - 1)], 0)
-        pairs = []
-        for table, key in enumerate(walks.keys(windows)):
-            low, high = np.searchsorted(keys[table], key, "left"), np.searchsorted(keys[table], key, "right")
-            hit = np.flatnonzero(high > low)
-            count = (high - low)[hit]
-            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            pairs.append(np.stack([np.repeat(hit, count), order[table][np.repeat(low[hit], count) + offset]]))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        found = keys.pairs(walks.keys(windows))
         for i in np.unique(found[1]).tolist():
             at = found[0][found[1] == i]
             # A window within the allowed edits shares so many words with the item at least.

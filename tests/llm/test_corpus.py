@@ -140,6 +140,46 @@ def test_leaks_against_brute_force(spark, changes):
     assert changes or found == wanted
 
 
+def edited(rng, words, k, kind, word):
+    """words after k edits: substitutions, or deletions and insertions in equal parts."""
+    copy = list(words)
+    if kind == "substitutions":
+        for at in rng.sample(range(len(copy)), k):
+            copy[at] = word()
+        return copy
+    for at in sorted(rng.sample(range(len(copy)), k // 2), reverse=True):
+        del copy[at]
+    for _ in range(k // 2):
+        copy.insert(rng.randint(1, len(copy) - 1), word())
+    return copy
+
+
+@pytest.mark.parametrize("kind", ["substitutions", "indels"])
+@pytest.mark.parametrize("known", [False, True])
+def test_recall_at_the_most_edits_of_every_length(kind, known):
+    """Copies with int(0.2n) edits, the new words outside the benchmark or of it."""
+    missed = {}
+    for n in range(8, 61):
+        rng = random.Random(n)
+        items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for _ in range(60)]
+        word = (lambda: f"w{rng.randrange(3000)}") if known else (lambda: f"x{rng.randrange(3000)}")  # noqa: B023
+        index = decontaminate.Index([(j, " ".join(words)) for j, words in enumerate(items)])
+        docs = [[word() for _ in range(5)] + edited(rng, words, int(0.2 * n), kind, word) + [word() for _ in range(5)] for words in items]
+        found = {(r[0], r[1]) for r in index.search([np.array([index.vocabulary[w] for w in d], dtype=np.int32) for d in docs])}
+        recall = sum((j, j) in found for j in range(60)) / 60
+        if recall <= 0.95:
+            missed[n] = recall
+    assert not missed
+
+
+def test_unrelated_windows_share_few_samples():
+    rng = np.random.RandomState(0)
+    for n in range(8, 61):
+        items, windows = (rng.randint(1, 3000, (100, n)).astype(np.int32) for _ in range(2))
+        walks = decontaminate.Walks(n)
+        assert decontaminate.Keys(walks, items).pairs(walks.keys(windows)).shape[1] <= 0.05 * 100 * 100, n
+
+
 def test_leak_blocks_and_edges(spark, edge_docs, no_docs, monkeypatch):
     docs, items = planted(9, 0)
     tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, (99, None), (98, "too short")], "item_id bigint, text string")
