@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space and word alphabets that the contracts fix.
@@ -57,5 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).cut(df)
 
 
+def row_key(df: DataFrame) -> Column:
+    """63 bits of a digest of all columns and of which are null: a verdict on a row finds
+    back by it where ids are null or repeated. Only whole copies share it, but for a chance
+    of about 1 in 100,000 that any two of 15 million rows do."""
+    return F.shiftrightunsigned(F.xxhash64(*df.columns, *(F.col(c).isNull() for c in df.columns)), 1)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))

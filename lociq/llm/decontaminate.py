@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.common import text_or_empty
+from lociq.llm.common import row_key, text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
 LEAST_WORDS, EDITS = 8, 0.2
@@ -266,7 +266,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that leak an item."""
-    found = leaks(docs, benchmark, id_col, text_col).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the rows that leak an item, whatever their ids."""
+    keyed = docs.withColumn("row_key", row_key(docs))
+    found = leaks(keyed, benchmark, "row_key", text_col).select("row_key").distinct()
+    return keyed.join(found, "row_key", "left_anti").select(*docs.columns)

@@ -223,3 +223,19 @@ def test_pipeline_stages_keep_columns_and_edges(spark, edge_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, SF).columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_pipeline_stages_judge_rows_and_not_ids(spark):
+    """Null and repeated ids: each row stays or goes by its own text."""
+    words = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' AND length(text) > 600").orderBy("doc_id").limit(12).collect()]
+    kept = {r.text for r in corpus_pipeline.quality(spark, spark.createDataFrame([(i, "en", t) for i, t in enumerate(words)], "doc_id bigint, lang string, text string"), SF).collect()}
+    a, b, c, d = [t for t in words if t in kept][:4]
+    table = lambda *rows: spark.createDataFrame([(i, "en", t) for i, t in rows], "doc_id bigint, lang string, text string")
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    docs = table((None, a), (None, "bad"), (1, b), (1, "bad too"), (2, c), (None, None))
+    assert rows(corpus_pipeline.quality(spark, docs, SF)) == sorted([(None, a), (1, b), (2, c)], key=str)
+    docs = table((None, a), (None, a), (None, b), (1, c), (1, d), (5, a + " more"), (None, d), (7, b), (3, b), (1, c), (None, None))
+    assert rows(corpus_pipeline.near_duplicate_groups(spark, docs, SF)) == sorted([(5, a + " more"), (1, c), (1, d), (3, b), (None, None)], key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    docs = table((None, a), (None, f"see {item} there"), (1, b), (1, f"{item} it was"), (2, c))
+    assert rows(corpus_pipeline.decontamination(spark, docs, SF)) == sorted([(None, a), (1, b), (2, c)], key=str)
