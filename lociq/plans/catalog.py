@@ -345,6 +345,13 @@ def cr_components(spark, d):
     return graph.components(edges)
 
 
+@query()
+def cr_components_whole(spark, d):
+    """All rows; the recursive SQL is too slow for them, so a test holds it against union-find."""
+    edges = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_suppkey AS a", "l_partkey + 1000000000 AS b").distinct()
+    return graph.components(edges)
+
+
 @query()
 def pack_batches(spark, d):
     found = candidates.numbered(candidates.regions(view(spark, d, "v_signal"))).withColumnRenamed("region_id", "container_id")
@@ -559,6 +566,16 @@ def inversion_quads(spark, d):
     return patterns.quads(spark.sql(FOURS.format("lociq_lineitem")))
 
 
+ALL_BREAKS = FOURS.replace(" WHERE l_linenumber <= 4", "")
+
+
+@query(f"""WITH b AS ({ALL_BREAKS.format('lineitem')}), q AS (SELECT consensus_id, max(ref) FILTER (WHERE ord = 1) AS a, max(ref) FILTER (WHERE ord = 2) AS b, max(ref) FILTER (WHERE ord = 3) AS c, max(ref) FILTER (WHERE ord = 4) AS d FROM b GROUP BY 1 HAVING count(*) = 4 AND max(ord) = 4)
+    SELECT consensus_id, CASE WHEN abs(c - b) < abs(d - a) - 5 THEN 'INV-DEL' WHEN abs(c - b) > abs(d - a) + 5 THEN 'INV-DUP' ELSE 'INV' END AS pattern, CASE WHEN abs(c - b) < abs(d - a) - 5 THEN abs(d - a) ELSE abs(c - b) END AS size FROM q""")
+def inversion_quads_whole(spark, d):
+    spark.read.parquet(f"{d}/lineitem.parquet").createOrReplaceTempView("lociq_lineitem")
+    return patterns.quads(spark.sql(ALL_BREAKS.format("lociq_lineitem")))
+
+
 @query("""WITH g AS (SELECT l_partkey AS composite_id, l_returnflag AS sample, l_suppkey AS consensus_id, CAST(abs(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END * CAST(l_quantity AS BIGINT))) AS BIGINT) AS size, count(DISTINCT l_orderkey) AS support FROM lineitem GROUP BY 1, 2, 3)
     SELECT composite_id, sample, consensus_id, size, support FROM g QUALIFY row_number() OVER (PARTITION BY composite_id ORDER BY support DESC, sample, consensus_id) = 1""")
 def best_group_size(spark, d):

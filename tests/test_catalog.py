@@ -41,3 +41,17 @@ def test_query_equals_sql(spark, other, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_components_of_all_rows_equal_union_find(spark, other):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in other.sql("SELECT DISTINCT l_suppkey, l_partkey + 1000000000 FROM lineitem").fetchall():
+        r, t = sorted((root(a), root(b)))
+        parent[t] = r
+    assert {r.node: r.component for r in catalog.QUERIES["cr_components_whole"](spark, SF).collect()} == {x: root(x) for x in parent}
