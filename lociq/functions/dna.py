@@ -42,18 +42,30 @@ def kmer_similarity(counts: DataFrame, pairs: DataFrame, id_col: str) -> DataFra
 ON_READ, ON_REFERENCE, CLIPS = ("M", "I", "=", "X"), ("M", "D", "N", "=", "X"), ("S", "H")
 
 
+def running(values: str, element: str) -> str:
+    """SQL for the sums before each element of an array of bigint. In blocks of the square
+    root of its length, so that no prefix is copied more often than that."""
+    step = f"greatest(32, cast(sqrt(size({values})) AS int))"
+    fold = "aggregate({0}, named_struct('p', {1}, 'a', cast(array() AS array<bigint>)), ({2}, v) -> named_struct('p', {2}.p + v, 'a', concat({2}.a, array({2}.p))), {2} -> {2}.a)"
+    parts = f"transform(sequence(0, cast((size({values}) - 1) / {step} AS int)), j{element} -> slice({values}, j{element} * {step} + 1, {step}))"
+    sums = f"transform({parts}, c{element} -> aggregate(c{element}, 0L, (s, v) -> s + v))"
+    return f"CASE WHEN size({values}) > 0 THEN flatten(zip_with({parts}, {fold.format(sums, '0L', 't' + element)}, (c, o) -> {fold.format('c', 'o', 'u' + element)})) ELSE cast(array() AS array<bigint>) END"
+
+
 def cigar_blocks(cigar: str = "cigar", ref_start: str = "pos") -> Column:
     """The CIGAR as an array of (op, len, read_start, read_end, ref_start, ref_end), places
-    counted from the alignment's first base, clips included on the read (P01)."""
-    parts = f"transform(regexp_extract_all({cigar}, '([0-9]+)([MIDNSHP=X])', 0), x -> struct(right(x, 1) AS op, cast(left(x, length(x) - 1) AS bigint) AS len))"
-    on_read = "p.op IN ('M','I','=','X','S','H')"
-    on_ref = "p.op IN ('M','D','N','=','X')"
-    fold = f"""aggregate({parts},
-        named_struct('q', 0L, 'r', cast({ref_start} AS bigint), 'a', cast(array() AS array<struct<op: string, len: bigint, read_start: bigint, read_end: bigint, ref_start: bigint, ref_end: bigint>>)),
-        (s, p) -> named_struct('q', s.q + if({on_read}, p.len, 0L), 'r', s.r + if({on_ref}, p.len, 0L),
-            'a', concat(s.a, array(named_struct('op', p.op, 'len', p.len, 'read_start', s.q, 'read_end', s.q + if({on_read}, p.len, 0L), 'ref_start', s.r, 'ref_end', s.r + if({on_ref}, p.len, 0L))))),
-        s -> s.a)"""
-    return F.expr(fold)
+    counted from the alignment's first base, clips included on the read (P01). Places are
+    sums of the lengths before, taken in blocks, so a long read's CIGAR is no square."""
+    numbers = f"transform(regexp_extract_all({cigar}, '([0-9]+)[MIDNSHP=X]', 1), x -> cast(x AS bigint))"
+    ops = f"regexp_extract_all({cigar}, '[0-9]+([MIDNSHP=X])', 1)"
+    spent = lambda kinds, x: f"if({x}.op IN ({kinds}), {x}.len, 0L)"
+    on_read, on_ref = "'M','I','=','X','S','H'", "'M','D','N','=','X'"
+    blocks = f"zip_with({ops}, {numbers}, (op, len) -> struct(op, len))"
+    q, r = (f"transform(bl, p -> {spent(k, 'p')})" for k in (on_read, on_ref))
+    # A one-element array gives the blocks and their sums a name.
+    at = f"transform(array({blocks}), bl -> struct(bl, {running(q, 'q')} AS q, {running(r, 'r')} AS r))[0]"
+    one = f"struct(b.op AS op, b.len AS len, x.q[i] AS read_start, x.q[i] + {spent(on_read, 'b')} AS read_end, cast({ref_start} AS bigint) + x.r[i] AS ref_start, cast({ref_start} AS bigint) + x.r[i] + {spent(on_ref, 'b')} AS ref_end)"
+    return F.expr(f"transform(array({at}), x -> transform(x.bl, (b, i) -> {one}))[0]")
 
 
 def case_runs(seq: str) -> tuple[Column, Column]:

@@ -6,11 +6,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociq.operators.graph import components
-from lociq.operators.intervals import island_ids, overlap_length, range_join
+from lociq.operators.intervals import island_ids, overlap_length, range_join, row_numbers
 
 
 def with_repeats(signals: DataFrame, repeats: DataFrame, pad: int = 50, width: int = 500) -> DataFrame:
@@ -60,14 +59,17 @@ def pair_score(d, sv_type, size, other):
 
 def band_strength(signals: DataFrame, width: int = 2000) -> DataFrame:
     """signal_id, strength by a band join (J01): like signals of other reads within the
-    radius, repeats folding distances by ten."""
-    other = signals.select("chr", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("signal_id").alias("o_id"), F.col("read_id").alias("o_read"), F.col("sv_type").alias("o_type"), F.col("size").alias("o_size"), F.col("repeat_id").alias("o_repeat"))
-    # Within ten radii, since a shared repeat folds the distance.
-    pairs = range_join(signals.select("signal_id", "chr", "start", "end", "read_id", "sv_type", "size", "repeat_id"), other, width=width, within=10 * RADIUS + 10, points=True, condition=(F.col("read_id") != F.col("o_read")) & (F.col("sv_type") == F.col("o_type")))
+    radius. A shared repeat folds distances by ten, so such pairs are sought ten times as
+    far, but by their repeat; all others within the radius only."""
+    other = signals.select("chr", "sv_type", F.col("repeat_id").alias("o_repeat"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("read_id").alias("o_read"), F.col("size").alias("o_size"))
+    own = signals.select("signal_id", "chr", "start", "end", "read_id", "sv_type", "size", "repeat_id")
     gap = F.greatest(F.greatest("start", "r_start") - F.when(F.col("start") <= F.col("r_start"), F.col("end")).otherwise(F.col("r_end")), F.lit(0))
-    shared = (F.col("repeat_id") >= 0) & (F.col("repeat_id") == F.col("o_repeat"))
-    d = F.when(shared, F.floor(gap / 10)).otherwise(gap)
-    scored = pairs.withColumn("d", d).withColumn("shared", shared).where(F.col("d") <= RADIUS)
+    apart = F.col("read_id") != F.col("o_read")
+    near = range_join(own, other, width=width, within=RADIUS + 1, points=True, also=("sv_type",), condition=apart & (gap <= RADIUS) & ((F.col("repeat_id") < 0) | (F.col("repeat_id") != F.col("o_repeat"))))
+    in_repeat = own.where("repeat_id >= 0")
+    folded_ = range_join(in_repeat, other.where("o_repeat >= 0").withColumnRenamed("o_repeat", "repeat_id"), width=10 * width, within=10 * RADIUS + 10, points=True, also=("sv_type", "repeat_id"), condition=apart & (F.floor(gap / 10) <= RADIUS))
+    columns = ("signal_id", "sv_type", "size", "o_size")
+    scored = near.select(*columns, gap.alias("d"), F.lit(False).alias("shared")).unionByName(folded_.select(*columns, F.floor(gap / 10).alias("d"), F.lit(True).alias("shared")))
     far = (F.col("sv_type") >= 3) & (F.col("d") > F.when(F.col("shared"), BREAK_REACH_IN_REPEAT).otherwise(BREAK_REACH))
     scored = scored.withColumn("score", F.when(far, 0.0).otherwise(pair_score(F.col("d"), F.col("sv_type"), F.col("size"), F.col("o_size"))))
     total = scored.groupBy("signal_id").agg(F.sum("score").alias("strength"))
@@ -146,11 +148,8 @@ def regions(signals: DataFrame, pad: int = 50, gap: int = 0) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """region_id in genome order: the rank within a chromosome after those before it."""
-    per_chr = found.groupBy("chr").agg(F.count("*").alias("_n"))
-    offsets = per_chr.select("chr", F.coalesce(F.sum("_n").over(W.orderBy("chr").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(W.partitionBy("chr").orderBy("start", "end"))
-    return found.withColumn("_rank", rank).join(F.broadcast(offsets), "chr").withColumn("region_id", F.col("_rank") - 1 + F.col("_offset")).drop("_rank", "_offset")
+    """region_id in genome order."""
+    return row_numbers(found, (), ("chr", "start", "end"), "region_id")
 
 
 def not_crowded(found: DataFrame, factor: float = 6.0) -> DataFrame:

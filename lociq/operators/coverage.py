@@ -8,26 +8,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociq.operators.intervals import merge, range_join, sweep
+from lociq.operators.intervals import merge, overlap_sum, passed, range_join, row_numbers, sweep
 
 
-def depths(signals: DataFrame, rafs: DataFrame, width: int = 500) -> DataFrame:
+def depths(signals: DataFrame, rafs: DataFrame) -> DataFrame:
     """signal_id, depth: fragments over each signal, empty signals being one base.
     signals: (signal_id, chr, start, end); rafs: (chr, start, end, ...)."""
-    spans = rafs.select("chr", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    counted = range_join(signals.select("signal_id", "chr", "start", "end"), spans, width=width, points=True).groupBy("signal_id").agg(F.count("*").alias("depth"))
-    return signals.select("signal_id").join(counted, "signal_id", "left").select("signal_id", F.coalesce("depth", F.lit(0)).alias("depth"))
+    one = F.greatest("end", F.col("start") + 1)
+    return overlap_sum(signals.select("signal_id", "chr", "start", one.alias("end")), rafs.select("chr", "start", one.alias("end")), "signal_id", "depth")
 
 
-def at_points(points: DataFrame, rafs: DataFrame, width: int = 500) -> DataFrame:
+def at_points(points: DataFrame, rafs: DataFrame) -> DataFrame:
     """point_id, coverage: fragments that hold a point (J08). points: (point_id, chr, at)."""
-    spans = rafs.select("chr", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    one = points.select("point_id", "chr", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
-    hit = range_join(one, spans, width=width).groupBy("point_id").agg(F.count("*").alias("coverage"))
-    return points.select("point_id").join(hit, "point_id", "left").select("point_id", F.coalesce("coverage", F.lit(0)).alias("coverage"))
+    asked = points.select("point_id", "chr", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
+    return overlap_sum(asked, rafs.where(F.col("start") < F.col("end")), "point_id", "coverage")
 
 
 def reads_over(regions: DataFrame, rafs: DataFrame, least: int = 2, width: int = 500) -> DataFrame:
@@ -39,12 +35,12 @@ def reads_over(regions: DataFrame, rafs: DataFrame, least: int = 2, width: int =
     return range_join(wide, spans, width=width).groupBy("region_id").agg(F.count_distinct("read_id").alias("reads"))
 
 
-def elementary(rafs: DataFrame, width: int = 500) -> DataFrame:
-    """Distinct reads over each elementary interval, covered ones only."""
-    cuts = rafs.select("chr", F.col("start").alias("at")).union(rafs.select("chr", "end")).distinct()
-    pieces = cuts.select("chr", F.col("at").alias("start"), F.lead("at").over(W.partitionBy("chr").orderBy("at")).alias("end")).where("end IS NOT NULL")
-    spans = rafs.select("chr", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "read_id")
-    return range_join(pieces, spans, width=width).groupBy("chr", "start", "end").agg(F.count_distinct("read_id").alias("coverage"))
+def elementary(rafs: DataFrame) -> DataFrame:
+    """Distinct reads over each elementary interval, covered ones only (A02). A read's
+    fragments are merged first, so that the depth of what is left counts reads; the ends of
+    all fragments still part the result."""
+    once = merge(rafs.select("chr", "read_id", "start", "end"), ("chr", "read_id"))
+    return sweep(once, cuts=rafs).withColumnRenamed("depth", "coverage")
 
 
 def median_depth(covered: DataFrame, column: str = "coverage") -> DataFrame:
@@ -139,9 +135,8 @@ def usual_copy_number(regions: DataFrame, track: DataFrame) -> DataFrame:
 
 def running_depth(rafs: DataFrame) -> DataFrame:
     """Adds depth: intervals begun so far that still reach past this one's start, itself
-    included, in genome order (W05). Ends count before starts at one place."""
-    row = F.struct("end", "read_id")
-    starts = rafs.select("chr", F.col("start").alias("at"), F.lit(1).alias("change"), row.alias("row"))
-    ends = rafs.select("chr", F.col("end").alias("at"), F.lit(-1).alias("change"), row.alias("row"))
-    order = W.partitionBy("chr").orderBy("at", "change", "row").rowsBetween(W.unboundedPreceding, 0)
-    return starts.union(ends).withColumn("depth", F.sum("change").over(order)).where("change = 1").select("chr", F.col("at").alias("start"), F.col("row.end").alias("end"), F.col("row.read_id").alias("read_id"), "depth")
+    included, in genome order (W05). Ends count before starts at one place, so the depth is
+    a row's number less the ends up to its start."""
+    rows = row_numbers(rafs.select("chr", "start", "end", "read_id"), ("chr",), ("start", "end", "read_id"))
+    done = passed(rafs, rafs.select("chr", F.col("start").alias("position")).distinct(), ("chr",))
+    return rows.join(done.select("chr", F.col("position").alias("start"), "done"), ["chr", "start"]).select("chr", "start", "end", "read_id", (F.col("row") + 1 - F.col("done")).alias("depth"))

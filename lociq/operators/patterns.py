@@ -106,7 +106,7 @@ def merge_pairs(composites: DataFrame, near: int = 150, size_tolerance: float |
     chr, start, end, svtype, size, sample, consensus_id, n, mean, variance)."""
     reach = F.when(F.col("svtype") == "INS", F.greatest(F.lit(near), F.col("size"))).otherwise(F.lit(near))
     a = composites.withColumns({"start": F.col("start") - reach, "end": F.col("end") + reach})
-    b = composites.select("chr", F.col("start").alias("r_start"), F.greatest("end", F.col("start") + 1).alias("r_end"), *(F.col(c).alias(f"b_{c}") for c in ("composite_id", "svtype", "size", "sample", "consensus_id", "n", "mean", "variance")))
+    b = composites.select("chr", "svtype", F.col("start").alias("r_start"), F.greatest("end", F.col("start") + 1).alias("r_end"), *(F.col(c).alias(f"b_{c}") for c in ("composite_id", "size", "sample", "consensus_id", "n", "mean", "variance")))
     from lociq.functions.scores import cohens_d
 
     c = F.col
@@ -114,8 +114,8 @@ def merge_pairs(composites: DataFrame, near: int = 150, size_tolerance: float |
     like = effect <= most_effect
     if size_tolerance is not None:
         like = like | (F.abs(c("size") - c("b_size")) <= size_tolerance * F.greatest("size", "b_size"))
-    other = (c("composite_id") != c("b_composite_id")) & (c("svtype") == c("b_svtype")) & ~((c("sample") == c("b_sample")) & (c("consensus_id") == c("b_consensus_id")))
-    pairs = range_join(a, b, width=width, condition=other & like)
+    other = (c("composite_id") != c("b_composite_id")) & ~((c("sample") == c("b_sample")) & (c("consensus_id") == c("b_consensus_id")))
+    pairs = range_join(a, b, width=width, also=("svtype",), condition=other & like)
     return pairs.select(F.least("composite_id", "b_composite_id").alias("a"), F.greatest("composite_id", "b_composite_id").alias("b")).distinct()
 
 

@@ -6,12 +6,13 @@ Signal types: 0 insertion, 1 deletion, 3 left break, 4 right break.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociq.functions.dna import cigar_blocks
-from lociq.operators.intervals import range_join
+from lociq.operators.intervals import overlap_sum, passed, row_numbers, with_neighbours
 
 SIGNAL = "struct<ref_start:bigint,ref_end:bigint,read_start:bigint,read_end:bigint,size:bigint,sv_type:int>"
 
@@ -57,13 +58,11 @@ def admitted(df: DataFrame, min_mapq: int = 1, min_segment: int = 250, most_dept
         df = df.join(unseparated.select("qname"), "qname", "left_anti")
     if most_depth is None:
         return df
-    # Depth at a start is starts so far less ends so far: two running counts of one sort.
-    events = df.select("rname", F.col("ref_start").alias("at"), F.lit(1).alias("change"), F.struct("ref_end", "qname", "flag").alias("row")).unionByName(
-        df.select("rname", F.col("ref_end").alias("at"), F.lit(-1).alias("change"), F.lit(None).cast("struct<ref_end:bigint,qname:string,flag:int>").alias("row"))
-    )
-    order = W.partitionBy("rname").orderBy("at", "change", "row").rowsBetween(W.unboundedPreceding, 0)
-    depth = events.withColumn("depth", F.sum("change").over(order)).where("change = 1").select("rname", F.col("at").alias("ref_start"), F.col("row.ref_end").alias("ref_end"), F.col("row.qname").alias("qname"), F.col("row.flag").alias("flag"), "depth")
-    return df.join(depth.where(F.col("depth") <= most_depth).drop("depth").distinct(), ["rname", "ref_start", "ref_end", "qname", "flag"])
+    # Depth at a start is starts so far less ends so far.
+    rows = row_numbers(df, ("rname",), ("ref_start", "ref_end", "qname", "flag"), "_row")
+    done = passed(df, df.select("rname", F.col("ref_start").alias("position")).distinct(), ("rname",), "ref_start", "ref_end")
+    deep = rows.join(done.select("rname", F.col("position").alias("ref_start"), F.col("done").alias("_done")), ["rname", "ref_start"])
+    return deep.where(F.col("_row") + 1 - F.col("_done") <= most_depth).select(*df.columns)
 
 
 def fragments(alignments: DataFrame, **limits) -> DataFrame:
@@ -81,20 +80,34 @@ def exploded(rafs: DataFrame) -> DataFrame:
 
 def dense(rafs: DataFrame, radius: int = 500, least: int = 30) -> DataFrame:
     """Signals kept where signals of their type within radius, themselves included, sum to
-    `least` bases (W02, F04)."""
-    near = "filter(sv_signals, t -> t.sv_type = s.sv_type AND t.ref_start - s.ref_end <= {r} AND s.ref_start - t.ref_end <= {r})".format(r=radius)
-    return rafs.withColumn("sv_signals", F.expr(f"filter(sv_signals, s -> aggregate({near}, 0L, (x, t) -> x + t.size) >= {least})"))
+    `least` bases (W02, F04). Sums of what starts by the far end less what ends before the
+    near one, by bisection in each fragment."""
+
+    @F.pandas_udf("array<boolean>")
+    def enough(starts: pd.Series, ends: pd.Series, sizes: pd.Series, kinds: pd.Series) -> pd.Series:
+        out = []
+        for s, e, z, k in zip(starts, ends, sizes, kinds):
+            keep = np.zeros(len(s), dtype=bool)
+            for kind in np.unique(k):
+                own = np.flatnonzero(k == kind)
+                by_start, by_end = own[np.argsort(s[own], kind="stable")], own[np.argsort(e[own], kind="stable")]
+                begun, ended = (np.concatenate([[0], np.cumsum(z[x])]) for x in (by_start, by_end))
+                total = begun[np.searchsorted(s[by_start], e[own] + radius, "right")] - ended[np.searchsorted(e[by_end], s[own] - radius, "left")]
+                keep[own] = total >= least
+            out.append(keep)
+        return pd.Series(out)
+
+    field = lambda c: F.coalesce(F.transform("sv_signals", lambda x: x[c].cast("bigint")), F.array().cast("array<bigint>"))
+    marked = rafs.withColumn("_keep", enough(*map(field, ("ref_start", "ref_end", "size", "sv_type"))))
+    return marked.withColumn("sv_signals", F.expr("filter(sv_signals, (s, i) -> _keep[i])")).drop("_keep")
 
 
 def density(signals: DataFrame, radius: int = 500, group: tuple[str, ...] = ("read_id",), key: str = "chr") -> DataFrame:
-    """signal_id, density: the same over a flat signal table, by a range join."""
-    b = signals.select(key, *group, F.col("sv_type").alias("o_type"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("size").alias("o_size")).withColumnsRenamed({g: f"o_{g}" for g in group})
-    same = F.col("sv_type") == F.col("o_type")
-    for g in group:
-        same = same & (F.col(g) == F.col(f"o_{g}"))
+    """signal_id, density: the same over a flat signal table, by sums over overlaps."""
+    keys = (key, *group, "sv_type")
     # Within a distance inclusive: half-open intervals a base wider.
-    pairs = range_join(signals, b, key=key, width=4 * radius, within=radius + 1, points=True, condition=same & (F.col("r_start") - F.col("end") <= radius) & (F.col("start") - F.col("r_end") <= radius))
-    return pairs.groupBy("signal_id").agg(F.sum("o_size").alias("density"))
+    reach = signals.select("signal_id", *keys, (F.col("start") - radius - 1).alias("start"), (F.col("end") + radius + 1).alias("end"))
+    return overlap_sum(reach, signals.select(*keys, "start", "end", "size"), "signal_id", "density", keys, F.col("size").cast("bigint"))
 
 
 def indel_histogram(signals: DataFrame) -> DataFrame:
@@ -119,9 +132,8 @@ def by_size(signals: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def quiet(rafs: DataFrame, half_window: int = 15, percentile: float = 0.9, factor: float = 8.0, least: int = 3, key: str = "chr", tie: str = "read_id") -> DataFrame:
     """Drops fragments with many more deletions than their neighbours (W01, F06): over the
     rows before and after in genome order, those that overlap."""
-    order = W.partitionBy(key).orderBy("start", "end", tie).rowsBetween(-half_window, half_window)
-    near = F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col(tie).alias("t"), F.col("n_del").alias("n"))).over(order)
-    df = rafs.withColumn("near", near)
+    value = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col(tie).alias("t"), F.col("n_del").alias("n"))
+    df = with_neighbours(rafs, (key,), ("start", "end", tie), half_window, value, "near")
     others = f"array_sort(transform(filter(near, o -> o.s < end AND o.e > start AND NOT (o.s = start AND o.e = end AND o.t = {tie})), o -> cast(o.n AS double)))"
     df = df.withColumn("near", F.expr(others))
     place = f"((size(near) - 1) * {percentile}D)"
