@@ -5,8 +5,12 @@ takes place depends on v's own formation and on merges (v, y) of a lower rank, w
 application depends on still lower ranks, so following the list in rank order gives the
 number of symbols after a token's end that can still change it (`sufficient_lookahead`).
 `Transducer` keeps a window of that many symbols beyond a block, emits what is stable,
-and forgets it: its memory depends on the vocabulary, never on the text. Decoding feeds
-token bytes to an incremental UTF-8 state machine.
+and forgets it: its memory depends on the vocabulary, never on the text. Every word goes
+through it; that recent short words are remembered with what it gave saves its work and
+changes nothing. `Encoder.stream` takes a text in chunks that end before white space, and
+a run without any in pieces, so that words of any length pass as a stream as well.
+Decoding feeds token bytes to an incremental UTF-8 state machine, and digests are taken
+of ids and bytes as they come: beside the text itself nothing grows with it.
 
 Null text is empty text: no tokens, and the digest of nothing. Rows are independent, so
 repeated ids and repeated rows give a result row each; other columns are not touched.
@@ -39,6 +43,10 @@ WHITE = "\t-\r \x85\xa0  -     　"
 LATIN = 0x250
 #: Symbols that are encoded together once the lookahead lies behind them.
 BLOCK = 1024
+#: Characters of a text that are taken at a time, and of a run without white space.
+CHUNK, PIECE = 1 << 16, 1 << 13
+#: Token ids that are digested and decoded at a time.
+STEP = 4096
 #: Cached chunks and the longest cached chunk: a bound on a worker's memory.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
@@ -182,41 +190,112 @@ class Remembered(dict):
         return value
 
 
+#: What a word that begins with an apostrophe may be (fixed values, in their order).
+CONTRACTED = re.compile("'s|'t|'re|'ve|'m|'ll|'d")
+#: Starters that join with what stands before them, beside marks.
+JAMO = re.compile("[\u1161-\u1175\u11a8-\u11c2]")
+
+
 class Encoder:
-    """Normalises, cuts into words and encodes; recent words are remembered."""
+    """Normalises, cuts into words and encodes, all as a stream; recent words are remembered."""
 
     def __init__(self, merges: MergeList):
         self.merges = merges
         self.words = Remembered(self.word, CACHE_ENTRIES, CACHE_CHARS)
         names = sorted(merges.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.runs = regex.compile(rf"(?P<L>\p{{L}}+)|(?P<N>\p{{N}})|(?P<S>[^{WHITE}\p{{L}}\p{{N}}]+)")
 
     def word(self, word: str) -> tuple[int, ...]:
-        data, merges = word.encode("utf-8", "surrogatepass"), self.merges
-        if len(data) <= BLOCK:
-            ids = list(map(merges.inner.__getitem__, data))
-            ids[-1] = merges.last[data[-1]]
-            return tuple(merges.merged(ids))
-        machine = Transducer(merges)
+        data, machine = word.encode("utf-8", "surrogatepass"), Transducer(self.merges)
         return (*machine.feed(data[:-1]), *machine.close(data[-1]))
 
-    def plain(self, text: str) -> Iterator[tuple[int, ...]]:
+    def normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         # Lower case goes letter by letter here, without the final sigma of whole words.
-        text = text.lower()
+        return text.lower()
+
+    def plain(self, text: str) -> Iterator[tuple[int, ...]]:
+        """The words of a chunk."""
+        text = self.normal(text)
         cut = self.merges.words if self.merges.beyond_latin.search(text) else self.merges.latin_words
         return map(self.words.__getitem__, cut.findall(text))
 
+    def long_run(self, pieces: Iterable[str]) -> Iterator[tuple[int, ...]]:
+        """The words of a run that comes in pieces: one word is open at a time, as a machine
+        that has all of its bytes but the last."""
+        kind, machine, last = "", None, 0
+
+        def close() -> tuple[int, ...]:
+            nonlocal kind, machine
+            out = tuple(machine.close(last)) if kind else ()
+            kind, machine = "", None
+            return out
+
+        for piece in pieces:
+            text, at = self.normal(piece), 0
+            while m := self.runs.search(text, at):
+                found, data = m.lastgroup, m.group()
+                if m.start() > at or found == "N" or found != kind:
+                    yield close()
+                if not kind and found == "S" and (c := CONTRACTED.match(text, m.start())):
+                    found, data = "N", c.group()  # a word of its own
+                at = m.start() + len(data)
+                if found == "N":
+                    yield self.words[data]
+                    continue
+                raw = data.encode("utf-8", "surrogatepass")
+                if not kind:
+                    kind, machine = found, Transducer(self.merges)
+                else:
+                    raw = bytes((last,)) + raw
+                yield tuple(machine.feed(raw[:-1]))
+                last = raw[-1]
+            if at < len(text):
+                yield close()
+        yield close()
+
+    def pieces(self, text: str, at: int, end: int) -> Iterator[str]:
+        """text[at:end] in pieces that may be normalised and cut into words one by one."""
+        while end - at > PIECE:
+            # Neither a mark's base nor an apostrophe may be parted from what follows.
+            fit = lambda k: unicodedata.category(text[k])[0] != "M" and not JAMO.match(text[k]) and "'" not in text[max(0, k - 3) : k]
+            stop = next((k for k in range(at + PIECE, at, -1) if fit(k)), end)
+            yield text[at:stop]
+            at = stop
+        yield text[at:end]
+
+    def parts(self, text: str) -> Iterator[tuple[int, ...]]:
+        """The words between special tokens, which never reach over a chunk's end."""
+        at, n = 0, len(text)
+        while at < n:
+            stop = n
+            if n - at > CHUNK:
+                stop = max(text.rfind(c, at + 1, at + CHUNK) for c in " \n\t")
+                if stop < 0:  # a long run: up to its white space
+                    m = re.compile(r"[ \n\t]").search(text, at + CHUNK)
+                    stop = m.start() if m else n
+                    yield from self.long_run(self.pieces(text, at, stop))
+                    at = stop
+                    continue
+            yield from self.plain(text[at:stop])
+            at = stop
+
+    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
+        """Token ids, a few at a time."""
+        if self.special is None:
+            yield from self.parts(text)
+            return
+        at = 0
+        for m in self.special.finditer(text):
+            yield from self.parts(text[at : m.start()] if at or m.start() < len(text) else text)
+            yield (self.merges.special[m.group()],)
+            at = m.end()
+        yield from self.parts(text[at:] if at else text)
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        parts = self.special.split(text) if self.special and "<|" in text else [text]
-        for part in parts:
-            if part in self.merges.special:
-                out.append(self.merges.special[part])
-            else:
-                out.extend(itertools.chain.from_iterable(self.plain(part)))
-        return out
+        return list(itertools.chain.from_iterable(self.stream(text)))
 
 
 class Decoder:
@@ -239,11 +318,10 @@ class Decoder:
                 for p in merges.pieces
             ]
 
-    def stream(self, ids: Iterable[int], step: int = 4096) -> Iterator[str]:
-        machine, table, first = codecs.getincrementaldecoder("utf-8")("replace"), self.table, True
-        ids = list(ids)
-        for at in range(0, len(ids), step):
-            data = self.between.join([table[i] for i in ids[at : at + step]])
+    def stream(self, ids: Iterable[int], step: int = STEP) -> Iterator[str]:
+        machine, table, first, ids = codecs.getincrementaldecoder("utf-8")("replace"), self.table, True, iter(ids)
+        while some := list(itertools.islice(ids, step)):
+            data = self.between.join([table[i] for i in some])
             yield machine.decode(data if first else self.between + data)
             first = False
         yield machine.decode(b"", True)
@@ -260,6 +338,26 @@ def load(path: str) -> tuple[MergeList, Encoder, Decoder]:
     return merges, Encoder(merges), Decoder(merges)
 
 
+def digests(text: str, encoder: Encoder, decoder: Decoder, keep: list | None = None) -> tuple[int, str, str]:
+    """Number of tokens, digest of the ids and digest of what they decode to, of a text's
+    stream; keep takes the ids, where they are asked for."""
+    count, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def passing() -> Iterator[int]:
+        nonlocal count
+        ids = itertools.chain.from_iterable(encoder.stream(text))
+        while some := list(itertools.islice(ids, STEP)):
+            count += len(some)
+            of_ids.update(np.asarray(array("I", some), dtype="<u4").tobytes())
+            if keep is not None:
+                keep.extend(some)
+            yield from some
+
+    for piece in decoder.stream(passing()):
+        of_text.update(piece.encode("utf-8"))
+    return count, of_ids.hexdigest(), of_text.hexdigest()
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row per document: n_tokens, digests of the ids and of the decoded text, and the
     ids themselves where asked. `vocabulary` is a path that every executor can read, as
@@ -272,12 +370,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         for batch in batches:
             rows = []
             for key, text in zip(batch["k"], batch["t"]):
-                ids = encoder.encode(text)
-                data = np.asarray(array("I", ids), dtype="<u4")
-                digest = hashlib.sha256()
-                for piece in decoder.stream(ids):
-                    digest.update(piece.encode("utf-8"))
-                rows.append((key, len(ids), hashlib.sha256(data.tobytes()).hexdigest(), digest.hexdigest(), *([data.astype("i4")] if with_ids else [])))
+                ids = [] if with_ids else None
+                rows.append((key, *digests(text, encoder, decoder, ids), *([np.array(ids, dtype="i4")] if with_ids else [])))
             yield pd.DataFrame(rows, columns=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return docs.select(F.col(id_col).alias("k"), text_or_empty(text_col).alias("t")).mapInPandas(run, schema)

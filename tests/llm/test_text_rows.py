@@ -52,6 +52,35 @@ def test_bpe_unusual_texts(library, text):
     assert decoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_streams_equal_the_library_for_any_chunks(library, monkeypatch):
+    rng = random.Random(8)
+    encoder, decoder = bpe.load(vocabulary())[1:]
+    signs = ["a", "the", "Σ", "é", "e\u0301", "\u0301\u0323", "'s", "'", "''re", "7", "½", "!?", "日本", "각", "\u1100\u1161\u11a8", "👍🏽", "\xa0", "\u3000", "<|endoftext|>", "İ", "<|", "\r"]
+    for chunk, piece in ((40, 16), (7, 5), (1 << 16, 1 << 13)):
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        for spaces in (0, 1, 12):
+            for _ in range(60):
+                text = "".join(rng.choice(signs + [" ", "\n"] * spaces) for _ in range(rng.randint(1, 120)))
+                ids = library.encode(text, add_special_tokens=False).ids
+                assert encoder.encode(text) == ids, (chunk, text)
+                assert bpe.digests(text, encoder, decoder) == expected_bpe(library, text)
+
+
+def test_bpe_memory_does_not_grow_with_the_text():
+    import tracemalloc
+
+    encoder, decoder = bpe.load(vocabulary())[1:]
+    peaks = []
+    for n in (1, 8):
+        for text in ("some words of a text " * (20_000 * n), "abcdefghij" * (20_000 * n)):
+            tracemalloc.start()
+            bpe.digests(text, encoder, decoder)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    assert peaks[2] < 1.5 * peaks[0] + 1_000_000 and peaks[3] < 1.5 * peaks[1] + 1_000_000
+
+
 def test_transducer_emits_what_the_whole_word_gives():
     merges, encoder, _ = bpe.load(vocabulary())
     rng = random.Random(3)
