@@ -7,15 +7,20 @@ limits, undecided. The second pass gives undecided blocks the class of the neare
 neighbour, the earlier one in a tie, and headings that of the next decided block. A page
 that names its article is held to it.
 
-Null html is empty. Scripts, styles, comments and unclosed tails of these are dropped;
-character references are decoded once; white space within a block becomes one space. No
-block is shortened. Pages are independent; repeated rows give a result each.
+Null html is empty. Scripts, styles, comments and unclosed tails of these are dropped, and
+so is a tag that never ends; a quotation mark without its counterpart ends with its tag.
+Character references are decoded once; white space within a block becomes one space. A
+link that is never closed ends with its block. A class that marks an advert or the like
+counts where all of the word's parts say so, and where it would leave an article without
+any text it does not count in that article. No block is shortened. Pages are independent;
+repeated rows give a result each. Time grows with the page's length, whatever it holds.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,16 +28,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Comments, raw-text elements and tags; a quoted attribute may hold any character.
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|head)\b(?P<own>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template svg iframe textarea title head".split())
+TAG_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9-]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button label input".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements, roles and words of class or id that mark what surrounds the main text.
 AROUND = frozenset("nav footer header aside form menu dialog button select label option fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-MARKS = re.compile(r"(?<![a-z])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?![a-z])", re.I)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr masthead menu modal nav navbar "
+    "navigation newsletter notice notices pagination popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
+)
+#: Words that only say that something is a container, of the page or of one of its kinds.
+CONTAINERS = frozenset(
+    "area articles bar block box btn button buttons card cards column container content cta footer form group header holder icons inner items left link links list main media message "
+    "module outer panel posts primary right row secondary section site slot stories thread top bottom unit wrap wrapper overlay policy".split()
+)
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))""")
+WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Words so common that running text is full of them (fixed values).
 STOP_WORDS = frozenset(
     "the of and to in a is that for it was on as with be by at this are or from an not have you he she they we "
@@ -50,76 +66,158 @@ class Block(NamedTuple):
     heading: bool
     inside: bool
     around: bool
+    marked: bool
+
+
+def is_marked(names: str) -> bool:
+    """Whether one of the class or id words marks what surrounds the main text."""
+    for name in names.split():
+        parts = [p.lower() for p in WORD_PARTS.findall(name) if not p.isdigit()]
+        if any(p in MARKS for p in parts) and all(p in MARKS or p in CONTAINERS for p in parts):
+            return True
+    return False
+
+
+class Finder:
+    """The next place of a pattern; a place is kept until it is passed, and that there is
+    none is found once."""
+
+    def __init__(self, page: str, pattern: re.Pattern):
+        self.page, self.pattern, self.at = page, pattern, -1
+
+    def after(self, at: int) -> int:
+        if 0 <= self.at < at or self.at == -1:
+            m = self.pattern.search(self.page, at)
+            self.at = m.start() if m else len(self.page) + 1
+        return self.at
+
+
+class Tags:
+    """The page's tags in order: (start, end, name, closing, attributes); name is empty for
+    comments and declarations. A mark of quotation counts as one where its counterpart
+    ends a value; otherwise the tag ends at its first closing bracket."""
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, Finder(page, re.compile(">"))
+        self.quotes = {q: Finder(page, re.compile(q)) for q in "\"'"}
+        self.raw: dict[str, Finder] = {}
+
+    def end_of(self, at: int) -> int:
+        """Past the bracket that ends the tag whose attributes begin at a place."""
+        page, n, first = self.page, len(self.page), self.ends.after(at)
+        while True:
+            m = QUOTE_OR_END.search(page, at)
+            if m is None:
+                return n + 1
+            if m.group() == ">":
+                return m.end()
+            close = self.quotes[m.group()].after(m.end())
+            if close >= n or (page[close + 1 : close + 2] or ">") not in " \t\r\n\f/>":
+                return first + 1 if first < n else n + 1
+            at = close + 1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        page, n = self.page, len(self.page)
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else n, "", False, ""
+            if page[start + 1 : start + 2] in ("!", "?"):
+                end = self.ends.after(start)
+                return start, min(end + 1, n), "", False, ""
+            m = TAG_NAME.match(page, start + 1)
+            if m:
+                end = self.end_of(m.end())
+                return start, min(end, n), m[1].lower(), page[start + 1] == "/", page[m.end() : end - 1]
+            at = start + 1
+        return None
+
+    def past(self, name: str, at: int) -> int:
+        """Past the closing tag of a raw element, or the page's length."""
+        if name not in self.raw:
+            self.raw[name] = Finder(self.page, re.compile(rf"</{name}\b", re.I))
+        close = self.raw[name].after(at)
+        return min(self.ends.after(close) + 1, len(self.page)) if close < len(self.page) else len(self.page)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text by blocks, in one pass over its tags."""
     out: list[Block] = []
     parts: list[str] = []
-    linked, in_link, heading = 0, 0, False
-    stack: list[tuple[str, bool, bool]] = []  # name, article, around; both inherited
-    article = around = False
+    linked, link, heading = 0, "", False  # link: "", "closed" where its end is known, "open"
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, article, around, marked; the last three inherited
+    held: Counter = Counter()  # open elements by name
+    article = around = marked = False
+    tags, link_ends, link_starts = Tags(page), Finder(page, re.compile(r"</a\b", re.I)), Finder(page, re.compile(r"<a\b", re.I))
 
     def flush():
-        nonlocal parts, linked
+        nonlocal parts, linked, link
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), heading, article, around))
+            out.append(Block(text, min(linked, len(text)), heading, article, around, marked))
         parts, linked = [], 0
+        link = "" if link == "open" else link
 
     def say(piece: str):
         nonlocal linked
         parts.append(piece)
-        if in_link:
+        if link:
             linked += len(html.unescape(piece).strip())
 
     at, end = 0, len(page)
     while at < end:
-        m = TAG.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m["raw"]:
-            if not m["own"].endswith("/"):
-                close = re.compile(rf"</{m['raw']}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else (at if m["raw"].lower() == "head" else end)
-            continue
-        name = (m["name"] or "").lower()
-        if not name:
+        start, after, name, closing, attributes = tag
+        if start > at:
+            say(page[at:start])
+        at = after
+        if name in RAW and not closing:
+            if not attributes.endswith("/"):
+                past = tags.past(name, at)
+                at = at if name == "head" and past >= end else past
             continue
         if name == "br":
             parts.append(" ")
         elif name == "a":
-            in_link = max(0, in_link + (-1 if m["close"] else 1)) if m["close"] else 1
+            link = ""
+            if not closing and re.search(r"\bhref\b", attributes, re.I):
+                link = "closed" if link_ends.after(at) < min(link_starts.after(at), end) else "open"
         if name in BLOCKS:
             flush()
-            heading = name in HEADINGS and not m["close"]
-        if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            heading = name in HEADINGS and not closing
+        if closing:
+            if held[name]:
+                while True:
+                    last = stack.pop()[0]
+                    held[last] -= 1
+                    if last == name:
+                        break
         elif name in BLOCKS or name in ("span", "amp-ad", "ins"):
             if name in VOID:
                 continue
             if name in ("p", "li") and stack and stack[-1][0] == name:
-                stack.pop()
-            _, was_article, was_around = stack[-1] if stack else ("", False, False)
-            own = {a.lower(): (b or c or d) for a, b, c, d in ATTRIBUTE.findall(m["rest"])}
+                held[stack.pop()[0]] -= 1
+            _, was_article, was_around, was_marked = stack[-1] if stack else ("", False, False, False)
+            own = {a.lower(): (b or c or d) for a, b, c, d in ATTRIBUTE.findall(attributes)}
             role = own.get("role", "").lower()
             is_article = was_article or name in ("article", "main") or role in ("main", "article")
             header_of_article = name == "header" and was_article
-            is_around = was_around or (name in AROUND and not header_of_article) or role in ROLES or bool(MARKS.search(f"{own.get('class', '')} {own.get('id', '')}") and name not in ("html", "body", "article", "main"))
-            stack.append((name, is_article, is_around))
+            is_around = was_around or (name in AROUND and not header_of_article) or role in ROLES
+            by_name = was_marked or (name not in ("html", "body", "article", "main") and is_marked(f"{own.get('class', '')} {own.get('id', '')}"))
+            stack.append((name, is_article, is_around, by_name))
+            held[name] += 1
         if stack:
-            _, article, around = stack[-1]
+            _, article, around, marked = stack[-1]
         else:
-            article = around = False
+            article = around = marked = False
     flush()
-    return out
+    # Marks that would leave nothing of an article are no marks there.
+    if any(b.inside for b in out) and not any(b.inside and not b.around and not b.marked for b in out):
+        out = [b._replace(marked=b.marked and not b.inside) for b in out]
+    return [b._replace(around=b.around or b.marked) for b in out]
 
 
 def first_pass(block: Block, has_article: bool) -> str | None:

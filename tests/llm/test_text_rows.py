@@ -189,3 +189,24 @@ def test_articles_of_the_table(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
         pieces = (" ".join(html.unescape(re.sub("</?b>", "", p.replace("<br>", " "))).split()) for p in re.split("</?(?:p|h1)>", inner))
         assert html_text.main_text(r.html) == "\n".join(p for p in pieces if p)
+
+
+def test_pages_with_broken_markup_keep_their_text():
+    assert html_text.main_text('<article><p data-x="a>Broken quotes end here</p><p>More of the text</p></article>') == "Broken quotes end here\nMore of the text"
+    assert html_text.main_text('<article><p title="1 > 0">Whole</p><p data-h=\'<b class="x">\'>Two</p></article>') == "Whole\nTwo"
+    assert html_text.main_text('<article><div class="share-price">The price of it</div></article>') == "The price of it"
+    assert html_text.main_text('<article><div class="share">Lone text of a page</div></article>') == "Lone text of a page"
+    assert html_text.main_text('<article><p>Text</p><div class="share-buttons">Tell a friend</div><div id="cookieNotice">c</div></article>') == "Text"
+    long = "It was the best of times and it was the worst of times, as we said before all of it. "
+    assert html_text.main_text(f'<article><p>{long}<a href="x">open</p><p>{long * 2}</p><a name=y><p>{long * 2}</p></article>').count("\n") == 2
+    assert html_text.main_text("<p>" + long * 4 + "<b and no end") == (long * 4).strip()
+
+
+@pytest.mark.parametrize("shape", ["<a ", "<a href=\"", "<div>", "</p>", "<a 'x>", "<script", "<head>", "</script", "<!-- ", "<p class=", "&amp;", "a=", "<a href=x>", "<p a=\"b>c", "<x"])
+def test_pages_take_time_by_their_length(shape):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(shape * (1_000_000 // len(shape)))
+    html_text.main_text("<p " + shape * (500_000 // len(shape)) + ">" + "<div>" * 50_000 + shape * (250_000 // len(shape)) + "</p>" * 50_000)
+    assert time.perf_counter() - began < 20
