@@ -1,12 +1,15 @@
 """License scans as an exact set-similarity join, with DataFrame functions only.
 
 A text block (a line, or a paragraph between blank lines) carries a template's label when
-it holds at least `CONTAINMENT` of the template's distinct words. Template words are
-ordered by how many documents hold them, rarest first, over the whole corpus. A block
-that misses at most |T| - need words of a template must hold one of the |T| - need + 1
-rarest (prefix filter); it must have `need` words at all (length filter), and from its
-first shared prefix word on, both sides must still have enough words left (positional
-filter). What passes is counted exactly, so the filters change the work and not the result.
+it holds at least `CONTAINMENT` of the template's distinct words, `need` of them. Template
+words are ordered by how many documents hold them, rarest first, over the whole corpus.
+A block that misses at most |T| - need words of a template must hold one of its
+|T| - need + 1 rarest (prefix filter): blocks are posted under the words that are in any
+template's prefix, and joined with the prefixes on the word. A block needs `need` words of
+templates at all (length filter). At the rarest word that both hold, what follows it in the
+template and what follows it in the block must together still reach `need` (positional
+filter, on both sides' places). What passes is counted exactly, so the filters change the
+work and not the result.
 
 Templates are a parameter, so their words bound everything that is collected or carried
 to the tasks. Base labels come from fixed phrases and always stay. Null text is empty:
@@ -21,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.common import text_or_empty
+from lociq.llm.common import cut, text_or_empty
 
 #: What separates words after lower-casing, as a pattern.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,19 +63,19 @@ def rarity(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: found.get(w, 0) for w in vocabulary}
 
 
-def contained(order: list[str], need: int):
-    """A function from a block's set of words to the share of the template's words that it
-    holds, or 0 where a filter rules it out. order: the template's words, rarest first."""
-    prefix, size = order[: len(order) - need + 1], len(order)
-
-    def share(block: Column) -> Column:
-        shared = F.size(F.array_intersect(texts(order), block))
-        # The first shared word in rarity order, and what is left of the template from there.
-        first = F.array_position(F.transform(texts(prefix), lambda w: F.array_contains(block, w)), True)
-        fits = (F.size(block) >= need) & (first > 0) & (size - first + 1 >= need)
-        return F.when(fits, F.when(shared >= need, shared / F.lit(float(size)))).otherwise(F.lit(0.0))
-
-    return share
+def matches(blocks: DataFrame, templates: DataFrame) -> DataFrame:
+    """(key, label, share) of the documents with a block that holds enough of a template.
+    blocks: (key, words), the template words of a block, rarest first; templates:
+    (template, label, ordered, need), as bounded as the templates are."""
+    prefixes = templates.select("template", "need", F.size("ordered").alias("whole"), F.posexplode(F.expr("slice(ordered, 1, size(ordered) - need + 1)")).alias("at_template", "word"))
+    posted = blocks.select("key", "words", F.posexplode("words").alias("at_block", "word"))
+    met = posted.join(F.broadcast(prefixes), "word").where(F.size("words") >= F.col("need"))
+    # Both sides' places at their rarest common word.
+    pairs = met.groupBy("key", "words", "template").agg(F.min(F.struct("at_template", "at_block", "whole", "need")).alias("m"))
+    left = F.least(F.col("m.whole") - F.col("m.at_template"), F.size("words") - F.col("m.at_block"))
+    near = pairs.where(left >= F.col("m.need")).join(F.broadcast(templates), "template")
+    held = F.size(F.array_intersect("ordered", "words"))
+    return near.where(held >= F.col("need")).groupBy("key", "label").agg(F.max(held / F.size("ordered").cast("double")).alias("share"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -88,23 +91,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     any_phrase = " OR ".join(f"({phrase(p)})" for p, _ in PHRASES)
     df = df.withColumn("places", F.expr(f"CASE WHEN lower(text) RLIKE 'license|cc' AND n_words > 0 THEN filter(sequence(0, cast(n_words AS int) - 1), i -> {any_phrase}) ELSE cast(array() AS array<int>) END"))
     df = df.withColumn("base", F.array_sort(F.array_compact(F.array(*(F.when(F.expr(f"exists(places, i -> {phrase(p)})"), F.lit(label)) for p, label in PHRASES)))))
-    # Blocks of the few documents that hold any prefix word, as sets of words.
+    # Blocks of the few documents that hold any prefix word, as their template words.
+    order = texts(sorted({w for _, s, _ in ordered for w in s}, key=lambda w: (count[w], w)))
+    least = min((need for *_, need in ordered), default=0)
     df = df.withColumn("near", F.arrays_overlap("words", texts(prefixes)))
     df = df.withColumn("blocks", F.expr(r"CASE WHEN near THEN array_union(split(text, '\n'), split(text, '\n[ \t\r]*\n')) ELSE cast(array() AS array<string>) END"))
-    df = df.withColumn("sets", F.transform("blocks", lambda b: F.array_distinct(F.filter(F.split(F.lower(b), BREAK), lambda w: w != ""))))
-    df = df.withColumn("sets", F.filter("sets", lambda s: F.arrays_overlap(s, texts(prefixes))))
-    shares = [F.coalesce(F.array_max(F.transform("sets", contained(order, need))), F.lit(0.0)) for _, order, need in ordered]
-    df = df.withColumn("shares", F.array(*shares))
-    labels = F.array(*(F.lit(label) for label, *_ in ordered))
-    found = F.filter(F.transform(labels, lambda label, i: F.when(F.get("shares", i) > 0, label)), lambda x: x.isNotNull())
+    df = df.withColumn("blocks", F.transform("blocks", lambda b: F.array_intersect(order, F.filter(F.split(F.lower(b), BREAK), lambda w: w != ""))))
+    df = df.withColumn("blocks", F.array_distinct(F.filter("blocks", lambda s: (F.size(s) >= least) & F.arrays_overlap(s, texts(prefixes)))))
+    df = df.select("doc_id", "n_words", "places", "base", "blocks", F.when(F.size("blocks") > 0, F.xxhash64("doc_id", "text", "blocks")).alias("key"))
+    seen = cut(df)
+
+    spark = docs.sparkSession
+    table = spark.createDataFrame([(i, label, s, need) for i, (label, s, need) in enumerate(ordered)], "template int, label string, ordered array<string>, need int")
+    blocks = seen.where("key IS NOT NULL").select("key", F.explode("blocks").alias("words")).distinct()
+    found = matches(blocks, table).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))  # a label each at most
+    out = seen.join(found, "key", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
     any_base = F.size("base") > 0
-    return df.select(
+    return out.select(
         F.col("doc_id").alias(id_col),
         "n_words",
         F.size("places").cast("bigint").alias("n_base"),
         F.array_min("places").cast("bigint").alias("first_word"),
         F.array_max("places").cast("bigint").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", found)), ",").alias("labels"),
-        F.when(any_base, F.lit(1.0)).otherwise(F.array_max("shares")).alias("score"),
+        F.array_join(F.array_sort(F.array_union("base", "found")), ",").alias("labels"),
+        F.when(any_base, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )

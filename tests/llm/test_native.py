@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import math
+import random
 import re
 
 import duckdb
@@ -49,6 +51,45 @@ def test_quality_verdict_follows_distance(spark):
     assert not (out.kept & (out.class_distance > quality_rules.MOST_CLASS_DISTANCE)).any()
 
 
+def plain_histograms(text, lang):
+    """Class and common-word counts by single characters and words."""
+    import unicodedata
+
+    classes = [0] * 8
+    for c in re.sub(r"[ \t\n\x0b\f\r]", "", text):
+        k = 0 if c in "aeiou" else 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 4 if c in ".,;:!?'\"()-" else 5 if c.isascii() and c.isprintable() else 6 if unicodedata.category(c)[0] == "L" else 7
+        classes[k] += 1
+    words, common = WORD.findall(text), quality_rules.COMMON_WORDS.get(lang, "").split()
+    wording = [words.count(w) for w in common]
+    return classes, [*wording, len(words) - sum(wording)]
+
+
+def plain_distance(a, b):
+    if not sum(a) or not sum(b):
+        return None
+    p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+    mean = [(x + y) / 2 for x, y in zip(p, q)]
+    kl = lambda u: sum(x * math.log2(x / m) for x, m in zip(u, mean) if x > 0)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_quality_distances_equal_plain_ones(spark, edge_docs):
+    for docs in (docs_of(spark), edge_docs):
+        rows = docs.collect()
+        name = lambda lang: lang if lang in quality_rules.COMMON_WORDS else "other"
+        found, sums = [plain_histograms(r.text or "", r.lang) for r in rows], {}
+        for r, hists in zip(rows, found):
+            sums[name(r.lang)] = [[x + y for x, y in zip(h, s)] for h, s in zip(hists, sums.get(name(r.lang), [[0] * len(h) for h in hists]))]
+        wanted = []
+        for r, hists in zip(rows, found):
+            by_class, by_word = (plain_distance(h, s) for h, s in zip(hists, sums[name(r.lang)]))
+            n, *_, failed = plain_counts(r.text or "")
+            kept = not failed and not (by_class or 0) > quality_rules.MOST_CLASS_DISTANCE and not (n >= quality_rules.WORD_LEAST_WORDS and (by_word or 0) > quality_rules.MOST_WORD_DISTANCE)
+            wanted.append((r.doc_id or -1, kept, *(None if x is None else round(x, 6) for x in (by_class, by_word))))
+        got = [(r.doc_id or -1, r.kept, *(None if x is None else round(x, 6) for x in (r.class_distance, r.word_distance))) for r in quality_rules.judge(docs).collect()]
+        assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
 TOKEN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -82,6 +123,23 @@ def test_licenses_equal_brute_force(spark, edge_docs, no_docs):
     assert licenses.scan(no_docs).collect() == []
 
 
+def test_license_matches_equal_brute_force(spark):
+    """Random blocks against random templates, in an order of rarity."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i:02}" for i in range(30)]  # rarest first
+    templates = [(t, f"l{t % 4}", sorted(rng.sample(vocabulary, rng.randint(3, 14)))) for t in range(12)]
+    table = [(t, label, own, math.ceil(0.8 * len(own) - 1e-9)) for t, label, own in templates]
+    blocks = [(k, sorted(set(rng.choice(templates)[2]) ^ set(rng.sample(vocabulary, rng.randint(0, 4))))) for k in range(300)]
+    wanted = {}
+    for k, words in blocks:
+        for _, label, own, need in table:
+            share = len(set(own) & set(words)) / len(own)
+            if len(set(own) & set(words)) >= need:
+                wanted[k, label] = max(wanted.get((k, label), 0), share)
+    out = licenses.matches(spark.createDataFrame(blocks, "key bigint, words array<string>"), spark.createDataFrame(table, "template int, label string, ordered array<string>, need int"))
+    assert {(r.key, r.label): r.share for r in out.collect()} == wanted and wanted
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -106,6 +164,27 @@ def test_secrets_ownership_decides(spark):
     rows = [(i, f"x {common} y", f"s{i}", "en") for i in range(5)] + [(9, f"see {own}", "s1", "en"), (9, f"see {own}", "s1", "en")]
     out = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")).collect()
     assert {(r.doc_id, r.spans, r.n_live, r.n_copied) for r in out} == {*((i, "", 0, 1) for i in range(5)), (9, "vendor:4:32", 1, 0)} and len(out) == 7
+    one_owner = spark.createDataFrame([(i, f"x {own} y", "s1", lang) for i, lang in enumerate(("en", "de", "fr", "es"))], "doc_id bigint, text string, source string, lang string")
+    assert {(r.spans, r.n_live, r.n_copied) for r in secrets.scan(one_owner).collect()} == {("vendor:2:30", 1, 0)}
+
+
+def test_secrets_spans_equal_a_plain_count_of_owners(spark):
+    rng = random.Random(3)
+    values = ["ghp_" + "".join(rng.choice("abcXYZ019") for _ in range(24)) for _ in range(12)] + ["Bearer " + "q" * 30, "token=" + "z" * 12]
+    rows = [(i, " and ".join(rng.sample(values, rng.randint(0, 3))), rng.choice(("s1", "s2", "s3", "s4", None)), rng.choice(("en", "de", "fr", None))) for i in range(60)]
+    owners, places = collections.defaultdict(set), collections.defaultdict(set)
+    for _, text, source, lang in rows:
+        for v in values:
+            if v in text:
+                owners[v].add(source)
+                places[v].add((source, lang))
+    copied = {v for v in values if len(owners[v]) > 2 or len(owners[v]) > 1 and len(places[v]) > 3}
+    plain = {}
+    for i, text, *_ in rows:
+        spans = [(text.index(v), "vendor" if v[0] == "g" else "bearer" if v[0] == "B" else "assign", text.index(v) + len(v)) for v in values if v in text and (v[0] == "t" or v not in copied)]
+        plain[i] = ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans))
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")).collect()
+    assert {r.doc_id: r.spans for r in out} == plain and 0 < len(copied) < len(values)
 
 
 def test_chat_pairs_match_sql(spark):
