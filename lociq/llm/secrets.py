@@ -2,8 +2,9 @@
 
 Candidates come from fixed base patterns and from further patterns of known token forms.
 Each candidate's value is hashed, and hashes are aggregated over the whole corpus by
-distinct repositories and owners: a value that more than `MOST_OWNERS` owners or
-`MOST_REPOSITORIES` repositories hold is a widely copied example, any other looks live.
+distinct repositories and owners: a value that more than `MOST_OWNERS` owners hold, or
+several owners in more than `MOST_REPOSITORIES` repositories, is a widely copied example;
+any other looks live. What one owner alone holds is that owner's, in however many places.
 Base spans always stay; the further ones stay where they look live and touch no base span.
 
 Offsets are code points, ends are exclusive. Matches are found by splitting a text at a
@@ -81,7 +82,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     held = seen.where("size(base) + size(more) > 0").select("key", "owner", "repository", F.explode(F.array_distinct(F.transform(F.concat("base", "more"), lambda s: s["hash"]))).alias("hash"))
     by_owner = held.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     owners = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    copied = cut(owners.where((F.col("owners") > MOST_OWNERS) | (F.col("repositories") > MOST_REPOSITORIES)).select("hash"))
+    copied = cut(owners.where((F.col("owners") > MOST_OWNERS) | ((F.col("owners") > 1) & (F.col("repositories") > MOST_REPOSITORIES))).select("hash"))
     marked = cut(held.select("key", "hash").distinct().join(copied, "hash").groupBy("key").agg(F.collect_set("hash").alias("copied")))  # a document's own hashes
 
     out = seen.join(marked, "key", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<bigint>")))
