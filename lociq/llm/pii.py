@@ -112,7 +112,7 @@ GENERATORS: tuple[tuple[str, re.Pattern, str], ...] = (
 )
 #: What must stand in a text before a generator is worth running.
 NEEDS = {"phone": DIGIT, "card": DIGIT, "ssn": re.compile("-[0-9]{2}-"), "iban": DIGIT, "ip": re.compile(":[0-9a-fA-F:]{1,5}:"), "email": re.compile(r"at[\])} ]|AT[\])} ]")}
-NAME = re.compile(r"[A-Za-z0-9._-]{2,40}$")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
 #: Words before a candidate that speak for a kind (fixed values).
 CUES = {
     "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "sms"),
@@ -159,12 +159,16 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
 
 
 def proposed_by(kind: str, pattern: re.Pattern, barred: str, text: str) -> Iterator[Span]:
+    done = 0
     for m in pattern.finditer(text):
         start, end = m.span()
         if kind == "email":
-            name = NAME.search(text[max(0, start - 41) : start])
-            if name:
-                yield start - len(name.group()), end, kind
+            first = start  # the whole name before it, which belongs to one match only
+            while first > done and text[first - 1] in NAME:
+                first -= 1
+            done = end
+            if start - first >= 2:
+                yield first, end, kind
         elif not start or not (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in barred):
             yield start, end, kind
 

@@ -134,6 +134,14 @@ def test_pii_candidates_are_calibrated_and_add_only():
     assert {s[2] for s in base} == {"email"} and set(base) <= set(spans) and {"phone", "ssn"} <= {s[2] for s in spans}
 
 
+def test_pii_takes_whole_written_out_names():
+    model, limits = pii.trained()
+    name = "a.very.long.name_of_someone-" * 4 + "end"
+    text = f"write to {name} [at] example [dot] com today"
+    assert (9, text.index(" today"), "email") in pii.find(text, model, limits)[1]
+    assert pii.redacted(text, pii.find(text, model, limits)[1]) == "write to [EMAIL] today"
+
+
 def test_pii_redaction_keeps_columns(edge_docs, no_docs):
     assert pii.redacted("to a.b@c.de now", pii.base_spans("to a.b@c.de now")) == "to [EMAIL] now"
     out = pii.redact_documents(edge_docs)
@@ -154,6 +162,29 @@ def test_quality_on_held_out_labels(spark):
     assert ((out.predicted == out.quality).mean() >= 0.95) and out.score.between(0, 1).all()
 
 
+def test_quality_scores_equal_a_plain_discriminant(spark):
+    """Two Gaussians by their textbook form: determinant and inverse, on plain sums."""
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = {r.doc_id: np.array(discriminant.statistics(r.text or "")) for r in docs.collect()}
+    known = [(x[r.doc_id], r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    sides = {y: np.array([v for v, q in known if q == y]) for y in (0, 1)}
+    total, d = sum(map(len, sides.values())), len(discriminant.NAMES)
+    own = {y: np.cov(v, rowvar=False, bias=True) for y, v in sides.items()}
+    pooled = sum(len(v) * own[y] for y, v in sides.items()) / total
+    pooled = (1 - discriminant.TO_DIAGONAL) * pooled + discriminant.TO_DIAGONAL * np.diag(np.diag(pooled)) + 1e-4 * np.eye(d)
+    log = {}
+    for y, v in sides.items():
+        w = len(v) / (len(v) + d) * (1 - discriminant.TO_POOLED)
+        cov = w * own[y] + (1 - w) * pooled
+        log[y] = lambda u, m=v.mean(0), c=cov, n=len(v): np.log(n / total) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (u - m) @ np.linalg.inv(c) @ (u - m)
+    for r in discriminant.classify(docs, labels).collect():
+        u = x[r.doc_id]
+        assert abs(r.score - 1 / (1 + np.exp(np.clip(log[0](u) - log[1](u), -500, 500)))) < 1e-6
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7)
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     out = discriminant.classify(edge_docs, none).collect()
