@@ -1,5 +1,5 @@
 """Repeat annotation, signal strength, candidate regions, their graph and batches
-(J01, J03-J07, J19, W03, W06, W07, A07-A11, A16, F07-F10, P11, P13, P14, K04)."""
+(J01, J03-J06, J12, J19, W03, W06, W07, A08, A09, A16, F07-F10, P11, P13, P14, K04)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Read clustering and consensus per container (G06-G12): grouped kernels over the reads of
+"""Read clustering and consensus per container (G06-G08, G11): grouped kernels over the reads of
 one container, and a seam for outside aligners and assemblers."""
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Depth and copy number."""
+"""Depth and copy number."""
 
 from __future__ import annotations
 

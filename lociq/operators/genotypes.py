@@ -1,4 +1,4 @@
-"""Genotype likelihoods, calls and Mendelian consistency."""
+"""Genotype likelihoods, calls and Mendelian consistency."""
 
 from __future__ import annotations
 

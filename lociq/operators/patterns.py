@@ -1,5 +1,5 @@
 """From ordered break signals to variant patterns and composites
-(W08-W10, W19, G02, G03, G05, G15, J13-J16, J29, A15, A18, A20, A30)."""
+(W08-W10, W19, G02, G03, G15, J13-J16, J29, A18, A20, A30)."""
 
 from __future__ import annotations
 

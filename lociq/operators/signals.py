@@ -1,4 +1,4 @@
-"""Alignments to read fragments and their structural signals.
+"""Alignments to read fragments and their structural signals.
 
 alignments: (sample, qname, flag, rname, pos, mapq, cigar); pos is 0-based here.
 Signal types: 0 insertion, 1 deletion, 3 left break, 4 right break.
@@ -6,6 +6,8 @@ Signal types: 0 insertion, 1 deletion, 3 left break, 4 right break.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,6 +74,28 @@ def fragments(alignments: DataFrame, **limits) -> DataFrame:
     return out.withColumn("effective", F.struct(F.col("chr"), F.col("ref_start").alias("start"), F.col("ref_end").alias("end")))
 
 
+def in_order(rafs: DataFrame, path: str, by=("chr", "ref_start", "ref_end")) -> None:
+    """Fragments written in genome order (T01): ranges across files, sorted within."""
+    rafs.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
+def name_hash(column: str):
+    """Unsigned 64-bit xxHash of a name with seed 0 (X09), which the built-in function's
+    fixed seed does not give."""
+    import xxhash
+
+    @F.pandas_udf("decimal(20,0)")
+    def digest(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: None if x is None else Decimal(xxhash.xxh64_intdigest(x)))
+
+    return digest(column)
+
+
+def covering(rafs: DataFrame) -> DataFrame:
+    """(chr, start, end, read_hash) of fragments, for depth by reads."""
+    return rafs.select("chr", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), name_hash("read_name").alias("read_hash"))
+
+
 def exploded(rafs: DataFrame) -> DataFrame:
     """One row per signal."""
     kept = [c for c in rafs.columns if c not in ("sv_signals", "ref_start", "ref_end", "read_start", "read_end", "effective")]

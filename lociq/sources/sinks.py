@@ -1,8 +1,10 @@
-"""Writing results as Parquet in genome order and as genomic text."""
+"""Writing results as Parquet in genome order and as genomic text (K01-K03, K05-K20, K22,
+X13)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SYMBOLIC_FROM = 100_000
@@ -98,3 +100,100 @@ def filtered(df: DataFrame, keep: Column, stage: str, reason: str) -> tuple[Data
     """The rows that stay, and those that go with the stage and the reason."""
     good = F.coalesce(keep, F.lit(False))
     return df.where(good), df.where(~good).withColumns({"stage": F.lit(stage), "reason": F.lit(reason)})
+
+
+def write_table(df: DataFrame, path: str, by: str | None = "chr") -> None:
+    """Coverage, copy numbers, containers, patterns and consensuses as Parquet (K02, K03,
+    K05, K08, K22); a folder for each chromosome where a column is named, so that a reader
+    of some takes those only. Row groups take the place of chunks of fixed size."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+
+
+def write_tsv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """Tab-separated lines with a header (K06); arrays are comma-joined."""
+    flat = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
+    writer = df.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True)
+    (writer.option("compression", compression) if compression else writer).csv(path)
+
+
+def write_jsonl(df: DataFrame, path: str, everyone: DataFrame | None = None, on: str = "container_id", compression: str | None = None) -> None:
+    """A record a line (K07, K19); with everyone, also for those that have none."""
+    rows = df if everyone is None else everyone.select(on).join(df, on, "left")
+    writer = rows.write.mode("overwrite").option("ignoreNullFields", False)
+    (writer.option("compression", compression) if compression else writer).json(path)
+
+
+def json_tsv_line(df: DataFrame, *columns: str) -> DataFrame:
+    """Lines with the named columns and the whole record as JSON in the last one (X10):
+    what text_formats.read_json_tsv reads."""
+    record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    return df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in columns), record).alias("value"))
+
+
+def pattern_ids(patterns: DataFrame) -> DataFrame:
+    """Adds pattern_key, number-type-consensus, the number counting a consensus's patterns
+    of one type in order of place (K08)."""
+    order = W.partitionBy("consensus_id", "svtype").orderBy("start", "pattern_id")
+    return patterns.withColumn("pattern_key", F.concat_ws("-", (F.row_number().over(order) - 1).cast("string"), "svtype", F.col("consensus_id").cast("string")))
+
+
+def region_bed(found: DataFrame) -> DataFrame:
+    """Candidate regions as BED columns (K13): name is the id, score the reads."""
+    return found.select("chr", "start", "end", F.col("region_id").alias("name"), F.least("n_reads", F.lit(1000)).alias("score"))
+
+
+def pattern_bed(primitives: DataFrame) -> DataFrame:
+    """A line per pattern from its first to its last place (K14); the outer interval is
+    what INV-DEL and INV-DUP span too."""
+    spans = primitives.groupBy("pattern_id", "svtype", "chr").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("support").alias("score"))
+    return spans.select("chr", "start", F.greatest("end", F.col("start") + 1).alias("end"), F.concat_ws("-", "svtype", F.col("pattern_id").cast("string")).alias("name"), "score")
+
+
+def primitive_vcf(primitives: DataFrame, samples: list[str]) -> DataFrame:
+    """(chr, pos, line): primitives as flat lines with empty genotypes."""
+    info = F.concat(F.lit("SVTYPE="), "svtype", F.lit(";END="), (F.col("end") + 1).cast("string"), F.lit(";SVLEN="), F.when(F.col("svtype") == "DEL", -F.col("size")).otherwise(F.col("size")).cast("string"), F.lit(";SUPPORT="), F.col("support").cast("string"))
+    line = F.concat_ws("\t", F.col("chr").cast("string"), (F.col("start") + 1).cast("string"), F.concat_ws(".", "svtype", F.col("primitive_id").cast("string")), F.lit("N"), F.concat(F.lit("<"), "svtype", F.lit(">")), F.lit("."), F.lit("PASS"), info, F.lit("GT:GQ"), *(F.lit("./.:.") for _ in samples))
+    return primitives.select("chr", (F.col("start") + 1).alias("pos"), line.alias("line"))
+
+
+def write_sequences(sequences: DataFrame, wanted: DataFrame | None, path: str, shards: int | None = None, name: str = "consensus_id", seq: str = "sequence") -> None:
+    """Sequences of the wanted ids as FASTA (K16, K22), in so many shards by their id."""
+    rows = sequences if wanted is None else sequences.join(wanted.select(name).distinct(), name, "left_semi")
+    rows = rows if shards is None else rows.repartition(shards, name)
+    write_fasta(rows, path, name, seq)
+
+
+def fastq_record(name: str, seq: str, qual: str) -> Column:
+    return F.concat(F.lit("@"), F.col(name), F.lit("\n"), F.col(seq), F.lit("\n+\n"), F.coalesce(F.col(qual), F.expr(f"repeat('!', length({seq}))")))
+
+
+def write_cut_reads(cut: DataFrame, path: str, fastq: bool = False, name: str = "qname", compression: str | None = None) -> None:
+    """Reads cut to a region (alignments.cut with cut_seq) as FASTA or FASTQ."""
+    rows = cut.select(fastq_record(name, "cut_seq", "cut_qual") if fastq else fasta_record(name, "cut_seq"))
+    writer = rows.write.mode("overwrite")
+    (writer.option("compression", compression) if compression else writer).text(path)
+
+
+def family_report(counts: DataFrame) -> DataFrame:
+    """A row per type and size bin with the statuses beside each other and the share that
+    is consistent among those that inform (K18); counts as genotypes.consistency gives."""
+    states = ["consistent", "inconsistent", "non_informative", "uncertain"]
+    wide = counts.groupBy("svtype", "size_bin").pivot("status", states).agg(F.sum("n")).na.fill(0)
+    informs = F.col("consistent") + F.col("inconsistent")
+    return wide.withColumn("percent", F.when(informs > 0, F.round(100.0 * F.col("consistent") / informs, 2)))
+
+
+def latex_line(*columns: str) -> Column:
+    """A row of a LaTeX table."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("--")), r"([%_&#])", r"\\$1")
+    return F.concat(F.concat_ws(" & ", *map(cell, columns)), F.lit(r" \\"))
+
+
+def annotated(lines: DataFrame, status: DataFrame) -> DataFrame:
+    """VCF lines with each variant's family status in INFO as MNDL (K18). lines: (variant_id,
+    line); status: (variant_id, status)."""
+    df = lines.join(status.select("variant_id", "status"), "variant_id", "left")
+    f = F.split("line", "\t")
+    info = F.when(F.col("status").isNull(), f[7]).otherwise(F.concat(f[7], F.lit(";MNDL="), "status"))
+    return df.withColumn("line", F.array_join(F.concat(F.slice(f, 1, 7), F.array(info), F.slice(f, F.lit(9), F.greatest(F.size(f) - 8, F.lit(0)))), "\t")).drop("status")

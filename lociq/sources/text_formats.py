@@ -1,11 +1,15 @@
-"""Genomic text formats as DataFrames."""
+"""Genomic text formats as DataFrames.
+
+Plain and gzipped files are read alike, by their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociq.operators.intervals import range_join
+from lociq.operators.intervals import range_join, running_sum
+from lociq.operators.signals import SIGNAL
 
 BED = "chr string, start bigint, end bigint, name string, score string, strand string"
 FAI = "chr string, length bigint, offset bigint, line_bases bigint, line_width bigint"
@@ -88,15 +92,22 @@ def read_vcf(spark: SparkSession, path: str, only_pass: bool = False) -> DataFra
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
-    """A reference as (chr, start, end, seq) chunks (S11): a record is what stands between
-    two '>' signs."""
-    records = spark.read.text(path, lineSep=">").where("trim(value) <> ''")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    whole = records.select(name.alias("chr"), seq.alias("whole"))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("whole") - 1, F.lit(0)), F.lit(chunk))).alias("start")
-    cut = whole.select("chr", "whole", at)
-    return cut.select("chr", F.col("start").cast("bigint"), F.least(F.col("start") + chunk, F.length("whole")).cast("bigint").alias("end"), F.substring(F.col("whole"), F.col("start") + 1, F.lit(chunk)).alias("seq"))
+    """A reference as (chr, start, end, seq) chunks (S11). Lines are numbered where they
+    stand, a header's name is carried to the lines after it, and the bases of a line go to
+    the chunks that it touches: a contig is never one row, and a '>' inside a header is
+    part of it."""
+    lines = line_numbers(spark.read.text(path)).where("value <> ''")
+    heads = lines.where("value LIKE '>%'").select(F.col("line").alias("head"), F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("chr"))
+    # A reference has as many headers as contigs: their lines part the file.
+    spans = heads.select("chr", F.col("head").alias("r_start"), F.coalesce(F.lead("head").over(W.orderBy("head")), F.lit(1 << 62)).alias("r_end"))
+    body = lines.where("value NOT LIKE '>%'").select("line", F.regexp_replace("value", r"\s", "").alias("bases"))
+    named = body.join(F.broadcast(spans), (F.col("line") > F.col("r_start")) & (F.col("line") < F.col("r_end"))).select("chr", F.col("line").alias("position"), "bases", F.length("bases").cast("bigint").alias("n"))
+    placed = named.join(running_sum(named, "chr", "position", "n", "upto").select("chr", "position", "upto"), ["chr", "position"]).withColumn("at", F.col("upto") - F.col("n")).where("n > 0")
+    dealt = placed.withColumn("k", F.explode(F.expr(f"sequence(at div {chunk}, (upto - 1) div {chunk})")))
+    piece = F.expr(f"substring(bases, cast(greatest(k * {chunk} - at, 0) + 1 AS int), cast(least(upto, (k + 1) * {chunk}) - greatest(at, k * {chunk}) AS int))")
+    pieces = dealt.select("chr", "k", F.greatest(F.col("at"), F.col("k") * chunk).alias("from"), piece.alias("piece"))
+    whole = pieces.groupBy("chr", "k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "piece"))), lambda x: x["piece"]), "").alias("seq"))  # a chunk's lines
+    return whole.select("chr", (F.col("k") * chunk).alias("start"), (F.col("k") * chunk + F.length("seq")).alias("end"), "seq")
 
 
 def fetch(regions: DataFrame, chunks: DataFrame, chunk: int = 10_000) -> DataFrame:
@@ -127,3 +138,47 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     several = F.split(F.regexp_extract("value", r"crIDs=\{?([0-9, ]*)\}?", 1), r",\s*")
     ids = F.array_distinct(F.filter(F.concat(single, several), lambda x: x != ""))
     return lines.select("value", F.transform(ids, lambda x: F.trim(x).cast("bigint")).alias("region_ids"))
+
+
+#: Read fragments and candidate regions as JSON records.
+FRAGMENT = f"sample string, read_name string, chr string, ref_start bigint, ref_end bigint, read_start bigint, read_end bigint, mapq int, forward boolean, supplementary boolean, sv_signals array<{SIGNAL}>, effective struct<chr:string,start:bigint,end:bigint>"
+REGION = "region_id bigint, chr string, start bigint, end bigint, n_signals bigint, n_reads bigint"
+CONTAINER = "container_id bigint, region_ids array<bigint>, consensuses array<struct<consensus_id:string,sequence:string,reads:array<string>>>, unused array<string>"
+
+
+def read_json_tsv(spark: SparkSession, path: str, schema: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Records that stand as JSON in the last column of tab-separated lines (S06, X10),
+    after as many columns as are named. A line that is no record raises."""
+    f = F.split("value", "\t")
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    record = F.from_json(F.element_at(f, -1), schema, {"mode": "FAILFAST"})
+    return lines.select(*(f[i].alias(c) for i, c in enumerate(columns)), record.alias("_r")).select(*columns, "_r.*")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str = CONTAINER) -> DataFrame:
+    """One record a line, of a stated schema."""
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
+
+
+def read_stored(spark: SparkSession, path: str, wanted: DataFrame | None = None, on: tuple[str, ...] = (), chrs: list[str] | None = None) -> DataFrame:
+    """A stored table, of the chromosomes given, which are folders of it and read alone
+    (S07), and of the wanted keys (S09, S12), which reach the scan as a runtime filter."""
+    df = spark.read.parquet(path)
+    if chrs is not None:
+        df = df.where(F.col("chr").isin(*chrs))
+    return df if wanted is None else df.join(wanted.select(*on).distinct(), list(on), "left_semi")
+
+
+def whole_reads(alignments: DataFrame, regions: DataFrame, width: int = 10_000) -> DataFrame:
+    """(region_id, qname, seq, forward): the whole sequence of each read that lies over a
+    region, once (S15). A hard-clipped alignment borrows the sequence of the read's
+    alignment that has it all, turned to its own strand. alignments: (qname, flag, rname,
+    ref_start, ref_end, cigar, seq); regions: (region_id, chr, r_start, r_end)."""
+    complete = F.col("seq").isNotNull() & (F.col("seq") != "*") & ~F.col("cigar").contains("H")
+    reverse = F.expr("(flag & 16) > 0")
+    native = F.when(reverse, F.reverse(F.translate("seq", "ACGTacgt", "TGCAtgca"))).otherwise(F.col("seq"))
+    whole = alignments.where(complete).groupBy("qname").agg(F.min_by(native, F.struct("flag", "ref_start")).alias("native"))
+    rows = alignments.where("(flag & 256) = 0").select("qname", F.col("rname").alias("chr"), F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), (~reverse).alias("forward"), F.struct("flag", "ref_start").alias("first"))
+    over = range_join(rows, regions, width=width).groupBy("region_id", "qname").agg(F.min_by("forward", "first").alias("forward"))
+    out = over.join(whole, "qname")
+    return out.select("region_id", "qname", F.when(F.col("forward"), F.col("native")).otherwise(F.reverse(F.translate("native", "ACGTacgt", "TGCAtgca"))).alias("seq"), "forward")
