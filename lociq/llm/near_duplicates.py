@@ -5,14 +5,21 @@ coordinate and its value. Two documents whose sets are as similar as asked agree
 least `MATCHES` coordinates except with a chance below one in 100,000, so only the
 `COORDINATES - MATCHES + 1` rarest postings of each need be joined (the prefix), rarest
 over the whole corpus; values that no other document has count among these without being
-posted (the skip). Candidates that the prefixes bring together are counted over all
-coordinates, and those above the match threshold are confirmed on their full sets.
+posted (the skip). Beside them stands a sketch of one bit from each of `SKETCH` further
+coordinates: similar sets agree in `SKETCH_MATCHES` bits except with the same chance, and
+less similar ones seldom do. A third filter is exact: of `PARITY` bits, each the parity of
+the shingles that fall on it, two sets differ in no more than they differ in shingles,
+which is sharp for texts of up to some hundred words. Candidates that pass all three are
+confirmed on their full sets.
 
 Copies of one set are one class, and only classes are joined. Each class first meets one
-hub in every posting and is tested with the best of these, so a large group of near copies
-costs a link each and not a pair each. Components follow; then only pairs that lie in different components
-and still share a posting are tested, all of them. No link between components is lost and
-no pair inside a component is made.
+hub in every posting, the class whose own postings are the most common: in a group of
+copies that each have changes of their own, whatever is near to some copy is nearer still
+to the one with the fewest changes. So a group costs a link each and not a pair each
+(`HUB_ROUNDS` says how often, the later rounds between what is still apart). Only pairs that lie in
+different components and share a posting are then tested one by one: those outside a
+posting's largest component with all its holders, each pair at its first common posting.
+No link between components is lost and no pair inside a component is made.
 
 Null text, or text without words, has no set and is linked with nothing. Texts with fewer
 words than a shingle are one shingle. Rows that share an id are one document for links
@@ -37,16 +44,24 @@ from lociq.llm.graph import components
 
 COORDINATES, MATCHES = 32, 15
 PREFIX = COORDINATES - MATCHES + 1
+#: Bits of the sketch, and how many of them a similar pair shares: at a similarity of 0.8
+#: each bit agrees with a chance of 0.9, and fewer than 430 do so once in 100,000 pairs.
+SKETCH, SKETCH_MATCHES, PARITY = 512, 430, 1024
+HUB_ROUNDS = 1
 #: Pairs of a block, on average, in the confirmation of links.
 BLOCK_PAIRS = 20_000
 #: Bits of the bitmap that picks the documents to make sets of: 16 MB.
 BITS = 1 << 27
 #: Remembered words of a Python worker.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
+#: Documents whose results a Python worker holds at once.
+ROWS_HELD = 1000
 
 RANDOM = np.random.RandomState(20240229)
 FACTORS = RANDOM.randint(0, 2**63, COORDINATES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = RANDOM.randint(0, 2**63, COORDINATES, dtype=np.int64).astype(np.uint64)
+SKETCH_SHIFTS = RANDOM.randint(0, 2**32, SKETCH, dtype=np.int64).astype(np.uint32)
+SKETCH_FACTORS = RANDOM.randint(0, 2**32, SKETCH, dtype=np.int64).astype(np.uint32) | np.uint32(1)
 
 
 class WordHashes(dict):
@@ -91,36 +106,55 @@ def signature(found: np.ndarray) -> np.ndarray:
     return ((low & ~np.uint64(COORDINATES - 1)) | np.arange(COORDINATES, dtype=np.uint64)).view(np.int64)
 
 
-def lanes(postings: np.ndarray) -> tuple[int, int]:
-    """Four bits of each coordinate, sixteen coordinates to a number."""
-    bits = ((postings >> 20) & 15).reshape(2, 16) << np.arange(0, 64, 4)
-    low, high = np.bitwise_or.reduce(bits, axis=1).tolist()
-    return low, high
+def sketch(found: np.ndarray) -> np.ndarray:
+    """One bit of each of `SKETCH` minima over 32-bit hashes, then the `PARITY` bits, as
+    64-bit numbers."""
+    low = np.full(SKETCH, np.iinfo(np.uint32).max, dtype=np.uint32)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(short), 1024):
+            low = np.minimum(low, ((short[at : at + 1024, None] ^ SKETCH_SHIFTS) * SKETCH_FACTORS).min(axis=0))
+        bits = ((low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(31)
+    odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(np.concatenate([bits, odd]).astype(np.uint8)).view(np.int64)
+
+
+def differ(a: str, b: str, low: int, high: int) -> str:
+    """SQL for the differing bits of two sketches, whose numbers are called a and b."""
+    return "(" + " + ".join(f"bit_count({a.format(i)} ^ {b.format(i)})" for i in range(low // 64, high // 64)) + ")"
+
+
+def agree(a: str, b: str) -> str:
+    """SQL for the bits of the minima in which two sketches agree."""
+    return f"({SKETCH} - {differ(a, b, 0, SKETCH)})"
 
 
-def agree(other: str) -> str:
-    """SQL for the coordinates whose four bits agree in the lanes of this row and those
-    with a suffix: never fewer than agree in full, so what it rules out is no link."""
-    differ = lambda x: f"(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)"
-    return f"({COORDINATES} - bit_count({differ(f'(low ^ low{other})')}) - bit_count({differ(f'(high ^ high{other})')}))"
+def may_be_similar(a: str, b: str, percent: int) -> str:
+    """SQL for what two sketches of sets of n and m shingles leave possible."""
+    by_parity = f"{100 + percent}L * {differ(a, b, SKETCH, SKETCH + PARITY)} <= {100 - percent}L * (n + m)"
+    return f"{by_parity} AND {agree(a, b)} >= {SKETCH_MATCHES}"
+
+
+def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_HELD):
+            yield batch.iloc[at : at + ROWS_HELD]
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, same, postings, low, high): set size, a digest that copies of a set
-    share, the signature, and a few bits of it."""
+    """(doc_id, n, same, postings, sketch): set size, a digest that copies of a set share,
+    the signature, and the sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in held(batches):
             rows = []
             for key, text in zip(batch["doc_id"], batch["text"]):
                 found = shingles(text, width, hashes)
-                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
-                sign = signature(found) if len(found) else None
-                rows.append((key, len(found), digest, sign, *(lanes(sign) if len(found) else (0, 0))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "postings", "low", "high"])
+                rows.append((key, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found), sketch(found)) if len(found) else (key, 0, None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "postings", "sketch"])
 
-    return docs.mapInPandas(run, "doc_id bigint, n bigint, same binary, postings array<bigint>, low bigint, high bigint")
+    return docs.mapInPandas(run, "doc_id bigint, n bigint, same binary, postings array<bigint>, sketch array<bigint>")
 
 
 def bitmap(wanted: DataFrame) -> np.ndarray:
@@ -140,7 +174,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, bits = WordHashes(), shared.value
-        for batch in batches:
+        for batch in held(batches):
             place = batch["place"].to_numpy()
             batch = batch[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
             found = [shingles(t, width, hashes) for t in batch["text"]]
@@ -151,14 +185,26 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInPandas(run, "node bigint, found array<bigint>")
 
 
+def together(table: DataFrame) -> DataFrame:
+    """A written table in a session that lets joins use a coarser dealing of their keys."""
+    spark = table.sparkSession
+    other = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        other.conf.set(key, spark.conf.get(key))
+    other.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return other.read.schema(table.schema).parquet(*{p.rsplit("/", 1)[0] for p in table.inputFiles()}) if table.inputFiles() else other.createDataFrame([], table.schema)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) whose sets are as similar as asked.
 
     Pairs are dealt to a square of blocks by a's and b's hashes, about `BLOCK_PAIRS` to
     each, and a set goes once to every block that needs it: a document of very many pairs
     is spread over a row of blocks, and no pair carries sets through a shuffle."""
-    spark = pairs.sparkSession
     sets = scratch.cut(full_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), width))
+    # What lies together by block need not be dealt again by block and id: a setting of a
+    # session of its own, so that no other query's plan changes.
+    pairs, sets = together(pairs), together(sets)
     side = max(4, math.isqrt(pairs.count() // BLOCK_PAIRS) + 1)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
     dealt = pairs.withColumn("block", place("a") * side + place("b"))
@@ -166,52 +212,80 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scrat
     both = dealt.repartition("block").join(of("a"), ["block", "a"]).join(of("b"), ["block", "b"])
     shared = both.select("a", "b", (F.size("found_a") + F.size("found_b")).alias("total"), F.size(F.array_intersect("found_a", "found_b")).alias("inter"))
     alike = shared.where(F.expr(f"100L * inter >= {percent}L * (total - inter)")).select("a", "b")
-    # What lies together by block need not be dealt again by block and id.
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return scratch.cut(alike)
-    finally:
-        spark.conf.set(key, before)
+    return scratch.cut(alike)
 
 
 def prefixes(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(posting, size_class, node, n, low, high): each class's rarest postings, under its own size
-    class and the next, which is as far as similar sets can differ in size."""
+    """(posting, size_class, away, node, n, common): each class's rarest postings, under its
+    own size class and, away from it, the next, which is as far as similar sets can differ
+    in size; common is how many hold its postings in all."""
     posted = nodes.select("node", F.explode("postings").alias("posting"))
     shared = scratch.cut(posted.groupBy("posting").agg(F.count("*").alias("holders")).where("holders > 1"))
     held = posted.join(shared, "posting")
-    rarest = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "posting"))).alias("held")).join(nodes.select("node", "n", "low", "high"), "node")  # at most COORDINATES each
+    rarest = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "posting"))).alias("held")).join(nodes.select("node", "n"), "node")  # at most COORDINATES each
     # Postings that nobody else holds come first in rarity and use up the prefix.
     left = f"{PREFIX} - ({COORDINATES} - size(held))"
-    kept = rarest.where(f"{left} > 0").select("node", "n", "low", "high", F.explode(F.expr(f"slice(held, 1, {left})")).alias("p"))
+    common = F.expr("aggregate(held, 0L, (s, h) -> s + h.holders)")
+    kept = rarest.where(f"{left} > 0").select("node", "n", common.alias("common"), F.explode(F.expr(f"slice(held, 1, {left})")).alias("p"))
     step = math.log(100 / percent)
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    return kept.select(F.col("p.posting").alias("posting"), F.explode(F.array(size_class, size_class + 1)).alias("size_class"), "node", "n", "low", "high")
+    both = F.explode(F.array(F.struct(size_class.alias("c"), F.lit(False).alias("away")), F.struct((size_class + 1).alias("c"), F.lit(True).alias("away"))))
+    return kept.select(F.col("p.posting").alias("posting"), both.alias("s"), "node", "n", "common").select("posting", F.col("s.c").alias("size_class"), F.col("s.away").alias("away"), "node", "n", "common")
+
+
+def hub_pairs(named: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): each class of another component than a posting's hub, with the one of its
+    hubs that it agrees with best. named: posted rows with their labels, of postings with
+    several labels."""
+    key = ["posting", "size_class"]
+    hubs = named.groupBy(key).agg(F.max(F.struct("common", (-F.col("node")).alias("least"), "n", "label")).alias("hub"))
+    hubs = hubs.select(*key, (-F.col("hub.least")).alias("b"), F.col("hub.n").alias("m"), F.col("hub.label").alias("label_b"))
+    met = named.join(hubs, key).where((F.col("label") != F.col("label_b")) & F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)"))
+    met = scratch.cut(met.select(F.col("node").alias("a"), "n", "b", "m").distinct())
+    sides = met.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    near = sides.where(F.expr(may_be_similar("x[{}]", "y[{}]", percent))).select("a", "b", F.expr(agree("x[{}]", "y[{}]")).alias("agreed"))
+    best = near.groupBy("a").agg(F.max(F.struct("agreed", (-F.col("b")).alias("least"))).alias("best"))
+    return scratch.cut(best.select("a", (-F.col("best.least")).alias("b")))
+
+
+def remaining_pairs(named: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): all pairs of different components that share a posting and may be similar,
+    each once. Of two rows with different labels one lies outside the posting's largest
+    component, so only such rows look for partners."""
+    key = ["posting", "size_class"]
+    sizes = named.groupBy(*key, "label").agg(F.count("*").alias("rows"))
+    largest = sizes.groupBy(key).agg(F.max(F.struct("rows", "label")).alias("m")).select(*key, F.col("m.label").alias("main"))
+    rows = named.join(largest, key).select(*key, "away", "node", "n", "label", (F.col("label") == F.col("main")).alias("in_main"))
+    # The postings under which a class can meet others, in one order for all.
+    lists = named.where("NOT away").groupBy("node").agg(F.sort_array(F.collect_set("posting")).alias("own"))  # at most PREFIX
+    numbers = range((SKETCH + PARITY) // 64)
+    rows = scratch.cut(rows.join(nodes.select("node", *(F.col("sketch")[i].alias(f"x{i}") for i in numbers)), "node").join(lists, "node"))
+    other = rows.select(*key, F.col("away").alias("away_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("in_main").alias("main_b"), *(F.col(f"x{i}").alias(f"y{i}") for i in numbers), F.col("own").alias("own_b"))
+    once = F.expr("label <> label_b AND (main_b OR node > b) AND NOT (away AND away_b)")
+    fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND {may_be_similar('x{}', 'y{}', percent)}")
+    first = F.expr("posting = array_min(array_intersect(own, own_b))")
+    pairs = rows.where("NOT in_main").join(other, key).where(once & fits & first)
+    return scratch.cut(pairs.select(F.col("node").alias("a"), "b").distinct())
 
 
 def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """(node, label) of the classes that are linked with another."""
     cut, key = scratch.cut, ["posting", "size_class"]
     posts = cut(prefixes(nodes, percent, scratch))
-    hubs = posts.groupBy(key).agg(F.min(F.struct("node", "n", "low", "high")).alias("hub"), F.count("*").alias("holders")).where("holders > 1")
-    hubs = cut(hubs.select(*key, F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.low").alias("low_b"), F.col("hub.high").alias("high_b")))
-    fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND {agree('_b')} >= {MATCHES}")
-    # A class is tested with the hub that it agrees with best; its others come below.
-    stars = posts.join(hubs, key).where((F.col("node") > F.col("b")) & fits)
-    best = stars.groupBy(F.col("node").alias("a")).agg(F.max(F.struct(F.expr(agree("_b")).alias("agree"), (-F.col("b")).alias("least"))).alias("best"))
-    tested = cut(best.select("a", (-F.col("best.least")).alias("b")))
-    labels = components(confirmed(tested, docs, width, percent, scratch), None, scratch)
-    # What the hubs have not settled: pairs of different components that share a posting.
-    named = cut(posts.join(labels, "node", "left").select(*key, "node", "n", "low", "high", F.coalesce("label", "node").alias("label")))
-    open_keys = cut(named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key))
-    rest = cut(named.join(open_keys, key, "left_semi"))
-    other = rest.select(*key, F.col("node").alias("b"), F.col("n").alias("m"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("label").alias("label_b"))
-    across = rest.join(other, key).where((F.col("node") > F.col("b")) & (F.col("label") != F.col("label_b")) & fits)
-    pairs = across.select(F.col("node").alias("a"), "b").distinct()
-    pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-    return components(confirmed(pairs, docs, width, percent, scratch), labels, scratch)
+    labels, tested = None, None
+    for turn in range(HUB_ROUNDS + 1):
+        label = F.col("node") if labels is None else F.coalesce("label", "node")
+        named = (posts if labels is None else posts.join(labels, "node", "left")).withColumn("label", label)
+        open_keys = cut(named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key))
+        named = cut(named.join(open_keys, key, "left_semi"))
+        pairs = hub_pairs(named, nodes.select("node", "sketch"), percent, scratch) if turn < HUB_ROUNDS else remaining_pairs(named, nodes, percent, scratch)
+        if tested is not None:
+            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        labels = components(confirmed(pairs, docs, width, percent, scratch), labels, scratch)
+        tested = pairs.select("a", "b").union(pairs.select("b", "a")) if tested is None else tested.union(pairs.select("a", "b")).union(pairs.select("b", "a"))
+    return nodes.select("node", F.col("node").alias("label")).limit(0) if labels is None else labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession)
     seen = scratch.cut(signed(docs, width))
-    nodes = scratch.cut(seen.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("postings", "low", "high"))))
+    nodes = scratch.cut(seen.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("postings", "sketch"))))
     labels = links(nodes, docs, width, percent, scratch)
     classes = scratch.cut(nodes.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("component")))
     scratch.drop(seen, classes)
