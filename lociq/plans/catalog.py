@@ -352,10 +352,18 @@ def cr_components_whole(spark, d):
     return graph.components(edges)
 
 
-@query()
+PACKED = ISLANDS.format(pad=50, op=">").replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT *, row_number() OVER (ORDER BY chr, start) - 1 AS id FROM islands),
+    near AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY start, "end", id) AS rn FROM c WHERE "end" - start <= 20000),
+    walk(chr, rn, id, head, reach, held, batch) AS (SELECT chr, rn, id, start, "end", 1, CAST(0 AS BIGINT) FROM near WHERE rn = 1
+        UNION ALL SELECT chr, rn, id, CASE WHEN fits THEN head ELSE start END, CASE WHEN fits THEN greatest(reach, "end") ELSE "end" END, CASE WHEN fits THEN held + 1 ELSE 1 END, CASE WHEN fits THEN batch ELSE batch + 1 END
+        FROM (SELECT n.*, w.head, w.reach, w.held, w.batch, w.held < 20 AND greatest(w.reach, n."end") - w.head <= 20000 AS fits FROM walk w JOIN near n ON n.chr = w.chr AND n.rn = w.rn + 1)),
+    packed AS (SELECT chr, batch, count(*) AS n, min(id) AS first FROM walk GROUP BY chr, batch UNION ALL SELECT chr, -1 - id, 1, id FROM c WHERE "end" - start > 20000)"""
+
+
+@query(PACKED + " SELECT * FROM packed")
 def pack_batches(spark, d):
     found = candidates.numbered(candidates.regions(view(spark, d, "v_signal"))).withColumnRenamed("region_id", "container_id")
-    return candidates.batches(candidates.extents(found), most=20, span=20_000).select("chr", "batch", F.size("container_ids").alias("n"), F.array_min("container_ids").alias("first"))
+    return candidates.batches(candidates.extents(found), most=20, span=20_000).select("chr", "batch", F.size("container_ids").cast("bigint").alias("n"), F.array_min("container_ids").alias("first"))
 
 
 @query()
