@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociq.functions import dna
-from lociq.operators import alignments, calls, candidates, coverage, statistics
+from lociq.functions import dna, scores
+from lociq.operators import alignments, calls, candidates, coverage, signals, statistics
 from lociq.plans.catalog import CIGARS, query
 from lociq.plans.views import rounded, view
 
@@ -94,6 +94,23 @@ def consensus_padding(spark, d):
     return alignments.padding(rows, 40)
 
 
+@query(f"""WITH {OPS}, t AS (SELECT *, a % 2 = 0 AS forward, 2 * a + b * 11 + 8 AS n FROM run),
+    s AS (SELECT {KEY}, CASE op WHEN 'D' THEN 1 ELSE 0 END AS sv_type, r AS ref_start, r + CASE op WHEN 'D' THEN len ELSE 0 END AS ref_end, CASE WHEN forward THEN q ELSE n - q - CASE op WHEN 'I' THEN len ELSE 0 END END AS read_start, CASE WHEN forward THEN q + CASE op WHEN 'I' THEN len ELSE 0 END ELSE n - q END AS read_end, len AS size FROM t WHERE op IN ('D', 'I') AND len >= 3
+        UNION ALL SELECT {KEY}, 3, pos, pos, CASE WHEN forward THEN a ELSE n - a END, CASE WHEN forward THEN a ELSE n - a END, a FROM t WHERE k = 0 AND a >= 5)
+    SELECT {KEY}, CAST(sv_type AS INT) AS sv_type, ref_start, ref_end, read_start, read_end, size FROM s""")
+def alignment_signals(spark, d):
+    rows = aligned(spark, d).drop("blocks", "forward").withColumn("flag", F.expr("CASE WHEN a % 2 = 0 THEN 0 ELSE 16 END"))
+    return signals.with_signals(signals.located(rows), 3, 5).select(*KEY.split(", "), F.inline("sv_signals"))
+
+
+@query("""WITH good AS (SELECT chr, s, e, read_id, n_del FROM v_raf WHERE n_del >= 2 AND e - s >= 100 AND NOT forward),
+    deep AS (SELECT a.chr, a.s, a.e, a.read_id, a.n_del, count(*) AS depth FROM good a JOIN good b ON a.chr = b.chr AND b.s <= a.s AND b.e > a.s WHERE b.s < a.s OR (b.e, b.read_id, b.n_del) <= (a.e, a.read_id, a.n_del) GROUP BY ALL)
+    SELECT chr, s AS start, e AS "end", read_id, n_del FROM deep WHERE depth <= 8""")
+def admitted_alignments(spark, d):
+    rows = view(spark, d, "v_raf").selectExpr("chr AS rname", "start AS ref_start", "`end` AS ref_end", "read_id AS qname", "cast(n_del AS int) AS mapq", "CASE WHEN forward THEN 256 ELSE 16 END + n_del * 512 AS flag", "n_del")
+    return signals.admitted(rows, min_mapq=2, min_segment=100, most_depth=8).select(F.col("rname").alias("chr"), F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), F.col("qname").alias("read_id"), "n_del")
+
+
 # --- statistics -----------------------------------------------------------------------
 
 
@@ -407,3 +424,40 @@ def uniform_cover(spark, d):
 def log_hits(spark, d):
     lines = view(spark, d, "v_signal").select(F.col("signal_id").alias("line"), F.array("read_id").alias("region_ids"), "chr", "start", "end")
     return calls.log_hits(lines, [3, 5, 8], view(spark, d, "v_region").where("region_id % 4 = 0")).select(F.col("line").alias("signal_id"))
+
+
+# --- seeds, depths and scores ---------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN sv_type >= 3 THEN 300 WHEN sv_type = 1 THEN greatest(50, CAST(floor((e - s) * 0.1::DOUBLE) AS BIGINT)) ELSE 50 END AS margin FROM v_signal) SELECT signal_id, greatest(s - margin, 0) AS start, e + margin AS "end" FROM m""")
+def seed_margins(spark, d):
+    return candidates.seed_margins(view(spark, d, "v_signal")).select("signal_id", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
+
+
+@query(f"WITH {SWEPT.format('v_raf', 'every')} SELECT chr, CAST(max(depth) AS BIGINT) AS max_depth FROM every GROUP BY chr")
+def max_depths(spark, d):
+    return coverage.max_depth(view(spark, d, "v_raf"))
+
+
+@query("""WITH marked AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 4000 THEN 1 ELSE 0 END AS fresh FROM v_region),
+    numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM marked) SELECT chr, min(s) AS start, max(e) AS "end", count(*) AS members FROM numbered GROUP BY chr, g""")
+def close_regions(spark, d):
+    return coverage.close_regions(view(spark, d, "v_region"), 4000)
+
+
+SCORED = {
+    "alike": ("CASE WHEN abs(x - y) > 0.10::DOUBLE * least(x, y) THEN 0.0 WHEN abs(x - y) < 0.01::DOUBLE * least(x, y) THEN 1.0 ELSE 0.01::DOUBLE * least(x, y) / (100 * abs(x - y)) END", lambda x, y: scores.size_similarity(x, y)),
+    "near": ("30.0::DOUBLE / (x + 30)", lambda x, y: scores.distance_score(x)),
+    "damped": ("1 - exp(-pow(x / 30.0::DOUBLE, 1.5))", lambda x, y: scores.size_damping(x)),
+    "falling": ("exp(-x / 5000.0::DOUBLE)", lambda x, y: scores.exponential_weight(x)),
+    "bell": ("exp(-x * x / (2 * 40.0::DOUBLE * 40))", lambda x, y: scores.gaussian_weight(x, 40.0)),
+    "inverse": ("1 / pow(1 + x / 20.0::DOUBLE, 2)", lambda x, y: scores.inverse_power_weight(x, 20.0, 2.0)),
+    "logistic": ("1 / (1 + exp((x - 50) / 8.0::DOUBLE))", lambda x, y: scores.logistic_weight(x, 50.0, 8.0)),
+    "between": ("x + (y - x) * 0.25::DOUBLE", lambda x, y: scores.lerp(x, y, F.lit(0.25))),
+}
+
+
+@query("WITH t AS (SELECT signal_id, CAST(size AS DOUBLE) AS x, CAST(1 + signal_id % 90 AS DOUBLE) AS y FROM v_signal) SELECT signal_id, " + ", ".join(f"round({body}, 6) AS {name}" for name, (body, _) in SCORED.items()) + " FROM t")
+def score_functions(spark, d):
+    x, y = F.col("size").cast("double"), F.expr("cast(1 + signal_id % 90 AS double)")
+    return view(spark, d, "v_signal").select("signal_id", *(F.round(f(x, y), 6).alias(name) for name, (_, f) in SCORED.items()))

@@ -539,12 +539,13 @@ def medoid_rank(spark, d):
     return patterns.medoids(rows).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-BREAKS = "SELECT user_id AS consensus_id, event_id AS ord, event_id % 3 AS chr, event_id * 13 % 2000 AS ref, event_id * 7 % 500 AS read, event_type IN ('view', 'click') AS forward, event_id % 4 AS alignment, event_id * 13 % 2000 - 200 AS aln_start, event_id * 13 % 2000 + 100 AS aln_end FROM events"
+#: Breaks of which some stand at one place, on alignments that lie apart or over each other.
+BREAKS = "SELECT user_id AS consensus_id, event_id AS ord, user_id % 3 + event_id % 7 // 6 AS chr, event_id * 13 % 2000 * (event_id % 3 // 2) AS ref, event_id * 7 % 500 AS read, event_type IN ('view', 'click', 'purchase') AS forward, event_id % 4 AS alignment, event_id * 13 % 2000 * (event_id % 3 // 2) - 200 * (event_id % 2) AS aln_start, event_id * 13 % 2000 * (event_id % 3 // 2) + 100 * (1 - event_id % 2) AS aln_end FROM events"
 
 
 def breaks(spark, d):
     spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("lociq_events")
-    return spark.sql(BREAKS.replace("FROM events", "FROM lociq_events"))
+    return spark.sql(BREAKS.replace("FROM events", "FROM lociq_events").replace("//", "DIV"))
 
 
 @query(f"""WITH b AS ({BREAKS}), n AS (SELECT *, lead(ord) OVER w AS o2, lead(chr) OVER w AS chr2, lead(ref) OVER w AS ref2, lead(read) OVER w AS read2, lead(forward) OVER w AS f2, lead(alignment) OVER w AS al2, lead(aln_start) OVER w AS as2, lead(aln_end) OVER w AS ae2 FROM b WINDOW w AS (PARTITION BY consensus_id ORDER BY ord)),
@@ -632,11 +633,11 @@ def horizontal_merge(spark, d):
 
 
 def composites(spark, d):
-    rows = view(spark, d, "v_signal").where("sv_type <= 1")
-    return rows.select(F.col("signal_id").alias("composite_id"), "chr", "start", F.greatest("end", F.col("start") + 1).alias("end"), F.when(F.col("sv_type") == 0, "INS").otherwise("DEL").alias("svtype"), "size", F.expr("concat('s', signal_id % 3)").alias("sample"), F.col("read_id").alias("consensus_id"), F.lit(3).alias("n"), F.col("size").cast("double").alias("mean"), F.lit(25.0).alias("variance"))
+    rows = view(spark, d, "v_signal").where("sv_type <= 3")
+    return rows.select(F.col("signal_id").alias("composite_id"), "chr", "start", F.greatest("end", F.col("start") + 1).alias("end"), F.when(F.col("sv_type") == 0, "INS").when(F.col("sv_type") == 1, "DEL").otherwise("INV").alias("svtype"), "size", F.expr("concat('s', signal_id % 3)").alias("sample"), F.col("read_id").alias("consensus_id"), F.lit(3).alias("n"), F.col("size").cast("double").alias("mean"), F.lit(25.0).alias("variance"))
 
 
-@query("""WITH c AS (SELECT signal_id AS id, chr, s, greatest(e, s + 1) AS e, sv_type, size, signal_id % 3 AS smp, read_id, CASE WHEN sv_type = 0 THEN greatest(150, size) ELSE 150 END AS reach FROM v_signal WHERE sv_type <= 1)
+@query("""WITH c AS (SELECT signal_id AS id, chr, s, greatest(e, s + 1) AS e, sv_type, size, signal_id % 3 AS smp, read_id, CASE WHEN sv_type = 0 THEN greatest(150, size) ELSE 150 END AS reach FROM v_signal WHERE sv_type <= 3)
     SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM c a JOIN c b ON a.chr = b.chr AND a.sv_type = b.sv_type AND a.id <> b.id AND a.s - a.reach < b.e AND b.s < a.e + a.reach
     WHERE NOT (a.smp = b.smp AND a.read_id = b.read_id) AND abs(a.size - b.size) / 5.0 <= 2.0""")
 def composite_pairs(spark, d):
@@ -650,7 +651,7 @@ def vertical_merge(spark, d):
 
 @query()
 def read_clusters(spark, d):
-    rows = view(spark, d, "v_signal").where("sv_type <= 1").groupBy(F.expr("signal_id % 50").alias("container_id"), "read_id").agg(F.sum(F.when(F.col("sv_type") == 0, F.col("size")).otherwise(0)).alias("inserted"), F.sum(F.when(F.col("sv_type") == 1, F.col("size")).otherwise(0)).alias("deleted"))
+    rows = view(spark, d, "v_signal").where("sv_type <= 1").groupBy(F.expr("chr * 1000000000 + start div 500").alias("container_id"), "read_id").agg(F.sum(F.when(F.col("sv_type") == 0, F.col("size")).otherwise(0)).alias("inserted"), F.sum(F.when(F.col("sv_type") == 1, F.col("size")).otherwise(0)).alias("deleted"))
     return clustering.cluster_reads(rows.withColumn("cn", F.lit(2)))
 
 

@@ -105,7 +105,7 @@ def test_entry_survives_without_the_text_operators(tmp_path):
     from pathlib import Path
 
     repo = Path(__file__).parent.parent
-    shutil.copytree(repo, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(repo, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), len(e.oracle_sql()), any(k.startswith('op') and k[2].isdigit() for k in q))"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120)
     assert said.stdout.split()[-1] == "False", said.stderr
