@@ -200,6 +200,7 @@ def test_chat_prefix_is_rendered_once(spark):
     rows = spark.createDataFrame([(*t, "p") for t in turns], "conv_id bigint, turn bigint, role string, text string, pair_id string")
     found = {(r.pair_id, r.part, r.turn, r.learn, r.paired) for r in chat_pairs.segments(chat_pairs.neighbours(rows)).collect()}
     assert found == {(1, "prompt", 0, False, True), (1, "chosen", 1, True, True), (1, "rejected", 1, True, True), (1, "rejected", 2, False, True), (2, "chosen", -1, False, False), (-1, "rejected", 0, False, False), (3, "prompt", 0, False, True)}
+    assert {(r.part, r.turn, r.copies) for r in chat_pairs.segments(chat_pairs.neighbours(rows)).where("pair_id = 1").collect()} == {("prompt", 0, 1), ("chosen", 1, 1), ("rejected", 1, 1), ("rejected", 2, 2)}
     one = {r.pair_id: r for r in chat_pairs.examples(chat_pairs.neighbours(rows)).collect()}[1]
-    assert one.prompt == "<|user|>\nhi<|end|>\n" and one.rejected.endswith("why<|end|>\n") and [x.learn for x in one.rejected_mask] == [True, False]
+    assert one.prompt == "<|user|>\nhi<|end|>\n" and one.rejected.endswith("<|user|>\nwhy<|end|>\n" * 2) and [x.learn for x in one.rejected_mask] == [True, False]
     assert chat_pairs.segments(chat_pairs.neighbours(rows.limit(0))).collect() == []
