@@ -89,11 +89,13 @@ def vcf_header(samples: list[str], contigs: list[tuple[str, int]]) -> list[str]:
 
 
 def write_vcf(lines: DataFrame, header: list[str], path: str) -> None:
-    """Sorted part files under path/body and the header under path/header: joined in name
-    order they are one VCF, and no task writes more than its range."""
-    spark = lines.sparkSession
-    spark.createDataFrame([("\n".join(header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    lines.repartitionByRange("chr", "pos").sortWithinPartitions("chr", "pos").select("line").write.mode("overwrite").text(f"{path}/body")
+    """Sorted part files of which the first begins with the header (K10): read as a folder
+    or joined in name order they are one VCF, and no task writes more than its range."""
+    head = lines.sparkSession.createDataFrame([(i, line) for i, line in enumerate(header)], "ord int, line string")
+    head = head.select("ord", F.lit(None).cast(dict(lines.dtypes)["chr"]).alias("chr"), F.lit(None).cast("bigint").alias("pos"), "line")
+    rows = head.unionByName(lines.select(F.lit(len(header)).alias("ord"), "chr", F.col("pos").cast("bigint").alias("pos"), "line"))
+    order = ("ord", "chr", "pos")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def filtered(df: DataFrame, keep: Column, stage: str, reason: str) -> tuple[DataFrame, DataFrame]:

@@ -140,6 +140,28 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("value", F.transform(ids, lambda x: F.trim(x).cast("bigint")).alias("region_ids"))
 
 
+EXPECTED = "chr string, start bigint, end bigint, svtype string, size bigint, genotype string"
+
+
+def read_expected(spark: SparkSession, path: str) -> DataFrame:
+    """Expected variants (S13), numbered in file order; a genotype other than HET or HOM
+    raises."""
+    rows = line_numbers(spark.read.csv(path, sep="\t", schema=EXPECTED, comment="#"), "expected_id")
+    return rows.withColumn("genotype", F.when(F.col("genotype").isin("HET", "HOM"), F.col("genotype")).otherwise(F.raise_error(F.concat(F.lit("no genotype: "), F.coalesce("genotype", F.lit("null"))))))
+
+
+def first_of_each(spark: SparkSession, folders: list[str]) -> dict[str, DataFrame]:
+    """The tables of several stores by name, of the first folder that has one."""
+    jvm, found = spark._jvm, {}
+    for folder in folders:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        for status in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at):
+            name = status.getPath().getName()
+            if status.isDirectory() and not name.startswith(("_", ".")):
+                found.setdefault(name, f"{folder.rstrip('/')}/{name}")
+    return {name: spark.read.parquet(path) for name, path in sorted(found.items())}
+
+
 #: Read fragments and candidate regions as JSON records.
 FRAGMENT = f"sample string, read_name string, chr string, ref_start bigint, ref_end bigint, read_start bigint, read_end bigint, mapq int, forward boolean, supplementary boolean, sv_signals array<{SIGNAL}>, effective struct<chr:string,start:bigint,end:bigint>"
 REGION = "region_id bigint, chr string, start bigint, end bigint, n_signals bigint, n_reads bigint"

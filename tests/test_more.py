@@ -229,3 +229,12 @@ def test_stored_tables_whole_reads_and_text_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "fq")).collect()] == ["@r", "ACG", "+", "!!!"]
     sinks.write_sequences(spark.createDataFrame([("s:1.0", "ACGT"), ("s:2.0", "C")], "consensus_id string, sequence string"), spark.createDataFrame([("s:2.0",)], "consensus_id string"), str(tmp_path / "fa"), 2)
     assert [r.value for r in spark.read.text(str(tmp_path / "fa")).collect()] == [">s:2.0", "C"]
+
+
+def test_expected_variants_and_first_stores(spark, tmp_path):
+    (tmp_path / "e.tsv").write_text("#chr\tstart\nc\t1\t5\tDEL\t4\tHET\nd\t2\t2\tINS\t9\tHOM\n")
+    assert [tuple(r) for r in text_formats.read_expected(spark, str(tmp_path / "e.tsv")).orderBy("expected_id").select("chr", "size", "genotype", "expected_id").collect()] == [("c", 4, "HET", 0), ("d", 9, "HOM", 1)]
+    for folder, name, value in (("a", "x", 1), ("b", "x", 2), ("b", "y", 3)):
+        spark.createDataFrame([(value,)], "v bigint").write.parquet(str(tmp_path / folder / name))
+    tables = text_formats.first_of_each(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert {k: v.first().v for k, v in tables.items()} == {"x": 1, "y": 3}
