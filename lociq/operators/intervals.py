@@ -88,23 +88,24 @@ def island_ids(df: DataFrame, keys=("chr",), start="start", end="end", gap: int
     """df with island_start and island_end: the merged interval that each row lies in.
 
     Rows join when the next start is at most `gap` past the reach so far; with
-    touching=False bookended rows stay apart. Tiles are merged first, then their merged
-    intervals: merging is associative, so the islands are the same.
+    touching=False bookended rows stay apart. Rows shrink to a row per start first, so a
+    tile's window holds `tile` rows at most; what earlier tiles reach and how many islands
+    they begin is a row a tile.
     """
-    keys, limit = list(keys), F.lit(gap)
-
-    def numbered(rows: DataFrame, parts: list[str], s: str, e: str, name: str) -> DataFrame:
-        order = W.partitionBy(*parts).orderBy(s, e)
-        reach = F.max(e).over(order.rowsBetween(W.unboundedPreceding, -1))
-        new = (F.col(s) > reach + limit) if touching else (F.col(s) >= reach + limit)
-        return rows.withColumn("_new", F.when(reach.isNull() | new, 1).otherwise(0)).withColumn(name, F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
-
-    local = numbered(df.withColumn("_tile", F.floor(F.col(start) / tile)), [*keys, "_tile"], start, end, "_local")
-    merged = local.groupBy(*keys, "_tile", "_local").agg(F.min(start).alias("_s"), F.max(end).alias("_e"))
-    wide = numbered(merged, keys, "_s", "_e", "_island")
-    whole = W.partitionBy(*keys, "_island")
-    spans = wide.select(*keys, "_tile", "_local", F.min("_s").over(whole).alias("island_start"), F.max("_e").over(whole).alias("island_end"))
-    return local.join(spans, [*keys, "_tile", "_local"]).drop("_tile", "_local")
+    keys = list(keys)
+    places = df.groupBy(*keys, F.col(start).alias("_at")).agg(F.max(end).alias("_to")).withColumn("_tile", F.floor(F.col("_at") / tile))
+    before = W.partitionBy(*keys).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
+    reached = places.groupBy(*keys, "_tile").agg(F.max("_to").alias("_most")).select(*keys, "_tile", F.max("_most").over(before).alias("_reach"))
+    own = W.partitionBy(*keys, "_tile").orderBy("_at")
+    reach = F.greatest(F.max("_to").over(own.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach")) + gap
+    apart = (F.col("_at") > reach) if touching else (F.col("_at") >= reach)
+    marked = places.join(reached, [*keys, "_tile"]).withColumn("_new", F.when(reach.isNull() | apart, 1).otherwise(0))
+    marked = marked.withColumn("_island", F.sum("_new").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    begun = marked.groupBy(*keys, "_tile").agg(F.sum("_new").alias("_n")).select(*keys, "_tile", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = marked.join(begun, [*keys, "_tile"]).select(*keys, "_at", "_to", (F.col("_island") + F.col("_before")).alias("_island"))
+    spans = placed.groupBy(*keys, "_island").agg(F.min("_at").alias("island_start"), F.max("_to").alias("island_end"))
+    named = placed.join(spans, [*keys, "_island"]).select(*keys, F.col("_at").alias(start), "island_start", "island_end")
+    return df.join(named, [*keys, start])
 
 
 def merge(df: DataFrame, keys=("chr",), gap: int = 0, touching: bool = True, aggregates=()) -> DataFrame:
