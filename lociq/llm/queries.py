@@ -7,14 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import bpe, chat_pairs, decontaminate, discriminant, html_text, licenses, near_duplicates, pii, quality_rules, secrets
+from lociq.llm import bpe, centroids, chat_pairs, decontaminate, discriminant, html_text, importance, licenses, near_duplicates, pii, quality_rules, secrets, token_counts
 from lociq.llm.common import table
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,19 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op3_quality_discriminant, op4_preference_pairs, op5_quality_divergence, op6_decontamination_cgk, op7_minhash_inverted_join, op8_html_block_rules, op9_license_set_join, op10_secret_ownership)
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op12_lloyd_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = (op1_bpe_transducer, op2_pii_boosted_candidates, op3_quality_discriminant, op4_preference_pairs, op5_quality_divergence, op6_decontamination_cgk, op7_minhash_inverted_join, op8_html_block_rules, op9_license_set_join, op10_secret_ownership, op11_token_counts, op12_lloyd_centroids, op13_importance_resampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -65,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_pairs": chat_pairs.ORACLE}
+    return {"op4_preference_pairs": chat_pairs.ORACLE, "op12_lloyd_centroids": centroids.oracle()}
