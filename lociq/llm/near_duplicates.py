@@ -5,12 +5,14 @@ coordinate and its value. Two documents whose sets are as similar as asked agree
 least `MATCHES` coordinates except with a chance below one in 100,000, so only the
 `COORDINATES - MATCHES + 1` rarest postings of each need be joined (the prefix), rarest
 over the whole corpus; values that no other document has count among these without being
-posted (the skip). Beside them stands a sketch of one bit from each of `SKETCH` further
-coordinates: similar sets agree in `SKETCH_MATCHES` bits except with the same chance, and
-less similar ones seldom do. A third filter is exact: of `PARITY` bits, each the parity of
-the shingles that fall on it, two sets differ in no more than they differ in shingles,
-which is sharp for texts of up to some hundred words. Candidates that pass all three are
-confirmed on their full sets.
+posted (the skip). A pair that meets under a posting has its collisions counted over all
+coordinates, of which every class carries 16 bits each, and is retained from `MATCHES` on.
+Beside them stands a sketch of one bit from each of `SKETCH` further coordinates: similar
+sets agree in `SKETCH_MATCHES` bits except with the same chance, and less similar ones
+seldom do. A third filter is exact: of `PARITY` bits, each the parity of the shingles that
+fall on it, two sets differ in no more than they differ in shingles, which is sharp for
+texts of up to some hundred words. Candidates that pass all three are confirmed on their
+full sets.
 
 Copies of one set are one class, and only classes are joined. Each class first meets one
 hub in every posting, the class whose own postings are the most common: in a group of
@@ -18,8 +20,12 @@ copies that each have changes of their own, whatever is near to some copy is nea
 to the one with the fewest changes. So a group costs a link each and not a pair each
 (`HUB_ROUNDS` says how often, the later rounds between what is still apart). Only pairs that lie in
 different components and share a posting are then tested one by one: those outside a
-posting's largest component with all its holders, each pair at its first common posting.
-No link between components is lost and no pair inside a component is made.
+posting's largest component with all its holders, each pair at the first posting that both hold in
+their whole prefixes. A posting with many components is split: what meets there is posted anew
+under the rarest shingles of its full set, of which two similar sets share one among so
+many as they may differ in, and meets under these; so short texts with a common word, or
+long ones with a common passage, do not all meet (`SPLIT_PAIRS`). No link between
+components is lost and no pair inside a component is made.
 
 Null text, or text without words, has no set and is linked with nothing. Texts with fewer
 words than a shingle are one shingle. Rows that share an id are one document for links
@@ -48,6 +54,8 @@ PREFIX = COORDINATES - MATCHES + 1
 #: each bit agrees with a chance of 0.9, and fewer than 430 do so once in 100,000 pairs.
 SKETCH, SKETCH_MATCHES, PARITY = 512, 430, 1024
 HUB_ROUNDS = 1
+#: Pairs under a posting beyond which it is split.
+SPLIT_PAIRS = 2000
 #: Pairs of a block, on average, in the confirmation of links.
 BLOCK_PAIRS = 20_000
 #: Bits of the bitmap that picks the documents to make sets of: 16 MB.
@@ -106,9 +114,9 @@ def signature(found: np.ndarray) -> np.ndarray:
     return ((low & ~np.uint64(COORDINATES - 1)) | np.arange(COORDINATES, dtype=np.uint64)).view(np.int64)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """One bit of each of `SKETCH` minima over 32-bit hashes, then the `PARITY` bits, as
-    64-bit numbers."""
+def sketch(found: np.ndarray, postings: np.ndarray) -> np.ndarray:
+    """One bit of each of `SKETCH` minima over 32-bit hashes, then the `PARITY` bits, then
+    16 bits of each coordinate's value, as 64-bit numbers."""
     low = np.full(SKETCH, np.iinfo(np.uint32).max, dtype=np.uint32)
     short = (found >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
@@ -116,7 +124,8 @@ def sketch(found: np.ndarray) -> np.ndarray:
             low = np.minimum(low, ((short[at : at + 1024, None] ^ SKETCH_SHIFTS) * SKETCH_FACTORS).min(axis=0))
         bits = ((low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(31)
     odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(np.concatenate([bits, odd]).astype(np.uint8)).view(np.int64)
+    values = (postings.view(np.uint64) >> np.uint64(5)).astype(np.uint16).view(np.int64)
+    return np.concatenate([np.packbits(np.concatenate([bits, odd]).astype(np.uint8)).view(np.int64), values])
 
 
 def differ(a: str, b: str, low: int, high: int) -> str:
@@ -129,10 +138,17 @@ def agree(a: str, b: str) -> str:
     return f"({SKETCH} - {differ(a, b, 0, SKETCH)})"
 
 
+def collisions(a: str, b: str) -> str:
+    """SQL for the coordinates in which two signatures collide, by their 16 bits; chance
+    makes one more in 2,000 pairs and never one less."""
+    first, lanes = (SKETCH + PARITY) // 64, (65535, 65535 << 16, 65535 << 32, -(1 << 48))
+    return "(" + " + ".join(f"if(({a.format(i)} ^ {b.format(i)}) & {m}L = 0, 1, 0)" for i in range(first, first + COORDINATES // 4) for m in lanes) + ")"
+
+
 def may_be_similar(a: str, b: str, percent: int) -> str:
     """SQL for what two sketches of sets of n and m shingles leave possible."""
     by_parity = f"{100 + percent}L * {differ(a, b, SKETCH, SKETCH + PARITY)} <= {100 - percent}L * (n + m)"
-    return f"{by_parity} AND {agree(a, b)} >= {SKETCH_MATCHES}"
+    return f"{collisions(a, b)} >= {MATCHES} AND {by_parity} AND {agree(a, b)} >= {SKETCH_MATCHES}"
 
 
 def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +167,11 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             rows = []
             for key, text in zip(batch["doc_id"], batch["text"]):
                 found = shingles(text, width, hashes)
-                rows.append((key, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found), sketch(found)) if len(found) else (key, 0, None, None, None))
+                if not len(found):
+                    rows.append((key, 0, None, None, None))
+                    continue
+                postings = signature(found)
+                rows.append((key, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), postings, sketch(found, postings)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "postings", "sketch"])
 
     return docs.mapInPandas(run, "doc_id bigint, n bigint, same binary, postings array<bigint>, sketch array<bigint>")
@@ -215,16 +235,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scrat
     return scratch.cut(alike)
 
 
-def prefixes(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def prefixes(nodes: DataFrame, column: str, whole: str, length: str, percent: int, scratch: Scratch) -> DataFrame:
     """(posting, size_class, away, node, n, common): each class's rarest postings, under its
     own size class and, away from it, the next, which is as far as similar sets can differ
-    in size; common is how many hold its postings in all."""
-    posted = nodes.select("node", F.explode("postings").alias("posting"))
+    in size; common is how many hold its postings in all. whole and length are SQL for how
+    many postings the column has and how many of them are a prefix."""
+    posted = nodes.select("node", F.explode(column).alias("posting"))
     shared = scratch.cut(posted.groupBy("posting").agg(F.count("*").alias("holders")).where("holders > 1"))
     held = posted.join(shared, "posting")
-    rarest = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "posting"))).alias("held")).join(nodes.select("node", "n"), "node")  # at most COORDINATES each
+    rarest = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "posting"))).alias("held")).join(nodes.select("node", "n"), "node")  # a class's own postings
     # Postings that nobody else holds come first in rarity and use up the prefix.
-    left = f"{PREFIX} - ({COORDINATES} - size(held))"
+    left = f"cast({length} - ({whole} - size(held)) AS int)"
     common = F.expr("aggregate(held, 0L, (s, h) -> s + h.holders)")
     kept = rarest.where(f"{left} > 0").select("node", "n", common.alias("common"), F.explode(F.expr(f"slice(held, 1, {left})")).alias("p"))
     step = math.log(100 / percent)
@@ -248,37 +269,64 @@ def hub_pairs(named: DataFrame, sketches: DataFrame, percent: int, scratch: Scra
     return scratch.cut(best.select("a", (-F.col("best.least")).alias("b")))
 
 
-def remaining_pairs(named: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): all pairs of different components that share a posting and may be similar,
-    each once. Of two rows with different labels one lies outside the posting's largest
-    component, so only such rows look for partners."""
+def with_largest(named: DataFrame) -> DataFrame:
+    """named with main, the label of most rows of its posting, and split: whether the rows
+    of others are so many that the posting is split."""
     key = ["posting", "size_class"]
     sizes = named.groupBy(*key, "label").agg(F.count("*").alias("rows"))
-    largest = sizes.groupBy(key).agg(F.max(F.struct("rows", "label")).alias("m")).select(*key, F.col("m.label").alias("main"))
-    rows = named.join(largest, key).select(*key, "away", "node", "n", "label", (F.col("label") == F.col("main")).alias("in_main"))
-    # The postings under which a class can meet others, in one order for all.
-    lists = named.where("NOT away").groupBy("node").agg(F.sort_array(F.collect_set("posting")).alias("own"))  # at most PREFIX
-    numbers = range((SKETCH + PARITY) // 64)
-    rows = scratch.cut(rows.join(nodes.select("node", *(F.col("sketch")[i].alias(f"x{i}") for i in numbers)), "node").join(lists, "node"))
-    other = rows.select(*key, F.col("away").alias("away_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("in_main").alias("main_b"), *(F.col(f"x{i}").alias(f"y{i}") for i in numbers), F.col("own").alias("own_b"))
+    largest = sizes.groupBy(key).agg(F.max(F.struct("rows", "label")).alias("m"), F.sum("rows").alias("all"))
+    split = (F.col("all") - F.col("m.rows")) * F.col("all") > SPLIT_PAIRS
+    return named.join(largest.select(*key, F.col("m.label").alias("main"), split.alias("split")), key)
+
+
+def meeting(rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, lists: DataFrame | None = None) -> DataFrame:
+    """(a, b): all pairs of different labels under a posting that may be similar. Of two
+    rows with different labels one lies outside the posting's largest component, so only
+    such rows look for partners. lists: (node, own) makes each pair once, at the first
+    posting of both lists."""
+    key, numbers = ["posting", "size_class"], range((SKETCH + PARITY) // 64 + COORDINATES // 4)
+    rows = rows.select(*key, "away", "node", "n", "label", (F.col("label") == F.col("main")).alias("in_main"))
+    rows = rows.join(nodes.select("node", *(F.col("sketch")[i].alias(f"x{i}") for i in numbers)), "node")
+    rows = scratch.cut(rows.join(lists, "node") if lists is not None else rows)
+    other = rows.select(*key, F.col("away").alias("away_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("in_main").alias("main_b"), *(F.col(f"x{i}").alias(f"y{i}") for i in numbers), *([F.col("own").alias("own_b")] if lists is not None else []))
     once = F.expr("label <> label_b AND (main_b OR node > b) AND NOT (away AND away_b)")
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND {may_be_similar('x{}', 'y{}', percent)}")
-    first = F.expr("posting = array_min(array_intersect(own, own_b))")
-    pairs = rows.where("NOT in_main").join(other, key).where(once & fits & first)
-    return scratch.cut(pairs.select(F.col("node").alias("a"), "b").distinct())
+    first = F.expr("posting = array_min(array_intersect(own, own_b))") if lists is not None else F.lit(True)
+    return rows.where("NOT in_main").join(other, key).where(once & fits & first).select(F.col("node").alias("a"), "b").distinct()
+
+
+def several(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Posted rows with their labels, of the postings that several components hold."""
+    key = ["posting", "size_class"]
+    label = F.col("node") if labels is None else F.coalesce("label", "node")
+    named = (posts if labels is None else posts.join(labels, "node", "left")).withColumn("label", label)
+    held = named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key)
+    return named.join(held, key, "left_semi")
+
+
+def remaining_pairs(named: DataFrame, posts: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): all pairs of different components that share a posting and may be similar."""
+    rows = scratch.cut(with_largest(named))
+    # All postings of a class's prefix, so that two classes find the same first one whatever
+    # has been settled under the others.
+    lists = posts.where("NOT away").groupBy("node").agg(F.collect_set("posting").alias("own"))  # at most PREFIX
+    pairs = meeting(rows.where("NOT split"), nodes, percent, scratch, lists)
+    crowded = scratch.cut(rows.where("split").select("node").distinct())
+    if not crowded.isEmpty():
+        sets = full_sets(docs, crowded, width).join(crowded, "node", "left_semi").withColumn("n", F.size("found").cast("bigint"))
+        again = scratch.cut(prefixes(scratch.cut(sets), "found", "n", f"n - (n * {percent} + 99) div 100 + 1", percent, scratch))
+        pairs = pairs.union(meeting(with_largest(several(again, labels)), nodes, percent, scratch)).distinct()
+    return scratch.cut(pairs)
 
 
 def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """(node, label) of the classes that are linked with another."""
-    cut, key = scratch.cut, ["posting", "size_class"]
-    posts = cut(prefixes(nodes, percent, scratch))
+    cut = scratch.cut
+    posts = cut(prefixes(nodes, "postings", f"{COORDINATES}", f"{PREFIX}", percent, scratch))
     labels, tested = None, None
     for turn in range(HUB_ROUNDS + 1):
-        label = F.col("node") if labels is None else F.coalesce("label", "node")
-        named = (posts if labels is None else posts.join(labels, "node", "left")).withColumn("label", label)
-        open_keys = cut(named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key))
-        named = cut(named.join(open_keys, key, "left_semi"))
-        pairs = hub_pairs(named, nodes.select("node", "sketch"), percent, scratch) if turn < HUB_ROUNDS else remaining_pairs(named, nodes, percent, scratch)
+        named = cut(several(posts, labels))
+        pairs = hub_pairs(named, nodes.select("node", "sketch"), percent, scratch) if turn < HUB_ROUNDS else remaining_pairs(named, posts, labels, nodes, docs, width, percent, scratch)
         if tested is not None:
             pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():

@@ -239,3 +239,66 @@ def test_pipeline_stages_judge_rows_and_not_ids(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
     docs = table((None, a), (None, f"see {item} there"), (1, b), (1, f"{item} it was"), (2, c))
     assert rows(corpus_pipeline.decontamination(spark, docs, SF)) == sorted([(None, a), (1, b), (2, c)], key=str)
+
+
+def test_links_over_size_classes_and_common_postings(spark):
+    """Groups whose members lie on both sides of size-class borders, that share words with
+    each other and with many short texts; none of their links may be lost."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, shared = [], [word() for _ in range(25)]
+    for group in range(40):
+        base = [word() for _ in range(rng.choice([12, 20, 45, 90]))] + (shared if group % 2 else [])
+        rng.shuffle(base)
+        for _ in range(rng.randint(2, 5)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice([[], [word()], [copy[at], word()], [copy[at], word(), word()]])
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000 + i, f"of the {word()}") for i in range(120)] + [(2000 + i, " ".join(shared)) for i in range(3)]
+    # One text, and it with a few words more: alone in their size classes.
+    alone = [word() for _ in range(60)]
+    rows += [(3000, " ".join(alone)), (3001, " ".join(alone + [word() for _ in range(4)])), (3002, " ".join(alone + [word() for _ in range(9)]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for width in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, width=width).collect()}
+        assert got == brute_components(rows, width)
+    assert got[3001][1] == 3000
+
+
+
+def test_many_short_texts_on_one_posting(spark, monkeypatch):
+    """Rows that are joined pair by pair grow with the texts and not with their square."""
+    seen, plain = [], near_duplicates.Scratch.cut
+
+    def watched(self, df):
+        out = plain(self, df)
+        if "x0" in df.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_duplicates.Scratch, "cut", watched)
+    short = spark.range(4000).selectExpr("id AS doc_id", "concat('of the w', id) AS text")
+    five = spark.range(4000).selectExpr("id + 5000 AS doc_id", "concat('of the a', id, ' b', id, ' c', id, ' d', id) AS text")
+    same = "array_join(transform(sequence(1, 40), i -> concat('w', i)), ' ')"
+    longer = spark.range(3000).selectExpr("id + 10000 AS doc_id", f"concat({same}, array_join(transform(sequence(1, 25), i -> concat(' v', id, '_', i)), '')) AS text")
+    near = spark.range(300).selectExpr("3 * id + 10000 AS of", "id + 20000 AS doc_id").join(longer.withColumnRenamed("doc_id", "of"), "of").selectExpr("doc_id", "concat(text, ' end') AS text")
+    out = near_duplicates.near_duplicates(short.union(five).union(longer).union(near), width=2)
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    assert got == {**{i: i for i in [*range(4000), *range(5000, 9000), *range(10000, 13000)]}, **{20000 + i: 10000 + 3 * i for i in range(300)}}
+    assert max(seen) <= 12_000, seen
+
+
+def test_collisions_are_counted(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    for changed in (0, 30, 100, 300):
+        other = list(words)
+        for i in rng.sample(range(300), changed):
+            other[i] = f"x{i}"
+        sets = [near_duplicates.shingles(" ".join(w), 2, near_duplicates.WordHashes()) for w in (words, other)]
+        signed = [near_duplicates.signature(x) for x in sets]
+        rows = [tuple(near_duplicates.sketch(x, p).tolist() for x, p in zip(sets, signed))]
+        got = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").selectExpr(near_duplicates.collisions("a[{}]", "b[{}]")).first()[0]
+        assert got == int((signed[0] == signed[1]).sum())
