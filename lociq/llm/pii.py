@@ -74,7 +74,7 @@ def addresses(text: str) -> Iterator[Span]:
         if run.group().count(".") >= 3:
             parts = list(NUMBER.finditer(text, *run.span()))
             for i in range(0, len(parts) - 3, 4):
-                if all(len(p.group().lstrip("0")) <= 3 and int(p.group()) <= 255 for p in parts[i : i + 4]):
+                if all(len(n) <= 3 and int(n or 0) <= 255 for n in (p.group().lstrip("0") for p in parts[i : i + 4])):
                     yield parts[i].start(), parts[i + 3].end(), "ip"
 
 
