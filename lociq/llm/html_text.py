@@ -10,10 +10,18 @@ that names its article is held to it.
 Null html is empty. Scripts, styles, comments and unclosed tails of these are dropped, and
 so is a tag that never ends; a quotation mark without its counterpart ends with its tag.
 Character references are decoded once; white space within a block becomes one space. A
-link that is never closed ends with its block. A class that marks an advert or the like
-counts where all of the word's parts say so, and where it would leave an article without
-any text it does not count in that article. No block is shortened. Pages are independent;
-repeated rows give a result each. Time grows with the page's length, whatever it holds.
+link that is never closed ends with its block. Hidden blocks are left out.
+
+A class or id marks an advert, a notice or reader comments where all of its word's parts
+say so or only name a container; words that begin with a mark, as joined ones do, count as
+that mark. Where some part says something else, a mark of comments counts by the form of
+what it is on: elements beside each other with the same word, or with an author, a date, a
+reply link or a field inside, unless they hold an article or its title. Roles, itemprop and itemtype count as well; an article
+element is a comment by these or by a class word that begins with the mark. Words on the
+state of comments (`has-comments`, `comments-open`) mark nothing. Marks that would leave an
+article without any text do not count in that article. No block is shortened. Pages are
+independent; repeated rows give a result each. Time grows with the page's length, whatever
+it holds.
 """
 
 from __future__ import annotations
@@ -37,17 +45,30 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements, roles and words of class or id that mark what surrounds the main text.
 AROUND = frozenset("nav footer header aside form menu dialog button select label option fieldset".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar comment".split())
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr masthead menu modal nav navbar "
-    "navigation newsletter notice notices pagination popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent discussion disqus footer gdpr masthead menu modal nav navbar "
+    "navigation newsletter notice notices pagination paywall popup promo promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Beginnings of joined words that mark the like, and words of reader comments.
+JOINED = re.compile("adsby|advert|breadcrumb|comment(?!ar|at)|cookie|disqus|gdpr|newsletter|paywall|sidebar|sponsor|subscri")
+COMMENT = re.compile(r"(?:user|reader|post|blog|wp)?-?(?:comment(?!ar|at)|repl(?:y|ies)\b|respond|discussion|disqus)", re.I)
+#: Parts of words that tell of comments' state or number, and of what stands in a comment.
+STATES = frozenset("allow allowed closed count disabled enabled has no off on open with without".split())
+IN_COMMENTS = frozenset("author avatar byline date fn nickname permalink reply time timestamp upvote user username vote votes".split())
+FIELDS = frozenset("time textarea input button form".split())
+#: An attribute's ways of hiding what it is on.
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.I)
 #: Words that only say that something is a container, of the page or of one of its kinds.
 CONTAINERS = frozenset(
-    "area articles bar block box btn button buttons card cards column container content cta footer form group header holder icons inner items left link links list main media message "
-    "module outer panel posts primary right row secondary section site slot stories thread top bottom unit wrap wrapper overlay policy".split()
+    "area articles author avatar bar block body box btn button buttons card cards column container content cta footer form group header holder icons inner items left link links list main media message meta "
+    "module node outer panel post posts primary reader right root row secondary section signup site slot stories text thread threaded top bottom tree unit user wrap wrapper overlay policy".split()
 )
 ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))""")
+VALUES = re.compile(r"""=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>]++)""")
+#: Enclosing elements that may be comments, of which a block remembers the innermost.
+MOST_AROUND = 8
 WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Words so common that running text is full of them (fixed values).
 STOP_WORDS = frozenset(
@@ -67,17 +88,30 @@ class Block(NamedTuple):
     inside: bool
     around: bool
     marked: bool
+    perhaps: tuple  # of what around it may be comments: [looks like one, holds an article]
 
 
 def is_marked(names: str) -> bool:
     """Whether one of the class or id words marks what surrounds the main text."""
     for name in names.split():
-        parts = [p.lower() for p in WORD_PARTS.findall(name) if not p.isdigit()]
-        if any(p in MARKS for p in parts) and all(p in MARKS or p in CONTAINERS for p in parts):
+        parts = parts_of(name)
+        marks = [p in MARKS or bool(JOINED.match(p)) for p in parts]
+        if any(marks) and all(m or p in CONTAINERS for m, p in zip(marks, parts)) and not STATES.intersection(parts):
             return True
     return False
 
 
+def parts_of(name: str) -> list[str]:
+    return [p.lower() for p in WORD_PARTS.findall(name) if not p.isdigit()]
+
+
+def comment_words(names: str, begin: bool = False) -> list[str]:
+    """The class or id words that speak of reader comments, in any of their parts or, where
+    asked, from their beginning on."""
+    find = COMMENT.match if begin else COMMENT.search
+    return [n for n in names.split() if find(n) and not STATES.intersection(parts_of(n))]
+
+
 class Finder:
     """The next place of a pattern; a place is kept until it is passed, and that there is
     none is found once."""
@@ -145,16 +179,19 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked, link, heading = 0, "", False  # link: "", "closed" where its end is known, "open"
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, article, around, marked; the last three inherited
+    # name; article, around, marked, perhaps, all inherited; comment words of its children
+    stack: list[tuple[str, bool, bool, bool, tuple, dict]] = []
     held: Counter = Counter()  # open elements by name
+    outside: dict = {}
     article = around = marked = False
+    perhaps: tuple = ()
     tags, link_ends, link_starts = Tags(page), Finder(page, re.compile(r"</a\b", re.I)), Finder(page, re.compile(r"<a\b", re.I))
 
     def flush():
         nonlocal parts, linked, link
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), heading, article, around, marked))
+            out.append(Block(text, min(linked, len(text)), heading, article, around, marked, perhaps))
         parts, linked = [], 0
         link = "" if link == "open" else link
 
@@ -175,6 +212,8 @@ def blocks(page: str) -> list[Block]:
             say(page[at:start])
         at = after
         if name in RAW and not closing:
+            if perhaps and name in FIELDS:
+                perhaps[-1][0] = True
             if not attributes.endswith("/"):
                 past = tags.past(name, at)
                 at = at if name == "head" and past >= end else past
@@ -195,25 +234,49 @@ def blocks(page: str) -> list[Block]:
                     held[last] -= 1
                     if last == name:
                         break
-        elif name in BLOCKS or name in ("span", "amp-ad", "ins"):
-            if name in VOID:
+        elif name in BLOCKS or name in ("span", "amp-ad", "ins") or (perhaps and name in ("time", "a", "img", "cite", "b", "strong")):
+            if perhaps and (name in FIELDS or any(IN_COMMENTS.intersection(parts_of(v)) for k, *v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "rel", "itemprop") for v in ["".join(v)])):
+                perhaps[-1][0] = True
+            if name in VOID or (name not in BLOCKS and name not in ("span", "amp-ad", "ins")):
                 continue
             if name in ("p", "li") and stack and stack[-1][0] == name:
                 held[stack.pop()[0]] -= 1
-            _, was_article, was_around, was_marked = stack[-1] if stack else ("", False, False, False)
+            _, was_article, was_around, was_marked, was_perhaps, beside = stack[-1] if stack else ("", False, False, False, (), outside)
             own = {a.lower(): (b or c or d) for a, b, c, d in ATTRIBUTE.findall(attributes)}
             role = own.get("role", "").lower()
             is_article = was_article or name in ("article", "main") or role in ("main", "article")
             header_of_article = name == "header" and was_article
             is_around = was_around or (name in AROUND and not header_of_article) or role in ROLES
-            by_name = was_marked or (name not in ("html", "body", "article", "main") and is_marked(f"{own.get('class', '')} {own.get('id', '')}"))
-            stack.append((name, is_article, is_around, by_name))
+            if name in ("article", "main", "h1"):
+                for one in perhaps:
+                    one[1] = True
+            names = f"{own.get('class', '')} {own.get('id', '')}"
+            typed = own.get("itemprop", "").lower() == "comment" or own.get("itemtype", "").endswith(("Comment", "UserComments", "WPAdBlock"))
+            hidden = bool(HIDDEN.search(own.get("style", ""))) or (bool(BARE_HIDDEN.search(attributes)) and bool(BARE_HIDDEN.search(VALUES.sub("", attributes))))
+            if name == "article":
+                by_name = bool(comment_words(names, begin=True))
+            else:
+                by_name = name not in ("html", "body", "main") and is_marked(names)
+            if name == "article" and (by_name or typed):
+                is_article = was_article
+            is_perhaps = was_perhaps
+            if not by_name and name not in ("html", "body", "main", "article") and (words := comment_words(own.get("class", ""))):
+                one = [False, False]
+                is_perhaps = (*was_perhaps[-MOST_AROUND:], one)
+                for word in words:
+                    if word in beside:
+                        one[0] = beside[word][0] = True
+                    else:
+                        beside[word] = one
+            stack.append((name, is_article, is_around, was_marked or by_name or typed or hidden, is_perhaps, {}))
             held[name] += 1
         if stack:
-            _, article, around, marked = stack[-1]
+            _, article, around, marked, perhaps, _ = stack[-1]
         else:
             article = around = marked = False
+            perhaps = ()
     flush()
+    out = [b._replace(marked=b.marked or any(sure and not more for sure, more in b.perhaps)) for b in out]
     # Marks that would leave nothing of an article are no marks there.
     if any(b.inside for b in out) and not any(b.inside and not b.around and not b.marked for b in out):
         out = [b._replace(marked=b.marked and not b.inside) for b in out]

@@ -241,3 +241,55 @@ def test_pages_take_time_by_their_length(shape):
     html_text.main_text(shape * (1_000_000 // len(shape)))
     html_text.main_text("<p " + shape * (500_000 // len(shape)) + ">" + "<div>" * 50_000 + shape * (250_000 // len(shape)) + "</p>" * 50_000)
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("digits", [5000, 1_000_000])
+def test_pii_long_digit_runs(digits):
+    """Whole numbers of any length in every branch that reads digits."""
+    zeros, nines = "0" * digits, "9" * digits
+    assert pii.base_spans(f"{zeros}.0.0.0") == [(0, digits + 6, "ip")]
+    assert pii.base_spans(f"1.2.3.{zeros}7") == [(0, digits + 7, "ip")]
+    assert pii.base_spans(f"{nines}.0.0.0") == [] and pii.base_spans(f"+{nines}") == [] and pii.base_spans(nines) == []
+    assert pii.base_spans(f"a@{nines}.{zeros}") == [(0, 2 * digits + 3, "email")]
+    model, limits = pii.trained()
+    for text in (zeros, f"({nines}", f"+{zeros}.{nines}", " ".join([nines[:3]] * (digits // 4)), "1234-" * (digits // 5), "GB12 " + "1234 " * (digits // 5), "ab:" * (digits // 3)):
+        pii.find(text, model, limits)
+
+
+def shapes_around():
+    """Reader comments, adverts and notices in the usual shapes of blogs and forums, and the
+    words that must not come out."""
+    item = '<span class="author">Ann</span> <time>May 1</time> <p>Nice words here</p>'
+    yield f'<article class="comment">{item}</article>'
+    yield f'<article class="comment-body" id="div-comment-3">{item}</article>'
+    yield f'<article itemtype="https://schema.org/Comment">{item}</article>'
+    yield f'<ol class="commentlist"><li class="comment-body">{item}</li><li class="comment-body">{item}</li></ol>'
+    yield '<ol class="comment-list"><li class="comment even thread-even depth-1">Nice words here</li></ol>'
+    for name in ("user-comment", "post-comments", "comment-text", "discussion", "newsletter-signup", "paywall-notice", "adsbygoogle", "commentlist", "comments", "comments-area", "ad-slot", "cookie-notice"):
+        yield f'<div class="{name}">Nice words here</div>'
+        yield f'<section id="{name}"><h3>Join in</h3><p>Nice words here</p></section>'
+    yield '<div itemprop="comment">Nice words here</div>'
+    yield '<div role="comment">Nice words here</div>'
+    yield '<div hidden>Nice words here</div>'
+    yield '<p style="color:red; display: none">Nice words here</p>'
+    # Words with a part of their own: the form decides.
+    yield f'<div class="zebra-comment-7x">{item}</div>'
+    yield '<div class="zebra-comment">Nice words here</div><div class="zebra-comment">Nice words there</div>'
+    yield '<div class="leave-comment-now"><p>Nice words here</p><textarea></textarea></div>'
+
+
+@pytest.mark.parametrize("shape", list(shapes_around()))
+def test_comments_and_notices_go(shape):
+    text = "The first of the words that are in the text of it, and so they are for all to read and to hear. " * 4
+    kept = text.strip()
+    assert html_text.main_text(f"<body><article><p>{text}</p>{shape}</article></body>") == kept
+    assert html_text.main_text(f"<body><article><p>{text}</p></article>{shape}</body>") == kept
+    assert html_text.main_text(f"<body><div><p>{text}</p></div>{shape}</body>") == kept
+
+
+def test_article_text_with_like_words_stays():
+    text = "The first of the words that are in the text of it, and so they are for all to read and to hear. " * 4
+    kept = text.strip()
+    for opening in ('<article class="post has-comments comments-open">', '<article class="commentary">', '<div class="commentary-page"><article>', '<div class="zebra-comment-layout"><article><h1></h1>', '<article><div class="comment-of-the-week-story">', '<article><div class="share-price">', '<article><div class="menu-of-the-day">', '<article data-x="hidden">', '<article><div class="hidden-gem">'):
+        assert html_text.main_text(f"<body>{opening}<p>{text}</p>") == kept, opening
+    assert html_text.main_text(f'<article><p title="a hidden b" class=x>{text}</p></article>') == kept
