@@ -57,11 +57,24 @@ def cut(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).cut(df)
 
 
-def row_key(df: DataFrame) -> Column:
-    """63 bits of a digest of all columns and of which are null: a verdict on a row finds
-    back by it where ids are null or repeated. Only whole copies share it, but for a chance
-    of about 1 in 100,000 that any two of 15 million rows do."""
-    return F.shiftrightunsigned(F.xxhash64(*df.columns, *(F.col(c).isNull() for c in df.columns)), 1)
+def digest(df: DataFrame, salt: int) -> Column:
+    """63 bits of all columns and of which are null."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), *df.columns, *(F.col(c).isNull() for c in df.columns)), 1)
+
+
+def keyed(df: DataFrame, most_salts: int = 8) -> DataFrame:
+    """df with row_key, by which a verdict on a row finds back to it where ids are null or
+    repeated. Only whole copies share a key: it is 63 bits long and is held against a
+    second digest, over all rows; where two rows of one key differ there, which 10^10 rows
+    bring about some five times, another salt is taken. So rows would have to agree in 126
+    bits to be taken for copies."""
+    for salt in range(most_salts):
+        key = digest(df, salt)
+        both = df.select(key.alias("key"), digest(df, salt + most_salts).alias("other"))
+        shared = both.groupBy("key").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low < high")
+        if shared.isEmpty():
+            break
+    return df.withColumn("row_key", key)
 
 
 def text_or_empty(col: str = "text"):

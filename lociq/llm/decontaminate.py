@@ -17,11 +17,16 @@ words, so none that qualifies is lost.
 
 The benchmark is a stated query set: it is taken in blocks of at most `BLOCK_ITEMS` items
 and `BLOCK_BYTES` characters, each carried to all documents; a larger benchmark makes
-more passes, not larger tasks.
+more passes, not larger tasks. Where there are several, a block's leaks are written and
+its items let go before the next is read, so driver and tasks hold one block at a time.
 
-Null text is empty text. Items of fewer than `LEAST_WORDS` words are too common to be
-evidence and are not searched. Repeated items are found each, repeated documents are
-reported once for each row. Empty tables give no rows.
+Items of fewer than `WALK_WORDS` words allow one edit, or below five words none. They take
+no walk: their key is all their words, or, once for each place, all but the word at that
+place, so whatever lies within an edit shares a key and nothing is left to chance.
+
+Null text is empty text. An item without words is found nowhere; one of a word or two is
+found wherever its words stand, which is for the benchmark's owner to want. Repeated items
+are found each, repeated documents are reported once for each row. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,10 +41,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.common import row_key, text_or_empty
+from lociq.llm.common import Scratch, keyed, text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
-LEAST_WORDS, EDITS = 8, 0.2
+WALK_WORDS, EDITS = 8, 0.2
 WALKS, TABLES, SAMPLES = 16, 16, 3
 #: Windows whose walks are held at once.
 STEP_WINDOWS = 1024
@@ -110,11 +115,31 @@ class Walks:
         return np.where(shows, key, np.uint64(0)).reshape(WALKS * TABLES, m)
 
 
+class Places:
+    """Keys of short windows of n words: of all of them, or of all but one, for each place.
+    A place's number is no part of its key, so a window that lacks a word has it as well."""
+
+    def __init__(self, n: int):
+        self.n, self.most = n, int(EDITS * n)
+        self.factors = np.random.RandomState(n).randint(0, 2**64, 2, dtype=np.uint64) | np.uint64(1)
+
+    def keys(self, windows: np.ndarray) -> np.ndarray:
+        rows = []
+        for out in range(self.n) if self.most else (self.n,):
+            key = np.full(len(windows), self.factors[0])
+            for place in range(self.n):
+                if place != out:
+                    key = (key ^ windows[:, place].astype(np.uint64)) * self.factors[1]
+                    key ^= key >> np.uint64(29)
+            rows.append(np.maximum(key, np.uint64(1)))
+        return np.stack(rows)
+
+
 class Keys:
     """The sample keys of items of one length, sorted, with a bit map that passes over most
     keys of other windows."""
 
-    def __init__(self, walks: Walks, items: np.ndarray):
+    def __init__(self, walks: Walks | Places, items: np.ndarray):
         parts = [walks.keys(items[at : at + STEP_WINDOWS]) for at in range(0, len(items), STEP_WINDOWS)]
         keys = np.concatenate(parts, axis=1)
         item = np.broadcast_to(np.arange(len(items), dtype=np.int32), keys.shape)[keys > 0]
@@ -142,7 +167,7 @@ class Index:
         self.vocabulary, by_length = Vocabulary(), defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
-            if len(words) >= LEAST_WORDS:
+            if words:
                 for w in words:
                     self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
                 by_length[len(words)].append((item_id, np.array([self.vocabulary[w] for w in words], dtype=np.int32)))
@@ -159,7 +184,7 @@ class Index:
             for _, words in own:  # in few items first, then long before short
                 rarest = words[np.lexsort((words, -spelt[words], items_with[words]))]
                 self.rare[n][rarest[: int(EDITS * n) + min(RARE, n - int(EDITS * n))]] = True
-            walks = Walks(n)
+            walks = Walks(n) if n >= WALK_WORDS else Places(n)
             self.lengths[n] = (own, walks, Keys(walks, np.stack([w for _, w in own])))
 
     def search(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -229,12 +254,16 @@ def index_of(name: str, items: list[tuple[int, str]]) -> Index:
     return _LAST[name]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items by blocks of bounded number and size; an item longer than a block's size
-    is a block of its own."""
+def n_blocks(benchmark: DataFrame, text_col: str) -> int:
+    """How many blocks of bounded number and size the items make; an item longer than a
+    block's size is a block of its own."""
+    n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.length(text_or_empty(text_col))), F.lit(0))).first()
+    return max(1, -(-n // BLOCK_ITEMS) * 2 if n > BLOCK_ITEMS else 1, -(-size // BLOCK_BYTES) * 2 if size > BLOCK_BYTES else 1)
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, parts: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, block by block."""
     items = benchmark.select(F.col(item_col).alias("item"), text_or_empty(text_col).alias("text"))
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    parts = max(1, -(-n // BLOCK_ITEMS) * 2 if n > BLOCK_ITEMS else 1, -(-size // BLOCK_BYTES) * 2 if size > BLOCK_BYTES else 1)
     for part in range(parts):
         found = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
         yield [(r.item, r.text) for r in found.toLocalIterator()]
@@ -245,8 +274,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("k"), text_or_empty(text_col).alias("t"))
     schema = f"{id_col} {kinds[0]}, {item_col} {kinds[1]}, first_word bigint, item_words bigint, edits bigint, similarity double"
+    parts, scratch = n_blocks(benchmark, item_text_col), Scratch(docs.sparkSession)
     out = None
-    for items in blocks(benchmark, item_col, item_text_col):
+    for items in blocks(benchmark, item_col, item_text_col, parts):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
@@ -262,12 +292,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 yield pd.DataFrame(rows, columns=[id_col, item_col, "first_word", "item_words", "edits", "similarity"])
 
         part = texts.mapInPandas(run, schema)
+        if parts > 1:
+            part = scratch.cut(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that leak an item, whatever their ids."""
-    keyed = docs.withColumn("row_key", row_key(docs))
-    found = leaks(keyed, benchmark, "row_key", text_col).select("row_key").distinct()
-    return keyed.join(found, "row_key", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    found = leaks(rows, benchmark, "row_key", text_col).select("row_key").distinct()
+    return rows.join(found, "row_key", "left_anti").select(*docs.columns)

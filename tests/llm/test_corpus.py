@@ -107,7 +107,7 @@ def brute_leaks(docs, items):
         for j, item in items:
             own = decontaminate.words_of(item or "")
             n = len(own)
-            if n >= decontaminate.LEAST_WORDS:
+            if n:
                 windows = [words[s : s + n] for s in range(max(1, len(words) - n + 1))]
                 least = min(levenshtein(own, w) for w in windows)
                 if least <= int(decontaminate.EDITS * n):
@@ -192,6 +192,58 @@ def test_leak_blocks_and_edges(spark, edge_docs, no_docs, monkeypatch):
     assert decontaminate.without_leaks(edge_docs.where("doc_id IS NOT NULL"), own).columns == edge_docs.columns
 
 
+def test_short_items_equal_brute_force(spark):
+    """Items of one to seven words: exact up to four, with one word changed or gone from five on."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghijklmnopqrst") + rng.choice("xyz")
+    items = [(j, " ".join(word() for _ in range(1 + j % 7))) for j in range(42)] + [(50, ""), (51, None), (52, "ax"), (53, "ax")]
+    docs = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 4, 5, 6, 7, 40])))) for i in range(80)]
+    for i in range(42):
+        own = items[i][1].split()
+        if i % 2 and len(own) > 1:
+            own[rng.randrange(len(own))] = "other"
+        docs.append((200 + i, " ".join(own if i % 3 else ["pre", *own, "post"])))
+        docs.append((300 + i, " ".join(own[1:])))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    wanted = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id): r.edits for r in found.collect()} == wanted and {j for _, j in wanted} >= set(range(0, 42, 2)) | {52, 53}
+
+
+def test_blocks_let_their_items_go(spark, monkeypatch):
+    """Ten blocks: one broadcast at a time, and none left."""
+    docs, items = planted(5, 1)
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = {tuple(r) for r in decontaminate.leaks(*tables).collect()}
+    open_, most, plain = [], [], type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        out = plain(self, value)
+        if isinstance(value, list):
+            open_.append(out)
+            most.append(len(open_))
+            gone = out.destroy
+            out.destroy = lambda: (open_.remove(out), gone())
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(decontaminate, "n_blocks", lambda *_: 10)
+    assert {tuple(r) for r in decontaminate.leaks(*tables).collect()} == whole
+    assert len(most) == 10 and max(most) == 1 and not open_
+
+
+def test_keys_tell_rows_apart_that_share_a_digest(spark, monkeypatch):
+    """A digest of few bits: salts are tried until different rows have different keys."""
+    from pyspark.sql import functions as F
+
+    from lociq.llm import common
+
+    plain = common.digest
+    monkeypatch.setattr(common, "digest", lambda df, salt: F.pmod(plain(df, salt), F.lit(4)) if salt == 0 else plain(df, salt))
+    rows = spark.createDataFrame([(i % 20, "t" if i % 20 else None) for i in range(40)], "doc_id bigint, text string")
+    got = common.keyed(rows).collect()
+    assert len({r.row_key for r in got}) == 20 and len({(r.row_key, r.doc_id) for r in got}) == 20
+
+
 def test_short_document_is_one_window(spark):
     item = " ".join(f"word{i}" for i in range(20))
     docs = [(1, " ".join(item.split()[:18])), (2, " ".join(item.split()[:12])), (3, "lead in " + item)]
