@@ -9,26 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.llm import bpe, decontaminate, near_duplicates, pii, quality_rules
-from lociq.llm.common import row_key, shared_dir, table
+from lociq.llm.common import keyed, shared_dir, table
 from lociq.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    keyed = docs.withColumn("row_key", row_key(docs))
-    kept = quality_rules.judge(keyed, "row_key").where("kept").select("row_key").distinct()
-    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
+    rows = keyed(docs)
+    kept = quality_rules.judge(rows, "row_key").where("kept").select("row_key").distinct()
+    return rows.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, on five-word shingles at 0.8: that of
     the smallest id, and one without an id only where none has any. Rows without words are
     copies of nothing; of rows alike in all columns one stays."""
-    keyed = docs.withColumn("row_key", row_key(docs))
-    groups = near_duplicates.near_duplicates(keyed, "row_key", width=5, percent=80).select("row_key", "component_id").distinct()
-    named = keyed.select("row_key", "doc_id").distinct().join(groups, "row_key")
+    rows = keyed(docs)
+    groups = near_duplicates.near_duplicates(rows, "row_key", width=5, percent=80).select("row_key", "component_id").distinct()
+    named = rows.select("row_key", "doc_id").distinct().join(groups, "row_key")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
-    return keyed.join(first.select("first.row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    return rows.join(first.select("first.row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
