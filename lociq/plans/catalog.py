@@ -655,7 +655,7 @@ def read_clusters(spark, d):
     return clustering.cluster_reads(rows.withColumn("cn", F.lit(2)))
 
 
-from lociq.plans import calling  # noqa: E402,F401  registers its queries here
+from lociq.plans import assembly, calling  # noqa: E402,F401  register their queries here
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
