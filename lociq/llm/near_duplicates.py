@@ -17,8 +17,9 @@ full sets.
 Copies of one set are one class, and only classes are joined. Each class first meets one
 hub in every posting, the class whose own postings are the most common: in a group of
 copies that each have changes of their own, whatever is near to some copy is nearer still
-to the one with the fewest changes. So a group costs a link each and not a pair each
-(`HUB_ROUNDS` says how often, the later rounds between what is still apart). Only pairs that lie in
+to the one with the fewest changes. So a group costs a link each and not a pair each.
+In the later of `HUB_ROUNDS` rounds what is still apart meets other members of a posting's
+largest component. Only pairs that lie in
 different components and share a posting are then tested one by one: those outside a
 posting's largest component with all its holders, each pair at the first posting that both hold in
 their whole prefixes. A posting with many components is split: what meets there is posted anew
@@ -53,9 +54,9 @@ PREFIX = COORDINATES - MATCHES + 1
 #: Bits of the sketch, and how many of them a similar pair shares: at a similarity of 0.8
 #: each bit agrees with a chance of 0.9, and fewer than 430 do so once in 100,000 pairs.
 SKETCH, SKETCH_MATCHES, PARITY = 512, 430, 1024
-HUB_ROUNDS = 1
+HUB_ROUNDS = 3
 #: Pairs under a posting beyond which it is split.
-SPLIT_PAIRS = 2000
+SPLIT_PAIRS = 100_000
 #: Pairs of a block, on average, in the confirmation of links.
 BLOCK_PAIRS = 20_000
 #: Bits of the bitmap that picks the documents to make sets of: 16 MB.
@@ -148,7 +149,7 @@ def collisions(a: str, b: str) -> str:
 def may_be_similar(a: str, b: str, percent: int) -> str:
     """SQL for what two sketches of sets of n and m shingles leave possible."""
     by_parity = f"{100 + percent}L * {differ(a, b, SKETCH, SKETCH + PARITY)} <= {100 - percent}L * (n + m)"
-    return f"{collisions(a, b)} >= {MATCHES} AND {by_parity} AND {agree(a, b)} >= {SKETCH_MATCHES}"
+    return f"{agree(a, b)} >= {SKETCH_MATCHES} AND {by_parity} AND {collisions(a, b)} >= {MATCHES}"  # the sharpest first
 
 
 def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,12 +255,15 @@ def prefixes(nodes: DataFrame, column: str, whole: str, length: str, percent: in
     return kept.select(F.col("p.posting").alias("posting"), both.alias("s"), "node", "n", "common").select("posting", F.col("s.c").alias("size_class"), F.col("s.away").alias("away"), "node", "n", "common")
 
 
-def hub_pairs(named: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def hub_pairs(named: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch, turn: int = 0) -> DataFrame:
     """(a, b): each class of another component than a posting's hub, with the one of its
     hubs that it agrees with best. named: posted rows with their labels, of postings with
-    several labels."""
+    several labels. A hub is the class with the most common postings at first, later
+    another member of the posting's largest component at each turn."""
     key = ["posting", "size_class"]
-    hubs = named.groupBy(key).agg(F.max(F.struct("common", (-F.col("node")).alias("least"), "n", "label")).alias("hub"))
+    rank = F.col("common") if turn == 0 else F.when(F.col("label") == F.col("main"), F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 1)).otherwise(-1)
+    ranked = named if turn == 0 else with_largest(named)
+    hubs = ranked.groupBy(key).agg(F.max(F.struct(rank.alias("rank"), (-F.col("node")).alias("least"), "n", "label")).alias("hub"))
     hubs = hubs.select(*key, (-F.col("hub.least")).alias("b"), F.col("hub.n").alias("m"), F.col("hub.label").alias("label_b"))
     met = named.join(hubs, key).where((F.col("label") != F.col("label_b")) & F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)"))
     met = scratch.cut(met.select(F.col("node").alias("a"), "n", "b", "m").distinct())
@@ -279,7 +283,7 @@ def with_largest(named: DataFrame) -> DataFrame:
     return named.join(largest.select(*key, F.col("m.label").alias("main"), split.alias("split")), key)
 
 
-def meeting(rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, lists: DataFrame | None = None) -> DataFrame:
+def meeting(rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, lists: DataFrame) -> DataFrame:
     """(a, b): all pairs of different labels under a posting that may be similar. Of two
     rows with different labels one lies outside the posting's largest component, so only
     such rows look for partners. lists: (node, own) makes each pair once, at the first
@@ -287,11 +291,11 @@ def meeting(rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, l
     key, numbers = ["posting", "size_class"], range((SKETCH + PARITY) // 64 + COORDINATES // 4)
     rows = rows.select(*key, "away", "node", "n", "label", (F.col("label") == F.col("main")).alias("in_main"))
     rows = rows.join(nodes.select("node", *(F.col("sketch")[i].alias(f"x{i}") for i in numbers)), "node")
-    rows = scratch.cut(rows.join(lists, "node") if lists is not None else rows)
-    other = rows.select(*key, F.col("away").alias("away_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("in_main").alias("main_b"), *(F.col(f"x{i}").alias(f"y{i}") for i in numbers), *([F.col("own").alias("own_b")] if lists is not None else []))
+    rows = scratch.cut(rows.join(lists, "node"))
+    other = rows.select(*key, F.col("away").alias("away_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("in_main").alias("main_b"), *(F.col(f"x{i}").alias(f"y{i}") for i in numbers), F.col("own").alias("own_b"))
     once = F.expr("label <> label_b AND (main_b OR node > b) AND NOT (away AND away_b)")
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND {may_be_similar('x{}', 'y{}', percent)}")
-    first = F.expr("posting = array_min(array_intersect(own, own_b))") if lists is not None else F.lit(True)
+    first = F.expr("posting = array_min(array_intersect(own, own_b))")
     return rows.where("NOT in_main").join(other, key).where(once & fits & first).select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -315,7 +319,8 @@ def remaining_pairs(named: DataFrame, posts: DataFrame, labels: DataFrame | None
     if not crowded.isEmpty():
         sets = full_sets(docs, crowded, width).join(crowded, "node", "left_semi").withColumn("n", F.size("found").cast("bigint"))
         again = scratch.cut(prefixes(scratch.cut(sets), "found", "n", f"n - (n * {percent} + 99) div 100 + 1", percent, scratch))
-        pairs = pairs.union(meeting(with_largest(several(again, labels)), nodes, percent, scratch)).distinct()
+        lists = again.where("NOT away").groupBy("node").agg(F.collect_set("posting").alias("own"))  # at most the prefix
+        pairs = pairs.union(meeting(with_largest(several(again, labels)), nodes, percent, scratch, lists)).distinct()
     return scratch.cut(pairs)
 
 
@@ -326,7 +331,7 @@ def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch:
     labels, tested = None, None
     for turn in range(HUB_ROUNDS + 1):
         named = cut(several(posts, labels))
-        pairs = hub_pairs(named, nodes.select("node", "sketch"), percent, scratch) if turn < HUB_ROUNDS else remaining_pairs(named, posts, labels, nodes, docs, width, percent, scratch)
+        pairs = hub_pairs(named, nodes.select("node", "sketch"), percent, scratch, turn) if turn < HUB_ROUNDS else remaining_pairs(named, posts, labels, nodes, docs, width, percent, scratch)
         if tested is not None:
             pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
