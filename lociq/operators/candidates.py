@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociq.operators import scans
 from lociq.operators.graph import components
-from lociq.operators.intervals import island_ids, overlap_length, range_join, row_numbers
+from lociq.operators.intervals import island_ids, overlap_length, range_join, row_numbers, running_sum
 
 
 def with_repeats(signals: DataFrame, repeats: DataFrame, pad: int = 50, width: int = 500) -> DataFrame:
@@ -239,27 +240,15 @@ def extents(members: DataFrame) -> DataFrame:
     return members.groupBy("container_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_set("chr")).alias("chrs"))
 
 
-def batches(extents_: DataFrame, most: int = 100, span: int = 20_000_000) -> DataFrame:
+def batches(extents_: DataFrame, most: int = 100, span: int = 20_000_000, rows: int = scans.ROWS) -> DataFrame:
     """Greedy packing along each chromosome (W07): at most so many containers and bases a
-    batch; wide or multi-chromosome containers stand alone. (chr, batch, container_ids)."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        first = last = None
-        for r in pdf.sort_values(["start", "end", "container_id"]).itertuples():
-            if first is not None and len(out[-1]) < most and max(last, r.end) - first <= span:
-                out[-1].append(r.container_id)
-                last = max(last, r.end)
-            else:
-                out.append([r.container_id])
-                first, last = r.start, r.end
-        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "batch": range(len(out)), "container_ids": out})
-
+    batch; wide or multi-chromosome containers stand alone. (chr, batch, container_ids).
+    A batch begins where the one before is full, which is found tile by tile."""
     alone = (F.size("chrs") > 1) | (F.col("end") - F.col("start") > span)
-    rows = extents_.withColumn("chr", F.col("chrs")[0])
-    kind = dict(rows.dtypes)["chr"]
-    packed = rows.where(~alone).groupBy("chr").applyInPandas(pack, f"chr {kind}, batch bigint, container_ids array<bigint>")
-    single = rows.where(alone).select("chr", (-1 - F.col("container_id")).alias("batch"), F.array("container_id").alias("container_ids"))
+    every = extents_.withColumn("chr", F.col("chrs")[0])
+    tiled = scans.in_tiles(every.where(~alone).select("chr", "start", "end", "container_id"), ("chr",), ("start", "end", "container_id"), rows)
+    marked = scans.batch_starts(tiled, ("chr",), most, span, rows).withColumn("_first", F.col("_first").cast("bigint"))
+    counted = running_sum(marked, "chr", "_row", "_first", "batch", rows)
+    packed = counted.groupBy("chr", (F.col("batch") - 1).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_row", "container_id"))), lambda x: x["container_id"]).alias("container_ids"))
+    single = every.where(alone).select("chr", (-1 - F.col("container_id")).alias("batch"), F.array("container_id").alias("container_ids"))
     return packed.unionByName(single)
-
-

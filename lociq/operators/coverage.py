@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.operators.intervals import merge, overlap_sum, passed, range_join, row_numbers, sweep
+from lociq.operators import scans
+from lociq.operators.intervals import island_ids, merge, overlap_sum, passed, range_join, row_numbers, sweep
 
 
 def depths(signals: DataFrame, rafs: DataFrame) -> DataFrame:
@@ -86,35 +87,42 @@ def log_emission(observed: np.ndarray, expected: float, dispersion: float = DISP
     return np.log(np.exp(log) + 1e-10)
 
 
-def viterbi(observed: np.ndarray, median: float) -> np.ndarray:
-    """Most likely copy-number states of one region's bins; the lowest in a tie."""
+def model(median: float) -> tuple[list[float], np.ndarray, np.ndarray]:
+    """(expected depths, log moves, log beginnings) of the copy-number states."""
     states = len(EXPECTED)
-    means = [EXPECTED[0], *(f * median for f in EXPECTED[1:])]
-    emit = np.stack([log_emission(observed, e) for e in means], axis=1)
     move = np.log(np.where(np.eye(states, dtype=bool), STAY, (1 - STAY) / (states - 1)) + 1e-10)
-    score, back = np.log(1 / states + 1e-10) + emit[0], np.zeros((len(observed), states), dtype=int)
-    for t in range(1, len(observed)):
-        step = score[:, None] + move
-        back[t] = step.argmax(axis=0)
-        score = step.max(axis=0) + emit[t]
-    path = np.zeros(len(observed), dtype=int)
-    path[-1] = score.argmax()
-    for t in range(len(observed) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def copy_numbers(bins: DataFrame, median: float) -> DataFrame:
-    """Runs of equal copy number (W13): a fold along each region, so one group a region."""
-
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"])
-        pdf["cn"] = viterbi(pdf["coverage"].to_numpy(dtype=float), median)
-        run = (pdf["cn"] != pdf["cn"].shift()).cumsum()
-        return pdf.groupby(run).agg(region_id=("region_id", "first"), chr=("chr", "first"), start=("start", "min"), end=("end", "max"), cn=("cn", "first"))
+    return [EXPECTED[0], *(f * median for f in EXPECTED[1:])], move, np.full(states, np.log(1 / states + 1e-10))
+
+
+def viterbi(observed: np.ndarray, median: float) -> np.ndarray:
+    """Most likely copy-number states of one region's bins; the lowest in a tie."""
+    means, move, begin = model(median)
+    emit = scans.whole(np.stack([log_emission(observed, e) for e in means], axis=1))
+    score, back = scans.forward(scans.whole(begin), emit, scans.whole(move), True)
+    return scans.traced(back, int(score.argmax()), True)[1:]
+
 
+def copy_numbers(bins: DataFrame, median: float, rows: int = scans.ROWS) -> DataFrame:
+    """Runs of equal copy number (W13), decoded by tiles of a region's bins: max-plus
+    matrices of the tiles, the scores that enter each, and the path backwards. Runs of the
+    tiles are joined where they meet."""
+    means, move, begin = model(median)
     kinds = dict(bins.dtypes)
-    return bins.groupBy("region_id").applyInPandas(decode, f"region_id {kinds['region_id']}, chr {kinds['chr']}, start bigint, `end` bigint, cn bigint")
+
+    def emissions(pdf: pd.DataFrame) -> np.ndarray:
+        observed = pdf["coverage"].to_numpy(dtype=float)
+        return np.stack([log_emission(observed, e) for e in means], axis=1)
+
+    def runs(pdf: pd.DataFrame, states: np.ndarray) -> pd.DataFrame:
+        pdf = pdf.assign(cn=states, past=pdf["_row"] + 1)
+        run = (pdf["cn"] != pdf["cn"].shift()).cumsum()
+        return pdf.groupby(run).agg(region_id=("region_id", "first"), chr=("chr", "first"), start=("start", "min"), end=("end", "max"), cn=("cn", "first"), row=("_row", "min"), past=("past", "max"))
+
+    tiled = scans.in_tiles(bins, ("region_id",), ("start", "end"), rows)
+    found = scans.viterbi_states(tiled, ("region_id",), emissions, move, begin, f"region_id {kinds['region_id']}, chr {kinds['chr']}, start bigint, `end` bigint, cn bigint, row bigint, past bigint", runs)
+    joined = island_ids(found, ("region_id", "cn"), "row", "past")
+    out = joined.groupBy("region_id", "cn", "island_start").agg(F.min("chr").alias("chr"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return out.select("region_id", "chr", "start", "end", "cn")
 
 
 def highest_copy_number(regions: DataFrame, track: DataFrame) -> DataFrame:
