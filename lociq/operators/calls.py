@@ -176,6 +176,40 @@ def assembled(composites: DataFrame, genotypes: DataFrame, places: DataFrame, mi
     )
 
 
+def adjacency_calls(ends: DataFrame, genotypes: DataFrame, min_alt_reads: int = MIN_ALT_READS, symbolic_from: int = 100_000) -> DataFrame:
+    """Two calls for each merged adjacency, that name each other as mates.
+
+    The pattern of most support speaks for its composite, then the one of the lesser sample,
+    consensus and id; patterns without exactly two ends never do, and a composite without
+    any other has no call. Both calls pass where one sample has enough reads at either end;
+    they are precise where no end of the composite lies in a repeat. ends: (composite_id,
+    sample, consensus_id, pattern_id, support, ord, chr, at, sv_type 3 or 4, forward,
+    inserted, n_repeats); genotypes: (composite_id, sample, n_alt), the larger of both ends."""
+    facts = F.struct("ord", "chr", "at", "sv_type", "forward")
+    whole = ends.groupBy("composite_id", "sample", "consensus_id", "pattern_id").agg(F.max("support").alias("support"), F.max(F.coalesce("inserted", F.lit(""))).alias("inserted"), F.array_sort(F.collect_list(facts)).alias("ends"), F.sum("n_repeats").alias("n_repeats"))
+    about = whole.groupBy("composite_id").agg(F.sum("n_repeats").alias("repeats"), F.array_sort(F.collect_set("consensus_id")).alias("consensus_ids"))
+    order = F.struct(-F.col("support"), "sample", "consensus_id", "pattern_id")
+    spoken = whole.where(F.size("ends") == 2).groupBy("composite_id").agg(F.min_by(F.struct("sample", "consensus_id", "pattern_id", "inserted", "ends"), order).alias("p")).select("composite_id", "p.*")
+    most = genotypes.groupBy("composite_id").agg(F.max("n_alt").alias("most_alt"))
+    df = spoken.join(about, "composite_id").join(most, "composite_id", "left")
+    name = F.concat_ws(".", F.col("sample").cast("string"), F.col("consensus_id").cast("string"), F.col("pattern_id").cast("string"))
+    df = df.withColumns({"name": name, "n": F.length("inserted")}).withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1))))
+    df = df.withColumns({"e": F.expr("ends[_k]"), "mate": F.expr("ends[1 - _k]")})
+    far = F.concat(F.col("mate.chr").cast("string"), F.lit(":"), (F.col("mate.at") + 1).cast("string"))
+    contig = F.concat(F.lit("<ctg_"), "name", F.lit(">:"), F.when(F.col("e.sv_type") == 4, F.lit("1")).otherwise(F.col("n").cast("string")))
+    symbolic = F.col("n") > symbolic_from
+    place, base = F.when(symbolic, contig).otherwise(far), F.when(symbolic, F.lit("N")).otherwise(F.concat(F.lit("N"), F.col("inserted")))
+    right, forward = F.col("e.sv_type") == 4, F.col("e.forward")
+    bracket = F.when(right == forward, F.lit("[")).otherwise(F.lit("]"))  # which way the mate's piece runs
+    there = F.concat(bracket, place, bracket)
+    return df.select(
+        "composite_id", F.concat_ws(".", "name", F.col("_k").cast("string")).alias("call_id"), F.concat_ws(".", "name", (1 - F.col("_k")).cast("string")).alias("mate_id"),
+        F.col("e.chr").alias("chr"), F.col("e.at").alias("start"), (F.col("e.at") + 1).alias("end"), F.lit("BND").alias("svtype"), F.greatest("n", F.lit(1)).cast("bigint").alias("svlen"),
+        F.when(right, F.concat(base, there)).otherwise(F.concat(there, base)).alias("alt"),
+        F.when(F.coalesce("most_alt", F.lit(0)) >= min_alt_reads, "PASS").otherwise("LowQual").alias("filter"), (F.col("repeats") == 0).alias("precise"), "consensus_ids",
+    )
+
+
 def in_containers(reads: DataFrame, copy_numbers: DataFrame, most_copies: int = 4, assemble: Callable[[list[str]], str] | None = None) -> DataFrame:
     """The steps of one container for all (G13): containers of too many copies go, reads are
     clustered, and each cluster gives a consensus. reads: (container_id, read_id, inserted,

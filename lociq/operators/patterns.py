@@ -119,6 +119,64 @@ def merge_pairs(composites: DataFrame, near: int = 150, size_tolerance: float |
     return pairs.select(F.least("composite_id", "b_composite_id").alias("a"), F.greatest("composite_id", "b_composite_id").alias("b")).distinct()
 
 
+#: Members of a repeat beyond which its pairs are dealt to several tasks.
+CROWDED_REPEAT = 1000
+
+
+def composite_links(
+    composites: DataFrame, repeats: DataFrame, sequences: DataFrame | None = None, near: int = 150, size_tolerance: float = 0.1,
+    scale: float = 1.0, most_effect: float = 2.0, least_similarity: float = 0.7, short: int = 100, width: int = 1000,
+) -> DataFrame:
+    """(a, b, near, shared): pairs of composites that may be one variant (J13-J16, G05),
+    each once: those that lie near each other, and those that share a repeat however far
+    apart, of like size, from different consensuses.
+
+    Sizes are alike by Cohen's d, or relatively, each scaled by its own complexity
+    (calls.complexity_tolerance) as far as `scale` says. Inversions of all kinds pair, where
+    first and last primitive lie on the same chromosomes. With sequences (composite_id,
+    seq), what either side is not short must share k-mers. composites: (composite_id, chr,
+    last_chr, start, end, svtype, size, size_tolerance, sample, consensus_id, n, mean,
+    variance); repeats: (composite_id, repeat_id). Pairs under a repeat of very many
+    members are dealt out by salt."""
+    from lociq.functions.dna import kmer_counts, kmer_similarity
+    from lociq.functions.scores import cohens_d, lerp
+
+    c = F.col
+    rows = composites.withColumn("family", F.when(c("svtype").startswith("INV"), "INV").otherwise(c("svtype")))
+    rows = rows.withColumn("scaled", lerp(c("size").cast("double"), c("size") * c("size_tolerance"), F.lit(scale)))
+    carried = ("composite_id", "chr", "last_chr", "size", "scaled", "sample", "consensus_id", "n", "mean", "variance")
+    other = rows.select("family", *(c(x).alias(f"b_{x}") for x in carried))
+    effect = F.abs(cohens_d(c("n"), c("mean"), c("variance"), c("b_n"), c("b_mean"), c("b_variance")))
+    alike = (effect <= most_effect) | (F.abs(c("scaled") - c("b_scaled")) <= size_tolerance * F.greatest("scaled", "b_scaled"))
+    apart = ~((c("sample") == c("b_sample")) & (c("consensus_id") == c("b_consensus_id")))
+    one_place = (c("family") != "INV") | ((c("chr") == c("b_chr")) & (c("last_chr") == c("b_last_chr")))
+    fits = alike & apart & one_place & (c("composite_id") != c("b_composite_id"))
+    pair = (F.least("composite_id", "b_composite_id").alias("a"), F.greatest("composite_id", "b_composite_id").alias("b"), (F.greatest("size", "b_size") >= short).alias("long"))
+
+    reach = F.when(c("family") == "INS", F.greatest(F.lit(near), c("size"))).otherwise(F.lit(near))
+    left = rows.select("family", *carried, (c("start") - reach).alias("start"), (c("end") + reach).alias("end"))
+    right = rows.select("family", *(c(x).alias(f"b_{x}") for x in carried), c("chr").alias("r_chr"), c("start").alias("r_start"), F.greatest("end", c("start") + 1).alias("r_end"))
+    by_place = range_join(left.withColumn("r_chr", c("chr")), right, key="r_chr", width=width, also=("family",), condition=fits).select(*pair, F.lit(True).alias("near"), F.lit(False).alias("shared"))
+
+    held = rows.select("family", *carried).join(repeats.select("composite_id", "repeat_id").distinct(), "composite_id")
+    parts = held.groupBy("repeat_id", "family").agg(F.ceil(F.count("*") / CROWDED_REPEAT).cast("int").alias("parts"))
+    salted = held.join(parts, ["repeat_id", "family"]).withColumn("salt", F.pmod(F.xxhash64("composite_id"), c("parts")).cast("int"))
+    every = repeats.select(c("composite_id").alias("b_composite_id"), "repeat_id").distinct().join(other, "b_composite_id").join(parts, ["repeat_id", "family"]).withColumn("salt", F.explode(F.sequence(F.lit(0), c("parts") - 1))).drop("parts")
+    by_repeat = salted.drop("parts").join(every, ["repeat_id", "family", "salt"]).where(fits).select(*pair, F.lit(False).alias("near"), F.lit(True).alias("shared"))
+
+    found = by_place.unionByName(by_repeat).groupBy("a", "b").agg(F.max("long").alias("long"), F.max("near").alias("near"), F.max("shared").alias("shared"))
+    if sequences is not None:
+        scored = kmer_similarity(kmer_counts(sequences, "composite_id", "seq"), found.where("long").select("a", "b"), "composite_id")
+        found = found.join(scored, ["a", "b"], "left").where(~c("long") | (c("similarity") >= least_similarity))
+    return found.select("a", "b", "near", "shared")
+
+
+def merged_composites(composites: DataFrame, links: DataFrame) -> DataFrame:
+    """composite_id, merged_id: composites merged by components of their links."""
+    merged = components(links.select("a", "b")).withColumnRenamed("node", "composite_id")
+    return composites.select("composite_id").join(merged, "composite_id", "left").select("composite_id", F.coalesce("component", "composite_id").alias("merged_id"))
+
+
 def vertical(composites: DataFrame, sequences: DataFrame | None = None, least_similarity: float = 0.7, short: int = 100, **limits) -> DataFrame:
     """composite_id, merged_id: composites of all samples merged by components of like
     pairs (G03); with sequences (composite_id, seq), longer ones must share k-mers."""
