@@ -5,9 +5,8 @@ coordinate and its value. Two documents whose sets are as similar as asked agree
 least `MATCHES` coordinates except with a chance below one in 100,000, so only the
 `COORDINATES - MATCHES + 1` rarest postings of each need be joined (the prefix), rarest
 over the whole corpus; values that no other document has count among these without being
-posted (the skip). A pair that meets under a posting has its collisions counted over all
-coordinates, of which every class carries 16 bits each, and is retained from `MATCHES` on.
-Beside them stands a sketch of one bit from each of `SKETCH` further coordinates: similar
+posted (the skip). Of a pair that meets under a posting the collisions are counted over all
+coordinates, and it is retained from `MATCHES` on. Beside them stands a sketch of one bit from each of `SKETCH` further coordinates: similar
 sets agree in `SKETCH_MATCHES` bits except with the same chance, and less similar ones
 seldom do. A third filter is exact: of `PARITY` bits, each the parity of the shingles that
 fall on it, two sets differ in no more than they differ in shingles, which is sharp for
@@ -21,8 +20,7 @@ to the one with the fewest changes. So a group costs a link each and not a pair
 In the later of `HUB_ROUNDS` rounds what is still apart meets other members of a posting's
 largest component. Only pairs that lie in
 different components and share a posting are then tested one by one: those outside a
-posting's largest component with all its holders, each pair at the first posting that both hold in
-their whole prefixes. A posting with many components is split: what meets there is posted anew
+posting's largest component with all its holders. A posting with many components is split: what meets there is posted anew
 under the rarest shingles of its full set, of which two similar sets share one among so
 many as they may differ in, and meets under these; so short texts with a common word, or
 long ones with a common passage, do not all meet (`SPLIT_PAIRS`). No link between
@@ -54,9 +52,9 @@ PREFIX = COORDINATES - MATCHES + 1
 #: Bits of the sketch, and how many of them a similar pair shares: at a similarity of 0.8
 #: each bit agrees with a chance of 0.9, and fewer than 430 do so once in 100,000 pairs.
 SKETCH, SKETCH_MATCHES, PARITY = 512, 430, 1024
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Pairs under a posting beyond which it is split.
-SPLIT_PAIRS = 100_000
+SPLIT_PAIRS = 50_000
 #: Pairs of a block, on average, in the confirmation of links.
 BLOCK_PAIRS = 20_000
 #: Bits of the bitmap that picks the documents to make sets of: 16 MB.
@@ -115,9 +113,9 @@ def signature(found: np.ndarray) -> np.ndarray:
     return ((low & ~np.uint64(COORDINATES - 1)) | np.arange(COORDINATES, dtype=np.uint64)).view(np.int64)
 
 
-def sketch(found: np.ndarray, postings: np.ndarray) -> np.ndarray:
-    """One bit of each of `SKETCH` minima over 32-bit hashes, then the `PARITY` bits, then
-    16 bits of each coordinate's value, as 64-bit numbers."""
+def sketch(found: np.ndarray) -> np.ndarray:
+    """One bit of each of `SKETCH` minima over 32-bit hashes, then the `PARITY` bits, as
+    64-bit numbers."""
     low = np.full(SKETCH, np.iinfo(np.uint32).max, dtype=np.uint32)
     short = (found >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
@@ -125,8 +123,7 @@ def sketch(found: np.ndarray, postings: np.ndarray) -> np.ndarray:
             low = np.minimum(low, ((short[at : at + 1024, None] ^ SKETCH_SHIFTS) * SKETCH_FACTORS).min(axis=0))
         bits = ((low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(31)
     odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-    values = (postings.view(np.uint64) >> np.uint64(5)).astype(np.uint16).view(np.int64)
-    return np.concatenate([np.packbits(np.concatenate([bits, odd]).astype(np.uint8)).view(np.int64), values])
+    return np.packbits(np.concatenate([bits, odd]).astype(np.uint8)).view(np.int64)
 
 
 def differ(a: str, b: str, low: int, high: int) -> str:
@@ -139,17 +136,10 @@ def agree(a: str, b: str) -> str:
     return f"({SKETCH} - {differ(a, b, 0, SKETCH)})"
 
 
-def collisions(a: str, b: str) -> str:
-    """SQL for the coordinates in which two signatures collide, by their 16 bits; chance
-    makes one more in 2,000 pairs and never one less."""
-    first, lanes = (SKETCH + PARITY) // 64, (65535, 65535 << 16, 65535 << 32, -(1 << 48))
-    return "(" + " + ".join(f"if(({a.format(i)} ^ {b.format(i)}) & {m}L = 0, 1, 0)" for i in range(first, first + COORDINATES // 4) for m in lanes) + ")"
-
-
 def may_be_similar(a: str, b: str, percent: int) -> str:
     """SQL for what two sketches of sets of n and m shingles leave possible."""
     by_parity = f"{100 + percent}L * {differ(a, b, SKETCH, SKETCH + PARITY)} <= {100 - percent}L * (n + m)"
-    return f"{agree(a, b)} >= {SKETCH_MATCHES} AND {by_parity} AND {collisions(a, b)} >= {MATCHES}"  # the sharpest first
+    return f"{agree(a, b)} >= {SKETCH_MATCHES} AND {by_parity}"
 
 
 def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +162,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                     rows.append((key, 0, None, None, None))
                     continue
                 postings = signature(found)
-                rows.append((key, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), postings, sketch(found, postings)))
+                rows.append((key, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), postings, sketch(found)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "postings", "sketch"])
 
     return docs.mapInPandas(run, "doc_id bigint, n bigint, same binary, postings array<bigint>, sketch array<bigint>")
@@ -283,20 +273,24 @@ def with_largest(named: DataFrame) -> DataFrame:
     return named.join(largest.select(*key, F.col("m.label").alias("main"), split.alias("split")), key)
 
 
-def meeting(rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, lists: DataFrame) -> DataFrame:
+def collided(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures collide in `MATCHES` coordinates; a
+    posting has its coordinate's number in it."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("postings").alias(f"p_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(F.size(F.array_intersect("p_a", "p_b")) >= MATCHES).select("a", "b")
+
+
+def meeting(rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): all pairs of different labels under a posting that may be similar. Of two
     rows with different labels one lies outside the posting's largest component, so only
-    such rows look for partners. lists: (node, own) makes each pair once, at the first
-    posting of both lists."""
-    key, numbers = ["posting", "size_class"], range((SKETCH + PARITY) // 64 + COORDINATES // 4)
+    such rows look for partners."""
+    key, numbers = ["posting", "size_class"], range((SKETCH + PARITY) // 64)
     rows = rows.select(*key, "away", "node", "n", "label", (F.col("label") == F.col("main")).alias("in_main"))
-    rows = rows.join(nodes.select("node", *(F.col("sketch")[i].alias(f"x{i}") for i in numbers)), "node")
-    rows = scratch.cut(rows.join(lists, "node"))
-    other = rows.select(*key, F.col("away").alias("away_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("in_main").alias("main_b"), *(F.col(f"x{i}").alias(f"y{i}") for i in numbers), F.col("own").alias("own_b"))
+    rows = scratch.cut(rows.join(nodes.select("node", *(F.col("sketch")[i].alias(f"x{i}") for i in numbers)), "node"))
+    other = rows.select(*key, F.col("away").alias("away_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("in_main").alias("main_b"), *(F.col(f"x{i}").alias(f"y{i}") for i in numbers))
     once = F.expr("label <> label_b AND (main_b OR node > b) AND NOT (away AND away_b)")
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND {may_be_similar('x{}', 'y{}', percent)}")
-    first = F.expr("posting = array_min(array_intersect(own, own_b))")
-    return rows.where("NOT in_main").join(other, key).where(once & fits & first).select(F.col("node").alias("a"), "b").distinct()
+    return rows.where("NOT in_main").join(other, key).where(once & fits).select(F.col("node").alias("a"), "b").distinct()
 
 
 def several(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -308,19 +302,15 @@ def several(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(held, key, "left_semi")
 
 
-def remaining_pairs(named: DataFrame, posts: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+def remaining_pairs(named: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): all pairs of different components that share a posting and may be similar."""
     rows = scratch.cut(with_largest(named))
-    # All postings of a class's prefix, so that two classes find the same first one whatever
-    # has been settled under the others.
-    lists = posts.where("NOT away").groupBy("node").agg(F.collect_set("posting").alias("own"))  # at most PREFIX
-    pairs = meeting(rows.where("NOT split"), nodes, percent, scratch, lists)
+    pairs = meeting(rows.where("NOT split"), nodes, percent, scratch)
     crowded = scratch.cut(rows.where("split").select("node").distinct())
     if not crowded.isEmpty():
         sets = full_sets(docs, crowded, width).join(crowded, "node", "left_semi").withColumn("n", F.size("found").cast("bigint"))
         again = scratch.cut(prefixes(scratch.cut(sets), "found", "n", f"n - (n * {percent} + 99) div 100 + 1", percent, scratch))
-        lists = again.where("NOT away").groupBy("node").agg(F.collect_set("posting").alias("own"))  # at most the prefix
-        pairs = pairs.union(meeting(with_largest(several(again, labels)), nodes, percent, scratch, lists)).distinct()
+        pairs = pairs.union(meeting(with_largest(several(again, labels)), nodes, percent, scratch)).distinct()
     return scratch.cut(pairs)
 
 
@@ -328,12 +318,14 @@ def links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch:
     """(node, label) of the classes that are linked with another."""
     cut = scratch.cut
     posts = cut(prefixes(nodes, "postings", f"{COORDINATES}", f"{PREFIX}", percent, scratch))
-    labels, tested = None, None
+    labels, tested, held = None, None, posts
     for turn in range(HUB_ROUNDS + 1):
-        named = cut(several(posts, labels))
-        pairs = hub_pairs(named, nodes.select("node", "sketch"), percent, scratch, turn) if turn < HUB_ROUNDS else remaining_pairs(named, posts, labels, nodes, docs, width, percent, scratch)
+        named = cut(several(held, labels))
+        held = named.drop("label")  # what one component holds stays one's
+        pairs = hub_pairs(named, nodes.select("node", "sketch"), percent, scratch, turn) if turn < HUB_ROUNDS else remaining_pairs(named, labels, nodes, docs, width, percent, scratch)
         if tested is not None:
-            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(collided(pairs, nodes))
         if pairs.isEmpty():
             continue
         labels = components(confirmed(pairs, docs, width, percent, scratch), labels, scratch)

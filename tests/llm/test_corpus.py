@@ -344,13 +344,15 @@ def test_many_short_texts_on_one_posting(spark, monkeypatch):
 
 def test_collisions_are_counted(spark):
     rng = random.Random(1)
-    words = [f"w{i}" for i in range(300)]
-    for changed in (0, 30, 100, 300):
+    words, rows, wanted = [f"w{i}" for i in range(300)], [], {}
+    for k, changed in enumerate((0, 30, 60, 80, 100, 300)):
         other = list(words)
         for i in rng.sample(range(300), changed):
             other[i] = f"x{i}"
-        sets = [near_duplicates.shingles(" ".join(w), 2, near_duplicates.WordHashes()) for w in (words, other)]
-        signed = [near_duplicates.signature(x) for x in sets]
-        rows = [tuple(near_duplicates.sketch(x, p).tolist() for x, p in zip(sets, signed))]
-        got = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").selectExpr(near_duplicates.collisions("a[{}]", "b[{}]")).first()[0]
-        assert got == int((signed[0] == signed[1]).sum())
+        a, b = (near_duplicates.signature(near_duplicates.shingles(" ".join(w), 2, near_duplicates.WordHashes())) for w in (words, other))
+        rows += [(2 * k, a.tolist()), (2 * k + 1, b.tolist())]
+        wanted[2 * k, 2 * k + 1] = int((a == b).sum())
+    nodes = spark.createDataFrame(rows, "node bigint, postings array<bigint>")
+    pairs = spark.createDataFrame(list(wanted), "a bigint, b bigint")
+    kept = {(r.a, r.b) for r in near_duplicates.collided(pairs, nodes).collect()}
+    assert kept == {p for p, n in wanted.items() if n >= near_duplicates.MATCHES} and 0 < len(kept) < len(wanted)
