@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,12 +90,33 @@ def best_group(members: DataFrame) -> DataFrame:
 
 def horizontal(patterns: DataFrame) -> DataFrame:
     """Patterns of one consensus that share a repeat become a composite; the sign of the
-    summed sizes says INS or DEL (G02). patterns: (pattern_id, sample, consensus_id,
-    signed_size, repeat_ids)."""
-    seeds = patterns.select("pattern_id", "sample", "consensus_id", F.explode("repeat_ids").alias("repeat_id"))
-    first = seeds.groupBy("sample", "consensus_id", "repeat_id").agg(F.min("pattern_id").alias("a"))
-    edges = seeds.join(first, ["sample", "consensus_id", "repeat_id"]).select("a", F.col("pattern_id").alias("b"))
-    named = patterns.join(components(edges).withColumnRenamed("node", "pattern_id"), "pattern_id", "left").withColumn("composite_id", F.coalesce("component", "pattern_id"))
+    summed sizes says INS or DEL (G02). Components never leave a consensus, so each is
+    solved in the task that has its patterns, of which a consensus has as many as signals
+    on its own length. patterns: (pattern_id, sample, consensus_id, signed_size,
+    repeat_ids)."""
+    kinds = dict(patterns.dtypes)
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        above = {}
+
+        def top(x):
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        # Repeats and patterns are nodes alike; a repeat's number is told apart by its pair.
+        least: dict = {}
+        for pattern, repeats in zip(pdf["pattern_id"], pdf["repeat_ids"]):
+            top((0, pattern))
+            for repeat in repeats if repeats is not None else ():
+                above[top((1, repeat))] = top((0, pattern))
+        roots = [top((0, p)) for p in pdf["pattern_id"]]
+        for root, pattern in zip(roots, pdf["pattern_id"]):
+            least[root] = min(least.get(root, pattern), pattern)
+        return pd.DataFrame({"pattern_id": pdf["pattern_id"], "composite_id": [least[r] for r in roots], "signed_size": pdf["signed_size"]})
+
+    schema = f"pattern_id {kinds['pattern_id']}, composite_id {kinds['pattern_id']}, signed_size {kinds['signed_size']}"
+    named = patterns.groupBy("sample", "consensus_id").applyInPandas(joined, schema)
     total = named.groupBy("composite_id").agg(F.sum("signed_size").alias("signed_size"), F.count("*").alias("n_patterns"))
     return total.withColumn("svtype", F.when(F.col("signed_size") >= 0, "INS").otherwise("DEL"))
 

@@ -194,11 +194,11 @@ def thin_place_reads(spark, d):
     return statistics.over_thin_places(rows.where("n_del = 1"), rows, 0.5)
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey AS region_id, l_orderkey % 400 AS consensus_id FROM lineitem WHERE l_linenumber = 1)
+@query("""WITH m AS (SELECT DISTINCT l_suppkey AS region_id, l_orderkey % 400 AS consensus_id FROM lineitem)
     SELECT r.s_suppkey AS region_id, m.consensus_id, CASE WHEN m.consensus_id IS NOT NULL THEN coalesce((SELECT string_agg(CAST(o.region_id AS VARCHAR), ',' ORDER BY o.region_id) FROM m o WHERE o.consensus_id = m.consensus_id AND o.region_id <> m.region_id), '') END AS others
     FROM supplier r LEFT JOIN m ON m.region_id = r.s_suppkey""")
 def regions_of_consensus(spark, d):
-    parts = read(spark, d, "lineitem").where("l_linenumber = 1").selectExpr("l_suppkey AS region_id", "l_orderkey % 400 AS consensus_id").distinct()
+    parts = read(spark, d, "lineitem").selectExpr("l_suppkey AS region_id", "l_orderkey % 400 AS consensus_id").distinct()
     found = statistics.others_of_consensus(read(spark, d, "supplier").selectExpr("s_suppkey AS region_id"), parts)
     return found.select("region_id", "consensus_id", F.array_join(F.col("others").cast("array<string>"), ",").alias("others"))
 
@@ -279,10 +279,10 @@ def analysable_containers(spark, d):
     return calls.analysable(regions, coverage.highest_copy_number(regions, track)).select("region_id")
 
 
-@query("""WITH v AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'INS' WHEN 1 THEN 'DEL' ELSE 'INV' END AS svtype, left(seq, 40) AS seq FROM v_dna), g AS (SELECT *, CASE WHEN length(seq) > 0 THEN (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / CAST(length(seq) AS DOUBLE) ELSE 0 END AS gc FROM v)
+@query("""WITH v AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'INS' WHEN 1 THEN 'DEL' ELSE 'INV' END AS svtype, seq FROM v_dna), g AS (SELECT *, CASE WHEN length(seq) > 0 THEN (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / CAST(length(seq) AS DOUBLE) ELSE 0 END AS gc FROM v)
     SELECT doc_id, svtype FROM g WHERE svtype = 'INV' OR (gc > 0.1 AND gc <= 0.9)""")
 def usual_composition(spark, d):
-    rows = view(spark, d, "v_dna").selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN 'INS' WHEN 1 THEN 'DEL' ELSE 'INV' END AS svtype", "left(seq, 40) AS seq")
+    rows = view(spark, d, "v_dna").selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN 'INS' WHEN 1 THEN 'DEL' ELSE 'INV' END AS svtype", "seq")
     return calls.usual_composition(rows).select("doc_id", "svtype")
 
 
@@ -341,10 +341,10 @@ def representative_regions(spark, d):
     return calls.representative(rows).join(first, "composite_id")
 
 
-@query("""WITH r AS (SELECT l_partkey AS variant_id, list_distinct(list(l_orderkey) FILTER (WHERE l_returnflag = 'R')) AS alt, list_distinct(list(l_orderkey)) AS cov FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1)
+@query("""WITH r AS (SELECT l_partkey AS variant_id, list_distinct(list(l_orderkey) FILTER (WHERE l_returnflag = 'R')) AS alt, list_distinct(list(l_orderkey)) AS cov FROM lineitem GROUP BY 1)
     SELECT variant_id, CAST(coalesce(len(alt), 0) AS BIGINT) AS n_alt, CAST(len(list_filter(cov, lambda x: NOT coalesce(list_contains(alt, x), false))) AS BIGINT) AS n_ref, CAST(len(cov) AS BIGINT) AS n_total FROM r""")
 def read_set_counts(spark, d):
-    rows = read(spark, d, "lineitem").where("l_linenumber <= 5").groupBy(F.col("l_partkey").alias("variant_id")).agg(F.collect_set(F.expr("CASE WHEN l_returnflag = 'R' THEN l_orderkey END")).alias("alt_reads"), F.collect_set("l_orderkey").alias("covering_reads"))
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("variant_id")).agg(F.collect_set(F.expr("CASE WHEN l_returnflag = 'R' THEN l_orderkey END")).alias("alt_reads"), F.collect_set("l_orderkey").alias("covering_reads"))
     return calls.read_sets(rows).select("variant_id", *(F.col(c).cast("bigint") for c in ("n_alt", "n_ref", "n_total")))
 
 

@@ -93,15 +93,16 @@ def read_vcf(spark: SparkSession, path: str, only_pass: bool = False) -> DataFra
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
     """A reference as (chr, start, end, seq) chunks (S11). Lines are numbered where they
-    stand, a header's name is carried to the lines after it, and the bases of a line go to
-    the chunks that it touches: a contig is never one row, and a '>' inside a header is
+    stand, the headers above a line are counted, and the bases of a line go to the chunks
+    that it touches: a contig is never one row, and a '>' inside a header is
     part of it."""
     lines = line_numbers(spark.read.text(path)).where("value <> ''")
-    heads = lines.where("value LIKE '>%'").select(F.col("line").alias("head"), F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("chr"))
-    # A reference has as many headers as contigs: their lines part the file.
-    spans = heads.select("chr", F.col("head").alias("r_start"), F.coalesce(F.lead("head").over(W.orderBy("head")), F.lit(1 << 62)).alias("r_end"))
-    body = lines.where("value NOT LIKE '>%'").select("line", F.regexp_replace("value", r"\s", "").alias("bases"))
-    named = body.join(F.broadcast(spans), (F.col("line") > F.col("r_start")) & (F.col("line") < F.col("r_end"))).select("chr", F.col("line").alias("position"), "bases", F.length("bases").cast("bigint").alias("n"))
+    # How many headers stand above a line says which contig it is of; windows see a tile.
+    marked = lines.select("line", "value", F.when(F.col("value").startswith(">"), 1).otherwise(0).cast("bigint").alias("is_head"), F.lit(0).alias("file"))
+    counted = running_sum(marked, "file", "line", "is_head", "contig")
+    heads = counted.where("is_head = 1").select("contig", F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("chr"))
+    body = counted.where("is_head = 0 AND contig > 0").select("contig", F.col("line").alias("position"), F.regexp_replace("value", r"\s", "").alias("bases"))
+    named = body.join(heads, "contig").select("chr", "position", "bases", F.length("bases").cast("bigint").alias("n"))
     placed = named.join(running_sum(named, "chr", "position", "n", "upto").select("chr", "position", "upto"), ["chr", "position"]).withColumn("at", F.col("upto") - F.col("n")).where("n > 0")
     dealt = placed.withColumn("k", F.explode(F.expr(f"sequence(at div {chunk}, (upto - 1) div {chunk})")))
     piece = F.expr(f"substring(bases, cast(greatest(k * {chunk} - at, 0) + 1 AS int), cast(least(upto, (k + 1) * {chunk}) - greatest(at, k * {chunk}) AS int))")
