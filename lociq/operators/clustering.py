@@ -1,5 +1,5 @@
-"""Read clustering and consensus per container (G06-G08, G11): grouped kernels over the reads of
-one container, and a seam for outside aligners and assemblers."""
+"""Read clustering per container (G06-G08): grouped kernels over the reads of one container.
+`consensus` is a seam for outside assemblers; assembly.consensuses votes (G11)."""
 
 from __future__ import annotations
 

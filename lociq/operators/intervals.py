@@ -90,7 +90,7 @@ def island_ids(df: DataFrame, keys=("chr",), start="start", end="end", gap: int
     Rows join when the next start is at most `gap` past the reach so far; with
     touching=False bookended rows stay apart. Rows shrink to a row per start first, so a
     tile's window holds `tile` rows at most; what earlier tiles reach and how many islands
-    they begin is a row a tile.
+    they begin is a row a tile. A row with a null key or start lies nowhere and goes.
     """
     keys = list(keys)
     places = df.groupBy(*keys, F.col(start).alias("_at")).agg(F.max(end).alias("_to")).withColumn("_tile", F.floor(F.col("_at") / tile))
@@ -117,7 +117,8 @@ def merge(df: DataFrame, keys=("chr",), gap: int = 0, touching: bool = True, agg
 def along(steps: DataFrame, keys, changes: tuple[str, ...], tile: int = TILE) -> DataFrame:
     """steps (keys, position, changes), one row a position, with the running sum of each
     change (sum_<change>) and the next position. Windows hold a tile's positions, of which
-    there are `tile` at most; what crosses tiles is one row a tile."""
+    there are `tile` at most; what crosses tiles is one row a tile. Steps with a null key or
+    position go."""
     keys = list(keys)
     tiled = steps.withColumn("_tile", F.floor(F.col("position") / tile))
     over = W.partitionBy(*keys).orderBy("_tile")
