@@ -188,24 +188,61 @@ def effect(x: list, y: list) -> float:
     return gap / spread**0.5
 
 
+class Gathered:
+    """What the fold asks of a region's rows: reads, counts and sums of sizes by type, which
+    are whole numbers, and the sizes in order. Two of them join without their rows."""
+
+    def __init__(self, kinds, sizes, reads, least: int = 100):
+        self.reads = set(reads)
+        self.sizes = sorted(s for t, s in zip(kinds, sizes) if t <= 1)
+        self.sums = {}
+        for kind in (1, 0):
+            own = [int(s) for t, s in zip(kinds, sizes) if t == kind and s >= least]
+            self.sums[kind] = len(own), sum(own), sum(s * s for s in own)
+
+    def join(self, other: Gathered) -> None:
+        self.reads |= other.reads
+        self.sizes += other.sizes
+        self.sizes.sort()  # two runs in order
+        self.sums = {k: tuple(map(sum, zip(v, other.sums[k]))) for k, v in self.sums.items()}
+
+    def middle(self) -> float:
+        n = len(self.sizes)
+        return (self.sizes[(n - 1) // 2] + self.sizes[n // 2]) / 2 if n else 0.0
+
+    def like(self, other: Gathered, share: float = 0.2, most: float = 0.5) -> bool:
+        """similar_sizes of the two, from the sums."""
+        close, lacking = [], 0
+        for kind in (1, 0):
+            (n, s, q), (m, t, r) = self.sums[kind], other.sums[kind]
+            lacking += n < share * len(self.reads) or m < share * len(other.reads)
+            if not (n and m):
+                close.append(0.5)
+                continue
+            gap = s / n - t / m
+            spread = ((n * q - s * s) / n + (m * r - t * t) / m) / (n + m - 2) if n + m > 2 else 0.0
+            close.append(abs(gap) / spread**0.5 if spread else (0.0 if gap == 0 else float("inf")))
+        return lacking < 2 and min(close) < most
+
+
 def folded(signals: DataFrame, reach: int = 300, pad: int = 50) -> DataFrame:
     """Neighbouring regions merged while they are near and alike (W06): (chr, start, end,
     region_ids). The test looks at everything gathered so far, hence a fold along each
-    stretch; stretches begin where the gap to all before exceeds the reach. signals:
-    (region_id, chr, start, end, sv_type, size, read_id)."""
+    stretch; stretches begin where the gap to all before exceeds the reach. What is gathered
+    stands as sums and not as rows. signals: (region_id, chr, start, end, sv_type, size,
+    read_id)."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out, current = [], None
         groups = [(g["start"].min(), g["end"].max(), rid, g) for rid, g in pdf.groupby("region_id")]
-        middle = lambda rows: float(np.median([s for t, s, _ in rows if t <= 1])) if any(t <= 1 for t, *_ in rows) else 0.0
         for start, end, rid, g in sorted(groups, key=lambda x: x[:3]):
-            rows = list(zip(g["sv_type"], g["size"], g["read_id"]))
-            if current and start - pad <= current["end"] + pad + min(2 * min(middle(current["rows"]), middle(rows)), reach) and similar_sizes(current["rows"], rows):
+            own = Gathered(g["sv_type"].tolist(), g["size"].tolist(), g["read_id"].tolist())
+            if current and start - pad <= current["end"] + pad + min(2 * min(current["own"].middle(), own.middle()), reach) and current["own"].like(own):
                 current["end"] = max(current["end"], end)
-                current["rows"] += rows
+                current["own"].join(own)
                 current["ids"].append(rid)
             else:
-                current = {"start": start, "end": end, "rows": rows, "ids": [rid]}
+                current = {"start": start, "end": end, "own": own, "ids": [rid]}
                 out.append(current)
         return pd.DataFrame({"chr": pdf["chr"].iloc[0], "start": [max(0, c["start"] - pad) for c in out], "end": [c["end"] + pad for c in out], "region_ids": [c["ids"] for c in out]})
 

@@ -95,3 +95,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "region_id bigint, chr bigint, start bigint, end bigint, coverage bigint")
     assert coverage.copy_numbers(none, 30.0).collect() == []
     assert candidates.batches(spark.createDataFrame([], "container_id bigint, start bigint, end bigint, chrs array<bigint>")).collect() == []
+
+
+def test_gathered_sums_equal_rows():
+    rng = random.Random(5)
+    rows = lambda n: [(rng.choice([0, 1, 1, 3]), rng.choice([40, 120, 130, 135, 300]), rng.randrange(6)) for _ in range(n)]
+    for _ in range(400):
+        a, b, c = (rows(rng.randint(1, 9)) for _ in range(3))
+        one, two, three = (candidates.Gathered(*map(list, zip(*x))) for x in (a, b, c))
+        assert one.like(two) == candidates.similar_sizes(a, b)
+        one.join(two)
+        small = [s for t, s, _ in a + b if t <= 1]
+        assert one.middle() == (float(np.median(small)) if small else 0.0) and one.like(three) == candidates.similar_sizes(a + b, c)
