@@ -71,36 +71,82 @@ def heterogeneity(seqs: DataFrame, id_col: str = "doc_id", seq: str = "seq") ->
     return seqs.withColumn("heterogeneity", F.expr(f"CASE WHEN length({seq}) = 0 THEN 0D ELSE {share.format(l=letters)} END".replace("(s,", f"({seq},").replace("(s)", f"({seq})")))
 
 
+CODES = {c: i for i, pair in enumerate(("Aa", "Cc", "Gg", "Tt")) for c in pair}
+
+
+def window_complexity(text: str, window: int, sizes) -> np.ndarray:
+    """Over windows, the product of the shares of distinct k-mers. The k-mers of a size are
+    renewed at every k-th base only, so a window may hold older ones; sequences shorter
+    than the window have none."""
+    letters = np.array([CODES.get(c, 4) for c in text], dtype=np.int64)
+    n = len(letters)
+    if n < window:
+        return np.zeros(0)
+    out = np.ones(n - window + 1)
+    for k in sizes:
+        words = np.zeros(n - k + 1, dtype=np.int64)
+        for i in range(k):
+            words = words * 8 + letters[i : n - k + 1 + i]
+        held = window - k + 1
+        j = np.arange(window, n)
+        fresh = j[j % k == 0]
+        queue = np.concatenate([words[:held], words[fresh - k + 1]])
+        views = np.sort(np.lib.stride_tricks.sliding_window_view(queue, held), axis=1)
+        distinct = 1 + (np.diff(views, axis=1) != 0).sum(axis=1)
+        out *= distinct[np.concatenate([[0], np.cumsum(j % k == 0)])] / min(5**k, held)
+    return out
+
+
 def complexity_track(seqs: DataFrame, window: int = 11, sizes=(2, 3, 4, 5), id_col: str = "doc_id", seq: str = "seq") -> DataFrame:
-    """Adds track (array of float): over windows, the product of the shares of distinct
-    k-mers (W11). The k-mers of a size are renewed at every k-th base only, so a window may
-    hold older ones; sequences shorter than the window have an empty track."""
-    codes = {c: i for i, pair in enumerate(("Aa", "Cc", "Gg", "Tt")) for c in pair}
+    """Adds track (array of float): window_complexity of each sequence."""
 
     @F.pandas_udf("array<double>")
     def track(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> np.ndarray:
-            letters = np.array([codes.get(c, 4) for c in text], dtype=np.int64)
-            n = len(letters)
-            if n < window:
-                return np.zeros(0)
-            out = np.ones(n - window + 1)
-            for k in sizes:
-                words = np.zeros(n - k + 1, dtype=np.int64)
-                for i in range(k):
-                    words = words * 8 + letters[i : n - k + 1 + i]
-                held = window - k + 1
-                j = np.arange(window, n)
-                fresh = j[j % k == 0]
-                queue = np.concatenate([words[:held], words[fresh - k + 1]])
-                views = np.sort(np.lib.stride_tricks.sliding_window_view(queue, held), axis=1)
-                distinct = 1 + (np.diff(views, axis=1) != 0).sum(axis=1)
-                out *= distinct[np.concatenate([[0], np.cumsum(j % k == 0)])] / min(5**k, held)
-            return out
+        return texts.map(lambda text: window_complexity(text, window, sizes))
+
+    return seqs.withColumn("track", track(F.coalesce(seq, F.lit(""))))
+
+
+def complexity(seq: str = "seq"):
+    """Mean complexity of a sequence as a column (A37): windows of 15 bases, or of the
+    largest odd number in a shorter one, and k-mers of all odd sizes from 3 up to 13 or the
+    window's. 1 for fewer than three bases."""
+
+    def one(text: str) -> float:
+        if len(text) < 3:
+            return 1.0
+        window = min(len(text), 15) - (min(len(text), 15) % 2 == 0)
+        return float(window_complexity(text, window, range(min(window, 13), 2, -2)).mean())
 
+    @F.pandas_udf("double")
+    def mean(texts: pd.Series) -> pd.Series:
         return texts.map(one)
 
-    return seqs.withColumn("track", track(F.coalesce(seq, F.lit(""))))
+    return mean(F.coalesce(seq, F.lit("")))
+
+
+def annotated_signals(signals: DataFrame, repeats: DataFrame) -> DataFrame:
+    """signals with gc_percent and complexity of their sequence, where they have one, and
+    the least repeat that they touch, -1 without any (A37). A deletion touches with its
+    whole length, other types with the base that they begin at. signals: (signal_id,
+    sample, chr, start, end, sv_type, size, seq); repeats: (chr, start, end, repeat_id)."""
+    from lociq.functions.dna import gc_fraction
+
+    end = F.when(F.col("sv_type") == 1, F.greatest("end", F.col("start") + 1)).otherwise(F.col("start") + 1)
+    spans = repeats.select("chr", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "repeat_id")
+    hit = range_join(signals.select("signal_id", "chr", "start", end.alias("end")), spans).groupBy("signal_id").agg(F.min("repeat_id").alias("repeat_id"))
+    has = (F.col("sv_type") < 2) & F.col("seq").isNotNull()
+    df = signals.join(hit, "signal_id", "left").withColumn("repeat_id", F.coalesce("repeat_id", F.lit(-1).cast("bigint")))
+    gc = F.bround(100 * F.coalesce(gc_fraction("seq"), F.lit(0.0))).cast("int")
+    return df.withColumns({"gc_percent": F.when(has, gc), "complexity": F.when(has, complexity())})
+
+
+def sample_statistics(annotated: DataFrame) -> DataFrame:
+    """By sample and type: signals, bases, those in repeats, mean composition and
+    complexity (A37)."""
+    return annotated.groupBy("sample", "sv_type").agg(
+        F.count("*").alias("n"), F.sum("size").alias("bases"), F.count_if(F.col("repeat_id") >= 0).alias("in_repeats"), F.avg("gc_percent").alias("gc_percent"), F.avg("complexity").alias("complexity")
+    )
 
 
 def running_share(counts: DataFrame, label: str = "svtype", order: str = "size_bin", value: str = "n") -> DataFrame:

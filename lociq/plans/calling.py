@@ -461,3 +461,17 @@ SCORED = {
 def score_functions(spark, d):
     x, y = F.col("size").cast("double"), F.expr("cast(1 + signal_id % 90 AS double)")
     return view(spark, d, "v_signal").select("signal_id", *(F.round(f(x, y), 6).alias(name) for name, (_, f) in SCORED.items()))
+
+
+# --- sequences of signals by sample ---------------------------------------------------
+
+WORDED = "SELECT signal_id, signal_id % 3 AS sample, chr, s, e, sv_type, size, translate(md5(CAST(signal_id AS {text})), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM {rows}"
+
+
+@query(f"""WITH t AS ({WORDED.format(text='VARCHAR', rows='v_signal')}), a AS (SELECT *, EXISTS (SELECT 1 FROM v_repeat r WHERE r.chr = t.chr AND t.s < r.e AND r.s < CASE WHEN sv_type = 1 THEN greatest(t.e, t.s + 1) ELSE t.s + 1 END) AS held,
+        CASE WHEN sv_type < 2 THEN round_even(100.0 * (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / length(seq), 0) END AS gc FROM t)
+    SELECT CAST(sample AS INTEGER) AS sample, CAST(sv_type AS INTEGER) AS sv_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bases, count(*) FILTER (WHERE held) AS in_repeats, round(coalesce(avg(gc), -1), 6) AS gc_percent FROM a GROUP BY ALL""")
+def sample_signal_statistics(spark, d):
+    rows = spark.sql(WORDED.format(text="STRING", rows="{t}"), t=view(spark, d, "v_signal").withColumnsRenamed({"start": "s", "end": "e"})).withColumnsRenamed({"s": "start", "e": "end"})
+    out = statistics.sample_statistics(statistics.annotated_signals(rows, view(spark, d, "v_repeat")))
+    return out.select(F.col("sample").cast("int"), F.col("sv_type").cast("int"), "n", "bases", "in_repeats", F.round(F.coalesce("gc_percent", F.lit(-1.0)), 6).alias("gc_percent"))

@@ -114,3 +114,41 @@ def test_small_helpers(spark, tmp_path):
     sinks.write_fasta(spark.createDataFrame([("n", "ACGT" * 30), ("e", "")], "name string, seq string").coalesce(1), str(tmp_path / "f"))
     text = "".join(p.read_text() for p in (tmp_path / "f").glob("*.txt"))
     assert text == f">n\n{('ACGT' * 20)}\n{('ACGT' * 10)}\n>e\n\n"
+
+
+def plain_complexity(text):
+    """Mean over windows of the product of the shares of distinct words, with queues."""
+    n = len(text)
+    if n < 3:
+        return 1.0
+    window = min(n, 15)
+    window -= window % 2 == 0
+    queues = {k: [text[i : i + k] for i in range(window - k + 1)] for k in range(min(window, 13), 2, -2)}
+    out = []
+    for j in range(window - 1, n):
+        if j >= window:
+            for k, held in queues.items():
+                if j % k == 0:
+                    held.append(text[j - k + 1 : j + 1])
+                    del held[0]
+        product = 1.0
+        for k, held in queues.items():
+            product *= len(set(held)) / min(5**k, len(held))
+        out.append(product)
+    return sum(out) / len(out)
+
+
+def test_sequence_statistics(spark):
+    from lociq.operators import statistics
+
+    rng = random.Random(7)
+    texts = ["", "A", "AC", "ACG", "ACGT", "ACGTA", "AAAAAAAA", "ACGT" * 10, dna(rng, 14), dna(rng, 15), dna(rng, 16), dna(rng, 200), "AC" * 60, None]
+    rows = [(i, "s", 1, 100 * i, 100 * i + 50, i % 2, 9, t) for i, t in enumerate(texts)] + [(50, "s", 1, 5, 5, 3, 9, "ACGT")]
+    signals_ = spark.createDataFrame(rows, "signal_id bigint, sample string, chr bigint, start bigint, end bigint, sv_type int, size bigint, seq string")
+    repeats = spark.createDataFrame([(1, 40, 120, 8), (1, 130, 135, 7), (1, 250, 251, 9)], "chr bigint, start bigint, end bigint, repeat_id bigint")
+    got = {r.signal_id: r for r in statistics.annotated_signals(signals_, repeats).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].complexity is None) == (t is None) and (t is None or abs(got[i].complexity - plain_complexity(t)) < 1e-9), t
+    assert {i: r.repeat_id for i, r in got.items() if r.repeat_id >= 0} == {1: 7} and got[7].gc_percent == 50 and got[50].complexity is None
+    total = {r.sv_type: r for r in statistics.sample_statistics(statistics.annotated_signals(signals_, repeats)).collect()}
+    assert (total[1].n, total[1].in_repeats, total[1].bases) == (7, 1, 63) and total[3].complexity is None
