@@ -169,11 +169,12 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def bitmap(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes of the wanted ids: `BITS` / 8 bytes, whatever their number."""
+    """A bitmap of the hashes of the wanted ids: `BITS` / 8 bytes, whatever their number, so
+    its parts come to the driver in one job, not a job a partition."""
     place = F.pmod(F.xxhash64("node"), F.lit(BITS))
     parts = wanted.select(F.floor(place / 32768).alias("part"), (place % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros((BITS // 32768, 4096), np.uint8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
