@@ -38,34 +38,49 @@ def kmer_similarity(counts: DataFrame, pairs: DataFrame, id_col: str) -> DataFra
     return sized.join(shared, ["a", "b"], "left").select("a", "b", F.coalesce(F.coalesce("shared", F.lit(0)) / smaller, F.lit(0.0)).alias("similarity"))
 
 
+def once(column: Column) -> Column:
+    """A column that is worked out once a row, as the only element of an exploded array:
+    filters on what is made from it are not pushed past it, with its text put into them."""
+    return F.explode(F.array(column))
+
+
 #: CIGAR operations that use up bases of the read and of the reference (fixed values).
 ON_READ, ON_REFERENCE, CLIPS = ("M", "I", "=", "X"), ("M", "D", "N", "=", "X"), ("S", "H")
 
 
+def named(value: str, name: str, body: str) -> str:
+    """SQL for body, in which name stands for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+#: Elements up to which sums are folded in one go.
+SHORT = 32
+
+
 def running(values: str, element: str) -> str:
-    """SQL for the sums before each element of an array of bigint. In blocks of the square
-    root of its length, so that no prefix is copied more often than that."""
-    step = f"greatest(32, cast(sqrt(size({values})) AS int))"
+    """SQL for the sums before each element of a named array of bigint. Long ones in blocks
+    of the square root of their length, so that no prefix is copied more often than that."""
+    step = f"cast(sqrt(size({values})) AS int)"
     fold = "aggregate({0}, named_struct('p', {1}, 'a', cast(array() AS array<bigint>)), ({2}, v) -> named_struct('p', {2}.p + v, 'a', concat({2}.a, array({2}.p))), {2} -> {2}.a)"
     parts = f"transform(sequence(0, cast((size({values}) - 1) / {step} AS int)), j{element} -> slice({values}, j{element} * {step} + 1, {step}))"
-    sums = f"transform({parts}, c{element} -> aggregate(c{element}, 0L, (s, v) -> s + v))"
-    return f"CASE WHEN size({values}) > 0 THEN flatten(zip_with({parts}, {fold.format(sums, '0L', 't' + element)}, (c, o) -> {fold.format('c', 'o', 'u' + element)})) ELSE cast(array() AS array<bigint>) END"
+    sums = f"transform(g{element}, c{element} -> aggregate(c{element}, 0L, (s, v) -> s + v))"
+    blocks = named(parts, f"g{element}", f"flatten(zip_with(g{element}, {fold.format(sums, '0L', 't' + element)}, (c, o) -> {fold.format('c', 'o', 'u' + element)}))")
+    return f"CASE WHEN size({values}) > {SHORT} THEN {blocks} ELSE {fold.format(values, '0L', 'w' + element)} END"
 
 
 def cigar_blocks(cigar: str = "cigar", ref_start: str = "pos") -> Column:
     """The CIGAR as an array of (op, len, read_start, read_end, ref_start, ref_end), places
     counted from the alignment's first base, clips included on the read (P01). Places are
     sums of the lengths before, taken in blocks, so a long read's CIGAR is no square."""
-    numbers = f"transform(regexp_extract_all({cigar}, '([0-9]+)[MIDNSHP=X]', 1), x -> cast(x AS bigint))"
-    ops = f"regexp_extract_all({cigar}, '[0-9]+([MIDNSHP=X])', 1)"
+    words = f"regexp_extract_all({cigar}, '[0-9]+[MIDNSHP=X]', 0)"
+    blocks = f"transform({words}, x -> struct(right(x, 1) AS op, cast(left(x, length(x) - 1) AS bigint) AS len))"
     spent = lambda kinds, x: f"if({x}.op IN ({kinds}), {x}.len, 0L)"
     on_read, on_ref = "'M','I','=','X','S','H'", "'M','D','N','=','X'"
-    blocks = f"zip_with({ops}, {numbers}, (op, len) -> struct(op, len))"
     q, r = (f"transform(bl, p -> {spent(k, 'p')})" for k in (on_read, on_ref))
-    # A one-element array gives the blocks and their sums a name.
-    at = f"transform(array({blocks}), bl -> struct(bl, {running(q, 'q')} AS q, {running(r, 'r')} AS r))[0]"
-    one = f"struct(b.op AS op, b.len AS len, x.q[i] AS read_start, x.q[i] + {spent(on_read, 'b')} AS read_end, cast({ref_start} AS bigint) + x.r[i] AS ref_start, cast({ref_start} AS bigint) + x.r[i] + {spent(on_ref, 'b')} AS ref_end)"
-    return F.expr(f"transform(array({at}), x -> transform(x.bl, (b, i) -> {one}))[0]")
+    at = named(blocks, "bl", named(f"struct({q} AS q, {r} AS r)", "d", f"struct(bl, d, {running('d.q', 'q')} AS q, {running('d.r', 'r')} AS r)"))
+    start = f"cast({ref_start} AS bigint)"
+    one = f"struct(b.op AS op, b.len AS len, x.q[i] AS read_start, x.q[i] + x.d.q[i] AS read_end, {start} + x.r[i] AS ref_start, {start} + x.r[i] + x.d.r[i] AS ref_end)"
+    return F.expr(named(at, "x", f"transform(x.bl, (b, i) -> {one})"))
 
 
 def case_runs(seq: str) -> tuple[Column, Column]:

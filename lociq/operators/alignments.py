@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociq.functions.dna import once
+
 MATCH = "('M', '=', 'X')"
 
 
@@ -62,7 +64,7 @@ def cut(alignments: DataFrame, start: str = "r_start", end: str = "r_end", seq:
         b -> named_struct('op', b.op, 'from_ref', greatest(b.ref_start, {start}), 'to_ref', greatest(least(b.ref_end, {end}), b.ref_start),
             'from_read', if(b.op IN {MATCH}, b.read_start + greatest(b.ref_start, {start}) - b.ref_start, b.read_start),
             'to_read', if(b.op IN {MATCH}, b.read_end - b.ref_end + least(b.ref_end, {end}), b.read_end)))"""
-    df = alignments.withColumn("_part", F.expr(part))
+    df = alignments.withColumn("_part", once(F.expr(part)))
     df = df.withColumn("_places", F.expr(f"transform(filter(transform(_part, (b, i) -> struct(b.op AS op, i AS i)), x -> x.op IN {MATCH}), x -> x.i)")).where(F.size("_places") > 0)
     df = df.withColumn("_part", F.expr("slice(_part, _places[0] + 1, element_at(_places, -1) - _places[0] + 1)"))
     cigar = "array_join(transform(_part, b -> concat(if(b.op = 'I', b.to_read - b.from_read, b.to_ref - b.from_ref), b.op)), '')"
@@ -117,7 +119,8 @@ def core_intervals(alignments: DataFrame) -> DataFrame:
     core_end), the core in places on the padded consensus."""
     a, b = reference_place("core_start"), reference_place("core_end")
     spans = alignments.select("consensus_id", "alignment", "chr", a.alias("a"), b.alias("b"))
-    return spans.select("consensus_id", "alignment", "chr", F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end")).where("start IS NOT NULL")
+    ends = once(F.struct(F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end")))
+    return spans.select("consensus_id", "alignment", "chr", ends.alias("e")).where("e.start IS NOT NULL").select("consensus_id", "alignment", "chr", "e.start", "e.end")
 
 
 def core_signals(signals: DataFrame, cores: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.functions.dna import cigar_blocks
+from lociq.functions.dna import cigar_blocks, once
 from lociq.operators.intervals import overlap_sum, passed, row_numbers, with_neighbours
 
 SIGNAL = "struct<ref_start:bigint,ref_end:bigint,read_start:bigint,read_end:bigint,size:bigint,sv_type:int>"
@@ -22,7 +22,7 @@ SIGNAL = "struct<ref_start:bigint,ref_end:bigint,read_start:bigint,read_end:bigi
 def located(alignments: DataFrame) -> DataFrame:
     """Start and end of each alignment on reference and read; reads in their own
     direction (P02)."""
-    df = alignments.withColumn("blocks", cigar_blocks()).withColumn("forward", F.expr("(flag & 16) = 0"))
+    df = alignments.withColumn("blocks", once(cigar_blocks())).withColumn("forward", F.expr("(flag & 16) = 0"))
     df = df.withColumns({
         "read_length": F.expr("aggregate(blocks, 0L, (s, b) -> s + b.read_end - b.read_start)"),
         "ref_start": F.col("pos").cast("bigint"),
@@ -99,7 +99,8 @@ def covering(rafs: DataFrame) -> DataFrame:
 def exploded(rafs: DataFrame) -> DataFrame:
     """One row per signal."""
     kept = [c for c in rafs.columns if c not in ("sv_signals", "ref_start", "ref_end", "read_start", "read_end", "effective")]
-    return rafs.select(*kept, F.inline("sv_signals"))
+    # A plain inline asks for arrays with elements first, which would work them out twice.
+    return rafs.select(*kept, F.inline_outer("sv_signals")).where("sv_type IS NOT NULL")
 
 
 def dense(rafs: DataFrame, radius: int = 500, least: int = 30) -> DataFrame:

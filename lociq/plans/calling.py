@@ -35,11 +35,15 @@ PLACED = f"""{OPS}, t AS (SELECT {KEY}, {ASKED}, 2 * a + b * 11 + 8 AS n FROM x)
 ON_REFERENCE = "coalesce(max(CASE WHEN m.q <= {0} AND {0} < m.q + len THEN m.r + {0} - m.q END), max(m.r + len) FILTER (WHERE m.q + len <= {0}), min(m.r) FILTER (WHERE m.q >= {0}))"
 
 
-def aligned(spark, d):
-    """Alignments with their CIGARs' blocks, and the places asked for."""
+def asked(spark, d):
+    """Alignments, and the places asked for."""
     rows = read(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS aln_id", "l_partkey AS pos", "l_suppkey AS a", "CAST(l_quantity AS BIGINT) AS b", "CAST(l_linenumber AS BIGINT) AS c").distinct()
-    rows = rows.selectExpr("*", *(f"{x.strip()}" for x in ASKED.split(", ")), "concat(a, 'S', b * 10, 'M', c, 'D', b, 'M', a + 1, 'I7M') AS cigar")
-    return rows.withColumn("blocks", dna.cigar_blocks())
+    return rows.selectExpr("*", *(f"{x.strip()}" for x in ASKED.split(", ")), "concat(a, 'S', b * 10, 'M', c, 'D', b, 'M', a + 1, 'I7M') AS cigar")
+
+
+def aligned(spark, d):
+    """The same with their CIGARs' blocks."""
+    return asked(spark, d).withColumn("blocks", dna.once(dna.cigar_blocks()))
 
 
 @query(f"WITH {PLACED} SELECT {KEY}, CASE WHEN forward THEN near ELSE n - near END AS nearest, CASE WHEN forward THEN right_side ELSE n - right_side END AS rightwards FROM nearest")
@@ -99,8 +103,8 @@ def consensus_padding(spark, d):
         UNION ALL SELECT {KEY}, 3, pos, pos, CASE WHEN forward THEN a ELSE n - a END, CASE WHEN forward THEN a ELSE n - a END, a FROM t WHERE k = 0 AND a >= 5)
     SELECT {KEY}, CAST(sv_type AS INT) AS sv_type, ref_start, ref_end, read_start, read_end, size FROM s""")
 def alignment_signals(spark, d):
-    rows = aligned(spark, d).drop("blocks", "forward").withColumn("flag", F.expr("CASE WHEN a % 2 = 0 THEN 0 ELSE 16 END"))
-    return signals.with_signals(signals.located(rows), 3, 5).select(*KEY.split(", "), F.inline("sv_signals"))
+    rows = asked(spark, d).drop("forward").withColumn("flag", F.expr("CASE WHEN a % 2 = 0 THEN 0 ELSE 16 END"))
+    return signals.with_signals(signals.located(rows), 3, 5).select(*KEY.split(", "), F.inline_outer("sv_signals")).where("sv_type IS NOT NULL")
 
 
 @query("""WITH good AS (SELECT chr, s, e, read_id, n_del FROM v_raf WHERE n_del >= 2 AND e - s >= 100 AND NOT forward),

@@ -52,3 +52,12 @@ def test_exploded_keeps_other_columns(inverted):
     flat = signals.exploded(signals.fragments(inverted, most_depth=None))
     assert {"read_name", "chr", "sv_type", "size"} <= set(flat.columns) and flat.count() == 4
     assert flat.where(F.col("sv_type") == 3).count() == 2
+
+
+@pytest.mark.parametrize("name", ["alignment_signals", "core_intervals", "cut_cigars"])
+def test_cigars_are_read_once(spark, name):
+    """Filters on what a CIGAR gives must not carry its reading into themselves."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
