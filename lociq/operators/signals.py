@@ -160,10 +160,10 @@ def quiet(rafs: DataFrame, half_window: int = 15, percentile: float = 0.9, facto
     value = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col(tie).alias("t"), F.col("n_del").alias("n"))
     df = with_neighbours(rafs, (key,), ("start", "end", tie), half_window, value, "near")
     others = f"array_sort(transform(filter(near, o -> o.s < end AND o.e > start AND NOT (o.s = start AND o.e = end AND o.t = {tie})), o -> cast(o.n AS double)))"
-    df = df.withColumn("near", F.expr(others))
+    df = df.withColumn("near", once(F.expr(others)))
     place = f"((size(near) - 1) * {percentile}D)"
     level = f"near[cast(floor({place}) AS int)] + (near[cast(ceil({place}) AS int)] - near[cast(floor({place}) AS int)]) * ({place} - floor({place}))"
-    df = df.withColumn("level", F.expr(f"CASE WHEN size(near) >= {least} THEN {level} END"))
+    df = df.withColumn("level", once(F.expr(f"CASE WHEN size(near) >= {least} THEN {level} END")))
     return df.where(F.col("level").isNull() | (F.col("n_del") <= factor * F.col("level"))).drop("near", "level")
 
 

@@ -61,3 +61,11 @@ def test_cigars_are_read_once(spark, name):
 
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_neighbours_are_sorted_once_and_consensuses_share_batches(spark):
+    import __spark_entry__
+
+    plan = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("neighbour_percentile_filter").count("array_sort(") == 1
+    assert "MapInPandas" in plan("horizontal_merge") and "FlatMapGroups" not in plan("horizontal_merge")
