@@ -22,7 +22,11 @@ def gc_fraction(s: Column | str) -> Column:
 
 def kmer_counts(df: DataFrame, id_col: str, seq_col: str, k: int = 9) -> DataFrame:
     """(id, kmer, n): canonical k-mers, the lesser of a word and its complement."""
-    word = F.explode(F.transform(F.sequence(F.lit(1), F.length(seq_col) - (k - 1)), lambda i: F.substring(F.col(seq_col), i, F.lit(k)))).alias("word")
+    # A place in text is found by a walk from its start; one in bytes is not, so that a long
+    # sequence is no square. The bytes are named, since each reading of a column copies it.
+    letters, byte = f"`{seq_col}`", named(f"cast(`{seq_col}` AS binary)", "d", f"transform(sequence(1, length(d) - {k - 1}), i -> cast(substring(d, i, {k}) AS string))")
+    walked = f"transform(sequence(1, length({letters}) - {k - 1}), i -> substring({letters}, i, {k}))"
+    word = F.explode(F.expr(f"CASE WHEN octet_length({letters}) = length({letters}) THEN {byte} ELSE {walked} END")).alias("word")
     words = df.where(F.length(seq_col) >= k).select(id_col, word)
     return words.groupBy(id_col, F.least("word", complement(F.col("word"))).alias("kmer")).agg(F.count("*").alias("n"))
 

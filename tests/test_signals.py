@@ -69,3 +69,18 @@ def test_neighbours_are_sorted_once_and_consensuses_share_batches(spark):
     plan = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan("neighbour_percentile_filter").count("array_sort(") == 1
     assert "MapInPandas" in plan("horizontal_merge") and "FlatMapGroups" not in plan("horizontal_merge")
+
+
+def test_words_of_a_sequence_are_cut_from_its_bytes(spark):
+    from lociq.functions import dna
+
+    rows = [(1, "ACGTACGTACGTé日ACGTTTGCAACC"), (2, None), (3, "ACGT"), (1, "ACGTACGTACGTTT"), (None, "AACCGGTTACGT")]
+    counts = dna.kmer_counts(spark.createDataFrame(rows, "i bigint, s string"), "i", "s")
+    wanted = {}
+    for i, s in rows:
+        for at in range(len(s or "") - 8):
+            word = s[at : at + 9]
+            key = i, min(word, word.translate(str.maketrans("ACGT", "TGCA")))
+            wanted[key] = wanted.get(key, 0) + 1
+    assert {(r.i, r.kmer): r.n for r in counts.collect()} == wanted
+    assert "as binary" in counts._jdf.queryExecution().optimizedPlan().toString()
