@@ -152,3 +152,22 @@ def test_sequence_statistics(spark):
     assert {i: r.repeat_id for i, r in got.items() if r.repeat_id >= 0} == {1: 7} and got[7].gc_percent == 50 and got[50].complexity is None
     total = {r.sv_type: r for r in statistics.sample_statistics(statistics.annotated_signals(signals_, repeats)).collect()}
     assert (total[1].n, total[1].in_repeats, total[1].bases) == (7, 1, 63) and total[3].complexity is None
+
+
+def test_links_compare_texts_and_broadcast_no_composites(spark, monkeypatch):
+    from lociq.functions import dna as functions
+
+    rng = random.Random(5)
+    texts = [dna(rng, 120), dna(rng, 120)]
+    table = spark.createDataFrame([composite(i, start=1000 + i, sample=f"s{i}") for i in range(30)], COMPOSITE)
+    sequences = spark.createDataFrame([(i, texts[i % 2]) for i in range(29)], "composite_id bigint, seq string")
+    reps = spark.createDataFrame([(i, 1) for i in range(30)], "composite_id bigint, repeat_id bigint")
+    asked, plain = [], functions.kmer_similarity
+    monkeypatch.setattr(functions, "kmer_similarity", lambda counts, pairs, id_col: asked.append((counts.select(id_col).distinct().count(), pairs.count())) or plain(counts, pairs, id_col))
+    out = patterns.composite_links(table, reps, sequences)
+    assert asked == [(2, 4)]  # two texts, whatever the number of composites
+    want = {(a, b): (True, True) for a in range(29) for b in range(a + 1, 29) if a % 2 == b % 2}
+    assert {(r.a, r.b): (r.near, r.shared) for r in out.collect()} == want
+    plan = patterns.composite_links(table, reps)._jdf.queryExecution().sparkPlan().toString()
+    sides = [line for line in plan.splitlines() if "Join" in line]
+    assert sum("BroadcastHashJoin" in line for line in sides) == 0
