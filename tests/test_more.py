@@ -238,3 +238,20 @@ def test_expected_variants_and_first_stores(spark, tmp_path):
         spark.createDataFrame([(value,)], "v bigint").write.parquet(str(tmp_path / folder / name))
     tables = text_formats.first_of_each(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     assert {k: v.first().v for k, v in tables.items()} == {"x": 1, "y": 3}
+
+
+def test_lists_of_a_consensus_are_joined_last(spark):
+    from lociq.operators import statistics
+
+    regions = spark.range(9).selectExpr("id AS region_id")
+    members = spark.createDataFrame([(c, r) for c in range(6) for r in range(8) if (r + c) % 3] + [(None, 7), (1, 1), (1, 100)], "consensus_id bigint, region_id bigint")
+    out = statistics.others_of_consensus(regions, members)
+    held = {c: {r for k, r in ((x.consensus_id, x.region_id) for x in members.collect()) if k == c} for c in range(6)}
+    want = sorted((r, c, sorted(held[c] - {r})) for c, r in ((x.consensus_id, x.region_id) for x in members.collect()) if c is not None and r < 9)
+    got = out.collect()
+    assert sorted((x.region_id, x.consensus_id, x.others) for x in got if x.consensus_id is not None) == want
+    assert [(x.region_id, x.others) for x in got if x.consensus_id is None] == [(8, None)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "consensus_id" in joins[0] and "region_id" in joins[1]  # nothing is shuffled by region with its list
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
