@@ -52,9 +52,10 @@ def elected(votes_: DataFrame) -> DataFrame:
     """(cluster_id, column, rank, base): the base that most members have, the medoid's in a
     tie, then the lesser; what is inserted stays where more than half of those that reach
     the column have it. Columns that most members lack go."""
-    best = votes_.groupBy("cluster_id", "column", "rank").agg(F.max_by("base", F.struct("n", "own", -F.ascii("base"))).alias("base"), F.sum("n").alias("n"))
-    cover = best.where("rank = 0").select("cluster_id", "column", F.col("n").alias("cover"))
-    kept = best.join(cover, ["cluster_id", "column"], "left")
+    # Dealt by columns once; the votes, which may be alignments, are worked out once too.
+    best = votes_.repartition("cluster_id", "column").groupBy("cluster_id", "column", "rank").agg(F.max_by("base", F.struct("n", "own", -F.ascii("base"))).alias("base"), F.sum("n").alias("n"))
+    columns = best.groupBy("cluster_id", "column").agg(F.max(F.expr("CASE WHEN rank = 0 THEN n END")).alias("cover"), F.collect_list(F.struct("rank", "base", "n")).alias("ranks"))  # an insertion's length
+    kept = columns.select("cluster_id", "column", "cover", F.inline("ranks"))
     return kept.where("(rank = 0 AND base <> '-') OR (rank > 0 AND 2 * n > coalesce(cover, 0))").select("cluster_id", "column", "rank", "base")
 
 
@@ -62,7 +63,7 @@ def consensuses(reads: DataFrame, least: int = LEAST_READS, **how) -> DataFrame:
     """(cluster_id, sequence, medoid, members): the voted sequence of each cluster, in the
     direction of its medoid (G11). A cluster of fewer reads is its medoid's sequence. Reads
     that do not align to the medoid have no vote; how: as `aligner.align` takes it."""
-    reads = reads.select("cluster_id", "read_id", F.upper("seq").alias("seq"))
+    reads = cut(reads.select("cluster_id", "read_id", F.upper("seq").alias("seq")))
     central = cut(medoids(reads).join(reads, ["cluster_id", "read_id"]).withColumnRenamed("read_id", "medoid"))
     sizes = reads.groupBy("cluster_id").agg(F.count("*").alias("members"))
     many = sizes.where(F.col("members") >= least).select("cluster_id")

@@ -171,3 +171,19 @@ def test_links_compare_texts_and_broadcast_no_composites(spark, monkeypatch):
     plan = patterns.composite_links(table, reps)._jdf.queryExecution().sparkPlan().toString()
     sides = [line for line in plan.splitlines() if "Join" in line]
     assert sum("BroadcastHashJoin" in line for line in sides) == 0
+
+
+def test_votes_are_worked_out_once(spark):
+    """The election reads its votes once: they come from alignments."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    kinds = "cluster_id int, column int, rank int, base string, n int, own boolean"
+    rows = [(1, c, k, b, n, False) for c in range(20) for k, b, n in ((0, "A", 2), (0, "C", 1), (1, "T", 2), (2, "G", 1))]
+    out = assembly.elected(spark.createDataFrame(rows, kinds).mapInPandas(counted, kinds)).collect()
+    assert sorted((r.column, r.rank, r.base) for r in out) == sorted((c, k, b) for c in range(20) for k, b in ((0, "A"), (1, "T")))
+    assert seen.value == len(rows)
