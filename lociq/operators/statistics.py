@@ -6,9 +6,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lociq.operators.intervals import island_ids, range_join, sweep
 
@@ -97,14 +100,38 @@ def window_complexity(text: str, window: int, sizes) -> np.ndarray:
     return out
 
 
+#: Letters of a part that a task works on at once.
+PART = 1 << 20
+
+
+def text_parts(batches, column: str, most: int = PART):
+    """Batches cut where their texts come to so many letters, one row at least, so that what
+    is made of a part is bounded, however long the texts of a batch are."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        begin = held = 0
+        for i, n in enumerate(lengths):
+            if held and held + n > most:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += n
+        if begin < len(lengths):
+            yield batch.slice(begin)
+
+
 def complexity_track(seqs: DataFrame, window: int = 11, sizes=(2, 3, 4, 5), id_col: str = "doc_id", seq: str = "seq") -> DataFrame:
     """Adds track (array of float): window_complexity of each sequence."""
 
-    @F.pandas_udf("array<double>")
-    def track(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: window_complexity(text, window, sizes))
+    names = seqs.columns
+    rows = seqs.withColumn("_text", F.coalesce(seq, F.lit("")))
+    kinds = StructType([*seqs.schema.fields, StructField("track", ArrayType(DoubleType()))])
+
+    def run(batches):
+        for part in text_parts(batches, "_text"):
+            tracks = [window_complexity(text, window, sizes) for text in part.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(tracks, pa.list_(pa.float64()))], [*names, "track"])
 
-    return seqs.withColumn("track", track(F.coalesce(seq, F.lit(""))))
+    return rows.mapInArrow(run, kinds)
 
 
 def complexity(seq: str = "seq"):
@@ -222,9 +249,9 @@ def similar_windows(texts: DataFrame, start: str, end: str, most: int = 5, id_co
     kind = dict(texts.dtypes)[id_col]
 
     def run(batches):
-        for batch in batches:
+        for batch in text_parts(batches, "t"):
             rows = []
-            for key, text, a, b in zip(batch["k"], batch["t"], batch["a"], batch["b"]):
+            for key, text, a, b in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "a", "b"))):
                 a, b = sorted((max(0, min(a, len(text))), max(0, min(b, len(text)))))
                 width = b - a
                 if not width or len(text) < width:
@@ -239,10 +266,11 @@ def similar_windows(texts: DataFrame, start: str, end: str, most: int = 5, id_co
                     first = np.concatenate([[True], np.diff(at) >= width])
                     last = np.concatenate([first[1:], [True]])
                     rows += [(key, int(s), int(e) + width) for s, e in zip(at[first], at[last])]
-            yield pd.DataFrame(rows, columns=["k", "from", "to"])
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (batch.schema.field("k").type, pa.int64(), pa.int64()))], ["k", "from", "to"])
 
     df = texts.select(F.col(id_col).alias("k"), F.coalesce(seq, F.lit("")).alias("t"), F.expr(start).cast("bigint").alias("a"), F.expr(end).cast("bigint").alias("b"))
-    return df.mapInPandas(run, f"k {kind}, from bigint, to bigint").withColumnRenamed("k", id_col)
+    return df.mapInArrow(run, f"k {kind}, from bigint, to bigint").withColumnRenamed("k", id_col)
 
 
 def subsample(reads: DataFrame, attempt: int = 0, share: float = 0.5, column: str = "read_id") -> DataFrame:

@@ -255,3 +255,16 @@ def test_lists_of_a_consensus_are_joined_last(spark):
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert "consensus_id" in joins[0] and "region_id" in joins[1]  # nothing is shuffled by region with its list
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_are_worked_on_in_bounded_parts(spark):
+    """Tracks are made of parts of a batch, whatever its rows hold; the rows stay as they are."""
+    import pyarrow as pa
+
+    texts = ["ACGT" * 5, None, "", "AC" * 30, "G" * 200, "ACGTT" * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "seq"])
+    parts = list(statistics.text_parts(iter([batch, batch]), "seq", most=64))
+    assert [p.num_rows for p in parts] == [3, 1, 1, 1] * 2 and pa.Table.from_batches(parts).column("seq").to_pylist() == texts * 2
+    df = spark.createDataFrame([(i, f"g{i}", t) for i, t in enumerate(texts)], "doc_id bigint, grp string, seq string")
+    got = {r.doc_id: (r.grp, r.seq, r.track) for r in statistics.complexity_track(df).collect()}
+    assert got == {i: (f"g{i}", t, statistics.window_complexity(t or "", 11, (2, 3, 4, 5)).tolist()) for i, t in enumerate(texts)}
