@@ -170,3 +170,22 @@ def test_outliers_and_consensus(spark):
     assert [r.read_id for r in patterns.length_outliers(lengths).where("outlier").collect()] == [5]
 
 
+
+
+def test_many_containers_are_clustered_as_one_by_one(spark):
+    rng = np.random.RandomState(3)
+
+    def alone(points, k):
+        labels = clustering.by_indels(points, k)
+        if labels is None:
+            d2 = ((points[:, None] - points[None]) ** 2).sum(2)
+            labels = clustering.spectral(np.exp(-d2 / (2 * (np.median(d2[d2 > 0]) if (d2 > 0).any() else 1.0))), min(k, len(points)))
+        return labels.tolist()
+
+    made = {c: (rng.randint(0, (60, 500)[c % 2], (1 + c % 7, 2)).astype(float), 1 + c % 4) for c in range(40)}
+    rows = [(c, r, float(x), float(y), k) for c, (points, k) in made.items() for r, (x, y) in enumerate(points)]
+    found = clustering.cluster_reads(spark.createDataFrame(rows, "container_id bigint, read_id bigint, inserted double, deleted double, cn bigint"))
+    # Containers share Python batches; a call each was too slow.
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.toPandas().sort_values("read_id").groupby("container_id")["cluster"].agg(list).to_dict()
+    assert got == {c: alone(*x) for c, x in made.items()}
