@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociq.operators import scans
-from lociq.operators.intervals import island_ids, merge, overlap_sum, passed, range_join, row_numbers, sweep
+from lociq.operators.intervals import TILE, along, island_ids, merge, overlap_sum, passed, range_join, row_numbers, sweep
 
 
 def depths(signals: DataFrame, rafs: DataFrame) -> DataFrame:
@@ -36,12 +37,34 @@ def reads_over(regions: DataFrame, rafs: DataFrame, least: int = 2, width: int =
     return range_join(wide, spans, width=width).groupBy("region_id").agg(F.count_distinct("read_id").alias("reads"))
 
 
-def elementary(rafs: DataFrame) -> DataFrame:
-    """Distinct reads over each elementary interval, covered ones only (A02). A read's
-    fragments are merged first, so that the depth of what is left counts reads; the ends of
-    all fragments still part the result."""
-    once = merge(rafs.select("chr", "read_id", "start", "end"), ("chr", "read_id"))
-    return sweep(once, cuts=rafs).withColumnRenamed("depth", "coverage")
+def elementary(rafs: DataFrame, tile: int = TILE) -> DataFrame:
+    """Distinct reads over each elementary interval, covered ones only.
+
+    Fragments are cut at the edges of tiles, and of each only what no earlier one of its
+    read reaches counts for the depth. A running maximum within the read's tile tells that,
+    so nothing is joined back, and a read is as many groups as it has tiles. The ends of all
+    fragments part the result, the edges of tiles do not."""
+    rows = rafs.select("chr", "read_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+    first, last = F.floor(F.col("start") / tile), F.floor((F.greatest("end", F.col("start") + 1) - 1) / tile)
+    known = F.col("start").isNotNull() & F.col("end").isNotNull()
+    rows = rows.withColumns({"_first": F.coalesce(first, F.lit(0)), "_last": F.when(known, last).otherwise(F.coalesce(first, F.lit(0)))})
+    rows = rows.withColumn("_tile", F.explode(F.sequence("_first", "_last")))
+    begins, ends = F.col("_tile") == F.col("_first"), F.col("_tile") == F.col("_last")
+    pieces = rows.select("chr", "read_id", "_tile", F.when(begins, F.col("start")).otherwise(F.col("_tile") * tile).alias("s"), F.when(ends, F.col("end")).otherwise((F.col("_tile") + 1) * tile).alias("e"), begins.alias("begins"), ends.alias("ends"))
+    earlier = W.partitionBy("chr", "read_id", "_tile").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.withColumn("at", F.greatest("s", F.max(F.when(F.col("s").isNotNull(), F.col("e"))).over(earlier)))  # where what is new begins
+    new = F.coalesce(F.col("read_id").isNotNull() & F.col("s").isNotNull() & (F.col("e") > F.col("at")), F.lit(False))
+    event = lambda when, at, change, edge: F.when(when, F.struct(F.col(at).alias("position"), change.alias("change"), edge.alias("edge")))
+    whole = new & (F.col("at") == F.col("s"))
+    events = F.array_compact(F.array(
+        event(F.col("begins") | whole, "s", F.when(whole, 1).otherwise(0), F.col("begins")),
+        event(F.col("ends") | new, "e", F.when(new, -1).otherwise(0), F.col("ends")),
+        event(new & ~whole, "at", F.lit(1), F.lit(False)),
+    ))
+    steps = pieces.select("chr", F.inline(events)).where("chr IS NOT NULL AND position IS NOT NULL")
+    steps = steps.groupBy("chr", "position").agg(F.sum("change").alias("change"), F.max("edge").alias("edge")).where("edge OR change <> 0").drop("edge")
+    out = along(steps, ("chr",), ("change",)).where("next IS NOT NULL AND sum_change > 0")
+    return out.select("chr", F.col("position").alias("start"), F.col("next").alias("end"), F.col("sum_change").cast("bigint").alias("coverage"))
 
 
 def median_depth(covered: DataFrame, column: str = "coverage") -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lociq.operators import intervals
+from lociq.operators import coverage, intervals
 
 
 def brute(a, b, within=0, points=False):
@@ -63,3 +63,22 @@ def test_tiles_slop_and_lift(spark):
     features = spark.createDataFrame([("c", 5, 12, "f")], "chr string, start bigint, end bigint, name string")
     into = spark.createDataFrame([("c", 8, 20, 1)], "chr string, r_start bigint, r_end bigint, region_id bigint")
     assert [tuple(r) for r in intervals.lift(features, into).select("region_id", "name", "start", "end").collect()] == [(1, "f", 0, 4)]
+
+
+@pytest.mark.parametrize("tile", [7, 64, 1 << 22])
+def test_distinct_reads_by_tiles(spark, tile):
+    rng = random.Random(tile)
+    rows = [(rng.choice("ab"), s := rng.randint(-20, 150), s + rng.choice([1, 3, 10, 60]), rng.choice([1, 2, 3, 4, None])) for _ in range(150)]
+    rows += [("a", 5, 5, 1), ("a", 40, 30, 2), ("a", None, 33, 1), ("a", 17, None, 1), (None, 1, 9, 1)]
+    df = spark.createDataFrame(rows, "chr string, start bigint, end bigint, read_id bigint")
+    wanted = set()
+    for c in "ab":
+        own = [r[1:] for r in rows if r[0] == c]
+        cuts = sorted({x for s, e, _ in own for x in (s, e) if x is not None})
+        for s, e in zip(cuts, cuts[1:]):
+            if n := len({r for a, b, r in own if None not in (a, b, r) and a < e and s < b}):
+                wanted.add((c, s, e, n))
+    out = coverage.elementary(df, tile)
+    assert {tuple(r) for r in out.collect()} == wanted
+    # A read's fragments are shuffled once: nothing is joined back to them.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
