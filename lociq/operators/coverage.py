@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociq.operators import scans
+from lociq.operators.graph import cut
 from lociq.operators.intervals import TILE, along, island_ids, merge, overlap_sum, passed, range_join, row_numbers, sweep
 
 
@@ -137,12 +138,14 @@ def copy_numbers(bins: DataFrame, median: float, rows: int = scans.ROWS) -> Data
         return np.stack([log_emission(observed, e) for e in means], axis=1)
 
     def runs(pdf: pd.DataFrame, states: np.ndarray) -> pd.DataFrame:
-        pdf = pdf.assign(cn=states, past=pdf["_row"] + 1)
-        run = (pdf["cn"] != pdf["cn"].shift()).cumsum()
-        return pdf.groupby(run).agg(region_id=("region_id", "first"), chr=("chr", "first"), start=("start", "min"), end=("end", "max"), cn=("cn", "first"), row=("_row", "min"), past=("past", "max"))
+        first = np.flatnonzero(np.append(True, states[1:] != states[:-1]))
+        start, end, row = (pdf[c].to_numpy() for c in ("start", "end", "_row"))
+        head = pdf[["region_id", "chr"]].iloc[first].reset_index(drop=True)
+        return head.assign(start=np.minimum.reduceat(start, first), end=np.maximum.reduceat(end, first), cn=states[first], row=row[first], past=np.append(row[first[1:]], row[-1] + 1))
 
     tiled = scans.in_tiles(bins, ("region_id",), ("start", "end"), rows)
     found = scans.viterbi_states(tiled, ("region_id",), emissions, move, begin, f"region_id {kinds['region_id']}, chr {kinds['chr']}, start bigint, `end` bigint, cn bigint, row bigint, past bigint", runs)
+    found = cut(found)  # read more than once
     joined = island_ids(found, ("region_id", "cn"), "row", "past")
     out = joined.groupBy("region_id", "cn", "island_start").agg(F.min("chr").alias("chr"), F.min("start").alias("start"), F.max("end").alias("end"))
     return out.select("region_id", "chr", "start", "end", "cn")

@@ -8,7 +8,7 @@ state. So the largest task is a tile, or the maps of a key, never a key's rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,42 +27,63 @@ def in_tiles(df: DataFrame, keys, order, rows: int = ROWS) -> DataFrame:
     return cut(row_numbers(df, keys, order, "_row").withColumn("_tile", F.floor(F.col("_row") / rows).cast("bigint")))
 
 
+def each_tile(df: DataFrame, keys, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What `work(rows in order)` gives for each tile. Rows come sorted, so many tiles share
+    a Python batch, and only the tile that a batch ends in waits for the next one."""
+    by = [*keys, "_tile"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pd.concat([*waiting, batch], ignore_index=True)
+            edges = [0, *np.flatnonzero((rows[by] != rows[by].shift()).any(axis=1).to_numpy()[1:]) + 1]
+            if len(edges) > 1:
+                yield pd.concat([work(rows.iloc[i:j]) for i, j in zip(edges, edges[1:])], ignore_index=True)
+            waiting = [rows.iloc[edges[-1] :]]
+        if waiting:
+            yield work(waiting[0])
+
+    return df.repartition(*by).sortWithinPartitions(*by, "_row").mapInPandas(run, schema)
+
+
 def of_tiles(tiled: DataFrame, keys, work: Callable[[pd.DataFrame], list], kind: str) -> DataFrame:
     """(keys, _tile, value): what `work` says of each tile's rows, in order."""
     kinds, keys = dict(tiled.dtypes), list(keys)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row")
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "_tile": [pdf["_tile"].iloc[0]], "value": [work(pdf)]})
 
-    return tiled.groupBy(*keys, "_tile").applyInPandas(one, f"{''.join(f'{k} {kinds[k]}, ' for k in keys)}_tile bigint, value {kind}")
+    return each_tile(tiled, keys, one, f"{''.join(f'{k} {kinds[k]}, ' for k in keys)}_tile bigint, value {kind}")
 
 
 def entering(maps: DataFrame, keys, step: Callable, first, kind: str, backwards: bool = False) -> DataFrame:
     """(keys, _tile, state): the state that enters each tile, from the first tile on, or
     from the last one where backwards. step(state, value, first row's value or None) gives
-    the state that the tile is left with; first gives the state before any."""
+    the state that the tile is left with; first gives the state before any. Rows come
+    sorted by keys and tiles, and the state goes along with them."""
     kinds, keys = dict(maps.dtypes), list(keys)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_tile", ascending=not backwards)
-        state, out = first(pdf["value"].iloc[0]) if callable(first) else first, []
-        for value in pdf["value"]:
-            out.append(state)
-            state = step(state, value)
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "_tile": pdf["_tile"], "state": out})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for batch in batches:
+            out = []
+            for key, value in zip(zip(*(batch[k] for k in keys)), batch["value"]):
+                if key != last:
+                    last, state = key, first(value) if callable(first) else first
+                out.append(state)
+                state = step(state, value)
+            yield batch[[*keys, "_tile"]].assign(state=pd.Series(out, index=batch.index, dtype=object))
 
-    return maps.groupBy(*keys).applyInPandas(fold, f"{''.join(f'{k} {kinds[k]}, ' for k in keys)}_tile bigint, state {kind}")
+    tiles = F.col("_tile").desc() if backwards else F.col("_tile")
+    return maps.repartition(*keys).sortWithinPartitions(*keys, tiles).mapInPandas(run, f"{''.join(f'{k} {kinds[k]}, ' for k in keys)}_tile bigint, state {kind}")
 
 
 def worked(tiled: DataFrame, states: DataFrame, keys, work: Callable, schema: str) -> DataFrame:
-    """What `work(rows in order, the tile's row of states)` gives for each tile."""
-    by = [*keys, "_tile"]
-
-    def one(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        return work(rows.sort_values("_row"), state.iloc[0])
-
-    return tiled.groupBy(*by).cogroup(states.groupBy(*by)).applyInPandas(one, schema)
+    """What `work(rows in order, the tile's row of states)` gives for each tile; the columns
+    of the states differ from those of the rows."""
+    return each_tile(tiled.join(states, [*keys, "_tile"]), keys, lambda rows: work(rows, rows.iloc[0]), schema)
 
 
 # --- Viterbi over max-plus matrices ---------------------------------------------------

@@ -107,3 +107,13 @@ def test_gathered_sums_equal_rows():
         one.join(two)
         small = [s for t, s, _ in a + b if t <= 1]
         assert one.middle() == (float(np.median(small)) if small else 0.0) and one.like(three) == candidates.similar_sizes(a + b, c)
+
+
+def test_many_tiles_share_a_python_batch(spark):
+    tiled = spark.range(27_000).selectExpr("id div 9 AS k", "id % 9 AS _row", "id % 9 div 3 AS _tile", "id AS v")
+    sums = scans.of_tiles(tiled, ("k",), lambda pdf: [int(pdf["v"].sum())], "array<bigint>")
+    enters = scans.entering(sums, ("k",), lambda state, value: state + int(value[0]), 0, "bigint")
+    out = scans.worked(tiled, enters, ("k",), lambda rows, state: rows[["k", "v"]].assign(before=state["state"] + rows["v"].cumsum()), "k bigint, v bigint, before bigint")
+    for df in (sums, enters, out):  # a call for each tile was too slow
+        assert "FlatMap" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.v, r.before) for r in out.collect()} == {(v, sum(range(v // 9 * 9, v + 1))) for v in range(27_000)}
