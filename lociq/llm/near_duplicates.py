@@ -42,6 +42,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociq.llm.common import Scratch, text_or_empty
@@ -55,6 +56,8 @@ SKETCH, SKETCH_MATCHES, PARITY = 512, 430, 1024
 HUB_ROUNDS = 2
 #: Pairs under a posting beyond which it is split.
 SPLIT_PAIRS = 50_000
+#: Postings of a class that are looked through for an earlier meeting of a pair.
+HEAD = 12
 #: Pairs of a block, on average, in the confirmation of links.
 BLOCK_PAIRS = 20_000
 #: Bits of the bitmap that picks the documents to make sets of: 16 MB.
@@ -281,17 +284,29 @@ def collided(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(F.size(F.array_intersect("p_a", "p_b")) >= MATCHES).select("a", "b")
 
 
-def meeting(rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def met(rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): all pairs of different labels under a posting that may be similar. Of two
     rows with different labels one lies outside the posting's largest component, so only
-    such rows look for partners."""
+    such rows look for partners.
+
+    Alike sets share many postings; a pair is left to the least of them, as far as both
+    sides' `HEAD` least postings tell, so few pairs come twice. It meets there too: what
+    is under that posting goes by the sizes and labels of both alone, or the posting is
+    split and both are crowded."""
     key, numbers = ["posting", "size_class"], range((SKETCH + PARITY) // 64)
     rows = rows.select(*key, "away", "node", "n", "label", (F.col("label") == F.col("main")).alias("in_main"))
+    rows = rows.withColumn("head", F.slice(F.array_sort(F.collect_set("posting").over(W.partitionBy("node"))), 1, HEAD))  # a class's own postings
     rows = scratch.cut(rows.join(nodes.select("node", *(F.col("sketch")[i].alias(f"x{i}") for i in numbers)), "node"))
-    other = rows.select(*key, F.col("away").alias("away_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("in_main").alias("main_b"), *(F.col(f"x{i}").alias(f"y{i}") for i in numbers))
+    other = rows.select(*key, F.col("away").alias("away_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("in_main").alias("main_b"), F.col("head").alias("head_b"), *(F.col(f"x{i}").alias(f"y{i}") for i in numbers))
     once = F.expr("label <> label_b AND (main_b OR node > b) AND NOT (away AND away_b)")
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND {may_be_similar('x{}', 'y{}', percent)}")
-    return rows.where("NOT in_main").join(other, key).where(once & fits).select(F.col("node").alias("a"), "b").distinct()
+    first = F.expr("coalesce(array_min(array_intersect(head, head_b)) >= posting, true)")
+    return rows.where("NOT in_main").join(other, key).where(once & fits & first).select(F.col("node").alias("a"), "b")
+
+
+def meeting(rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs of `met`, each once."""
+    return met(rows, nodes, percent, scratch).distinct()
 
 
 def several(posts: DataFrame, labels: DataFrame | None) -> DataFrame:

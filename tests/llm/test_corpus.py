@@ -356,3 +356,23 @@ def test_collisions_are_counted(spark):
     pairs = spark.createDataFrame(list(wanted), "a bigint, b bigint")
     kept = {(r.a, r.b) for r in near_duplicates.collided(pairs, nodes).collect()}
     assert kept == {p for p, n in wanted.items() if n >= near_duplicates.MATCHES} and 0 < len(kept) < len(wanted)
+
+
+def test_a_pair_of_many_postings_meets_once(spark):
+    """Alike texts share most postings; their pairs are made once and not for each of these."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"x{k}" if k != i and rng.random() < 0.03 else w for k, w in enumerate(base)) for i in range(24)]
+    rows, sketches, wanted = [], [], set()
+    sets = [near_duplicates.shingles(t, 2, near_duplicates.WordHashes()) for t in texts]
+    for i, found in enumerate(sets):
+        sketches.append((i, near_duplicates.sketch(found).tolist()))
+        rows += [(int(p), c, c > 0, i, len(found), i, 0) for p in near_duplicates.signature(found) for c in (0, 1)]
+    nodes = spark.createDataFrame(sketches, "node bigint, sketch array<bigint>")
+    posted = spark.createDataFrame(rows, "posting bigint, size_class int, away boolean, node bigint, n bigint, label bigint, main bigint")
+    made = [(r.a, r.b) for r in near_duplicates.met(posted, nodes, 80, near_duplicates.Scratch(spark)).collect()]
+    for i in range(24):
+        for k in range(i):
+            if len(np.intersect1d(sets[i], sets[k])) * 100 >= 80 * len(np.union1d(sets[i], sets[k])):
+                wanted.add((i, k))
+    assert wanted and wanted <= {(max(p), min(p)) for p in made} and len(made) <= 1.2 * len(set(made))
