@@ -8,10 +8,14 @@ have there. Votes are rows, so a deep cluster is split by its columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.functions.dna import cigar_blocks, reverse_complement
+from lociq.functions.dna import reverse_complement
 from lociq.operators import aligner, alignments, calls, patterns, signals
 from lociq.operators.graph import cut
 
@@ -33,19 +37,98 @@ def medoids(reads: DataFrame, k: int = aligner.SEED, w: int = aligner.WINDOW) ->
     return facts.groupBy("cluster_id").agg(F.min(rank).alias("m")).select("cluster_id", F.col("m.read_id").alias("read_id"))
 
 
+def packed(*columns: np.ndarray) -> np.ndarray:
+    """One number for each row, alike where all columns are."""
+    key = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        c = c.astype(np.int64) - int(c.min())
+        span = int(c.max()) + 1
+        if int(key.max()) >= (1 << 62) // span:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * span + c
+    return key
+
+
+def cells(cigars: list[str], starts: np.ndarray, letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """row, column, rank and letter of all that the alignments have in a column or past it.
+    letters: those of all sequences, one after the other."""
+    text = np.frombuffer(" ".join(["", *cigars]).encode("utf-8"), np.uint8)
+    row = np.cumsum(text == 32) - 1
+    digit, op = (text >= 48) & (text < 58), np.isin(text, np.frombuffer(b"MIDNSHP=X", np.uint8))
+    ends = np.flatnonzero(op & np.concatenate([[False], digit[:-1]]))
+    size = np.zeros(len(ends), np.int64)
+    for back, ten in enumerate(10 ** k for k in range(18)):
+        at = np.maximum(ends - 1 - back, 0)
+        ends_on = digit[at] if not back else ends_on & digit[at]
+        if not ends_on.any():
+            break
+        size += np.where(ends_on, (text[at].astype(np.int64) - 48) * ten, 0)
+    kind, of = text[ends], row[ends]
+    is_ = lambda ops: np.isin(kind, np.frombuffer(ops, np.uint8))
+    on_read, on_ref = np.where(is_(b"MI=XSH"), size, 0), np.where(is_(b"MDN=X"), size, 0)
+
+    def before(spent: np.ndarray) -> np.ndarray:
+        sums = np.cumsum(spent) - spent
+        return sums - sums[np.searchsorted(of, of)]
+
+    read, ref, used = before(on_read), before(on_ref) + starts[of], is_(b"MID=X")
+    kind, of, size, read, ref = kind[used], of[used], size[used], read[used], ref[used]
+    inserted, deleted = kind == ord("I"), kind == ord("D")
+    if (~deleted & (size > 0) & (read + size > lengths[of])).any():
+        raise ValueError("an alignment is longer than its sequence")
+    block = np.repeat(np.arange(len(size)), size)
+    i = np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
+    column = np.where(inserted[block], ref[block] - 1, ref[block] + i)
+    place = (np.cumsum(lengths) - lengths)[of[block]] + read[block] + i
+    gap = deleted[block]
+    letter = np.where(gap, ord("-"), letters[np.where(gap, 0, place)] if len(letters) else ord("-"))
+    return of[block], column, np.where(inserted[block], i + 1, 0), letter
+
+
+#: Letters of reads, and of CIGARs, that a Python worker turns into cells at a time.
+LETTERS = 1 << 20
+
+
+def counted(aligned: DataFrame) -> DataFrame:
+    """(cluster_id, column, rank, base, n, own) of stretches of the rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = (batch["seq"].str.len() + batch["cigar"].str.len()).to_numpy()
+            for _, rows in batch.groupby(np.cumsum(sizes) // LETTERS, sort=False):
+                lengths = rows["seq"].str.len().to_numpy().astype(np.int64)
+                letters = np.frombuffer("".join(rows["seq"]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                of, column, rank, letter = cells(rows["cigar"].tolist(), rows["pos"].to_numpy(), letters, lengths)
+                if not len(of):
+                    continue
+                # Rows come sorted: a cluster is a stretch of them.
+                cluster = np.cumsum((rows["cluster_id"] != rows["cluster_id"].shift()).to_numpy())
+                key = packed(cluster[of], column, rank, letter)
+                if key.max() > 4 * len(key):
+                    key = np.unique(key, return_inverse=True)[1]
+                held = np.bincount(key)
+                kinds, first = np.flatnonzero(held), np.zeros(len(held), np.int64)
+                first[key] = np.arange(len(key))  # any one of a kind
+                first, n = first[kinds], held[kinds]
+                own = np.bincount(key[rows["own"].to_numpy().astype(bool)[of]], minlength=len(held))[kinds] > 0
+                bases = pd.Series(letter[first]).map({int(x): chr(x) for x in np.unique(letter)})
+                yield pd.DataFrame({"cluster_id": rows["cluster_id"].to_numpy()[of[first]], "column": column[first], "rank": rank[first], "base": bases, "n": n, "own": own})
+
+    kind = aligned.schema["cluster_id"].dataType.simpleString()
+    return aligned.mapInPandas(run, f"cluster_id {kind}, column bigint, rank int, base string, n bigint, own boolean")
+
+
 def votes(aligned: DataFrame) -> DataFrame:
     """(cluster_id, column, rank, base, n, own): how many members have a base in a column,
     or '-' for none; rank over 0 counts what is inserted past it. own: whether the medoid
     is one of them. aligned: (cluster_id, pos, cigar, seq, own), seq in the direction of
-    the target."""
-    rows = aligned.select("cluster_id", "own", F.split("seq", "").alias("letters"), cigar_blocks().alias("blocks"))
-    at = "b.ref_start + i AS column, 0 AS rank"
-    span = lambda n: f"sequence(0, cast({n} AS int) - 1)"
-    of = f"""CASE WHEN b.op IN ('M', '=', 'X') THEN transform({span('b.len')}, i -> struct({at}, letters[cast(b.read_start AS int) + i] AS base))
-        WHEN b.op = 'D' THEN transform({span('b.len')}, i -> struct({at}, '-' AS base))
-        WHEN b.op = 'I' THEN transform({span('b.len')}, i -> struct(b.ref_start - 1 AS column, i + 1 AS rank, letters[cast(b.read_start AS int) + i] AS base)) END"""
-    cells = rows.select("cluster_id", "own", F.explode(F.expr(f"flatten(transform(filter(blocks, b -> b.op NOT IN ('S', 'H', 'P', 'N')), b -> {of}))")).alias("c"))
-    return cells.select("cluster_id", "c.*", "own").groupBy("cluster_id", "column", "rank", "base").agg(F.count("*").alias("n"), F.max("own").alias("own"))
+    the target; what lacks a place, CIGAR or sequence has no vote.
+
+    Members of a cluster lie together, so that their bases are counted where they are and
+    only the counts are shuffled; a deep cluster may be parted, and its counts are added."""
+    rows = aligned.select("cluster_id", F.col("pos").cast("bigint").alias("pos"), "cigar", "seq", F.coalesce("own", F.lit(False)).alias("own")).dropna(subset=["pos", "cigar", "seq"])
+    dealt = rows.hint("rebalance", F.col("cluster_id")).sortWithinPartitions("cluster_id")
+    return counted(dealt).groupBy("cluster_id", "column", "rank", "base").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
 
 
 def elected(votes_: DataFrame) -> DataFrame:

@@ -187,3 +187,38 @@ def test_votes_are_worked_out_once(spark):
     out = assembly.elected(spark.createDataFrame(rows, kinds).mapInPandas(counted, kinds)).collect()
     assert sorted((r.column, r.rank, r.base) for r in out) == sorted((c, k, b) for c in range(20) for k, b in ((0, "A"), (1, "T")))
     assert seen.value == len(rows)
+
+
+def test_votes_equal_a_plain_count(spark, monkeypatch):
+    """All CIGAR operations, several clusters, texts in parts; few rows leave a part."""
+    import random
+    import re
+    from collections import Counter
+
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        ops = [(rng.randint(0, 12), rng.choice("MIDNSHP=X")) for _ in range(rng.randint(1, 8))]
+        length = sum(n for n, o in ops if o in "MI=XSH")
+        rows.append((i % 4, rng.randint(0, 9), "".join(f"{n}{o}" for n, o in ops), "".join(rng.choice("ACGTN") for _ in range(length)), rng.random() < 0.1))
+    rows += [(9, 0, "*", "ACGT", False), (9, 0, "", "", False), (9, None, "4M", "ACGT", False), (9, 0, "2M", None, True)]
+    n, own = Counter(), set()
+    for cluster, pos, cigar, seq, mine in rows:
+        if pos is None or seq is None:
+            continue
+        read, ref = 0, pos
+        for size, op in re.findall("([0-9]+)([A-Z=])", cigar):
+            for k in range(int(size)):
+                at = (ref + k, 0, seq[read + k]) if op in "M=X" else (ref + k, 0, "-") if op == "D" else (ref - 1, k + 1, seq[read + k]) if op == "I" else None
+                if at:
+                    n[cluster, *at] += 1
+                    if mine:
+                        own.add((cluster, *at))
+            read, ref = read + int(size) * (op in "MI=XSH"), ref + int(size) * (op in "MDN=X")
+    table = spark.createDataFrame(rows, "cluster_id bigint, pos bigint, cigar string, seq string, own boolean")
+    for letters in (1 << 20, 100):
+        monkeypatch.setattr(assembly, "LETTERS", letters)
+        got = {(r.cluster_id, r.column, r["rank"], r.base): (r.n, r.own) for r in assembly.votes(table).collect()}
+        assert got == {k: (v, k in own) for k, v in n.items()}
+    deep = table.where("cluster_id < 4").union(table.where("cluster_id < 4")).coalesce(1).sortWithinPartitions("cluster_id")
+    monkeypatch.setattr(assembly, "LETTERS", 1 << 20)
+    assert assembly.counted(deep).count() == len(n)
