@@ -16,9 +16,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in an edge; the component is its smallest node.
-    Labels spread along edges and then along labels, until none changes."""
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = cut(both.union(both.select("b", "a")).distinct())
+    Labels spread along edges and then along labels, until none changes. Edges need not
+    differ: each is kept once, lesser end first, before it is turned round, so that one
+    table of them is in a task's memory and not three."""
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
+    ends = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = ends.union(ends.where("a <> b").select("b", "a"))
     labels = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("component")).withColumnRenamed("a", "node"))
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
