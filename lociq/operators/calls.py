@@ -186,12 +186,14 @@ def adjacency_calls(ends: DataFrame, genotypes: DataFrame, min_alt_reads: int =
     sample, consensus_id, pattern_id, support, ord, chr, at, sv_type 3 or 4, forward,
     inserted, n_repeats); genotypes: (composite_id, sample, n_alt), the larger of both ends."""
     facts = F.struct("ord", "chr", "at", "sv_type", "forward")
-    whole = ends.groupBy("composite_id", "sample", "consensus_id", "pattern_id").agg(F.max("support").alias("support"), F.max(F.coalesce("inserted", F.lit(""))).alias("inserted"), F.array_sort(F.collect_list(facts)).alias("ends"), F.sum("n_repeats").alias("n_repeats"))
-    about = whole.groupBy("composite_id").agg(F.sum("n_repeats").alias("repeats"), F.array_sort(F.collect_set("consensus_id")).alias("consensus_ids"))
-    order = F.struct(-F.col("support"), "sample", "consensus_id", "pattern_id")
-    spoken = whole.where(F.size("ends") == 2).groupBy("composite_id").agg(F.min_by(F.struct("sample", "consensus_id", "pattern_id", "inserted", "ends"), order).alias("p")).select("composite_id", "p.*")
+    # Two ends are the least and the greatest: no list of any pattern's ends is gathered.
+    whole = ends.groupBy("composite_id", "sample", "consensus_id", "pattern_id").agg(F.max("support").alias("support"), F.max(F.coalesce("inserted", F.lit(""))).alias("inserted"), F.count("*").alias("n_ends"), F.min(facts).alias("first"), F.max(facts).alias("last"), F.sum("n_repeats").alias("n_repeats"))
+    order = F.when(F.col("n_ends") == 2, F.struct(-F.col("support"), "sample", "consensus_id", "pattern_id"))
+    speaker = F.min_by(F.struct("sample", "consensus_id", "pattern_id", "inserted", F.array("first", "last").alias("ends")), order)
+    about = whole.groupBy("composite_id").agg(F.sum("n_repeats").alias("repeats"), F.array_sort(F.collect_set("consensus_id")).alias("consensus_ids"), speaker.alias("p"))
+    spoken = about.where("composite_id IS NOT NULL AND p IS NOT NULL").select("composite_id", "repeats", "consensus_ids", "p.*")
     most = genotypes.groupBy("composite_id").agg(F.max("n_alt").alias("most_alt"))
-    df = spoken.join(about, "composite_id").join(most, "composite_id", "left")
+    df = spoken.join(most, "composite_id", "left")
     name = F.concat_ws(".", F.col("sample").cast("string"), F.col("consensus_id").cast("string"), F.col("pattern_id").cast("string"))
     df = df.withColumns({"name": name, "n": F.length("inserted")}).withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1))))
     df = df.withColumns({"e": F.expr("ends[_k]"), "mate": F.expr("ends[1 - _k]")})

@@ -222,3 +222,15 @@ def test_votes_equal_a_plain_count(spark, monkeypatch):
     deep = table.where("cluster_id < 4").union(table.where("cluster_id < 4")).coalesce(1).sortWithinPartitions("cluster_id")
     monkeypatch.setattr(assembly, "LETTERS", 1 << 20)
     assert assembly.counted(deep).count() == len(n)
+
+
+def test_adjacency_calls_gather_no_ends(spark):
+    """A pattern of many ends costs its task two of them; it never speaks, nor does one end or no composite."""
+    kinds = "composite_id bigint, sample string, consensus_id bigint, pattern_id bigint, support double, ord bigint, chr bigint, at bigint, sv_type int, forward boolean, inserted string, n_repeats bigint"
+    row = lambda composite, pattern, support, ord_, at: (composite, "s", 1, pattern, support, ord_, 1, at, 4, True, None, 0)
+    rows = [row(1, 10, 9.0, k, 100 + k) for k in range(500)] + [row(1, 11, 3.0, 2, 70), row(1, 11, 3.0, 1, 50), row(1, 12, 8.0, 1, 5), row(2, 13, 9.0, 1, 5)]
+    rows += [row(3, 14, 1.0, 1, 20), row(3, 14, 1.0, 1, 20), row(None, 15, 1.0, 1, 30), row(None, 15, 1.0, 2, 40)]
+    ends = spark.createDataFrame(rows, kinds)
+    out = calls.adjacency_calls(ends, ends.groupBy("composite_id", "sample").agg(F.max("support").alias("n_alt")))
+    assert sorted((r.composite_id, r.call_id, r.start) for r in out.collect()) == [(1, "s.1.11.0", 50), (1, "s.1.11.1", 70), (3, "s.1.14.0", 20), (3, "s.1.14.1", 20)]
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
