@@ -29,7 +29,11 @@ def in_tiles(df: DataFrame, keys, order, rows: int = ROWS) -> DataFrame:
 
 def each_tile(df: DataFrame, keys, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """What `work(rows in order)` gives for each tile. Rows come sorted, so many tiles share
-    a Python batch, and only the tile that a batch ends in waits for the next one."""
+    a Python batch, and only the tile that a batch ends in waits for the next one.
+
+    Rows are dealt by a struct of the keys, which no join below is dealt by: a deal like a
+    join's own is taken for done, and once the join turns into a broadcast while it runs,
+    its rows stay where they were read, and a tile in several tasks."""
     by = [*keys, "_tile"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,7 +49,7 @@ def each_tile(df: DataFrame, keys, work: Callable[[pd.DataFrame], pd.DataFrame],
         if waiting:
             yield work(waiting[0])
 
-    return df.repartition(*by).sortWithinPartitions(*by, "_row").mapInPandas(run, schema)
+    return df.repartition(F.struct(*by)).sortWithinPartitions(*by, "_row").mapInPandas(run, schema)
 
 
 def of_tiles(tiled: DataFrame, keys, work: Callable[[pd.DataFrame], list], kind: str) -> DataFrame:
@@ -77,7 +81,7 @@ def entering(maps: DataFrame, keys, step: Callable, first, kind: str, backwards:
             yield batch[[*keys, "_tile"]].assign(state=pd.Series(out, index=batch.index, dtype=object))
 
     tiles = F.col("_tile").desc() if backwards else F.col("_tile")
-    return maps.repartition(*keys).sortWithinPartitions(*keys, tiles).mapInPandas(run, f"{''.join(f'{k} {kinds[k]}, ' for k in keys)}_tile bigint, state {kind}")
+    return maps.repartition(F.struct(*keys)).sortWithinPartitions(*keys, tiles).mapInPandas(run, f"{''.join(f'{k} {kinds[k]}, ' for k in keys)}_tile bigint, state {kind}")
 
 
 def worked(tiled: DataFrame, states: DataFrame, keys, work: Callable, schema: str) -> DataFrame:

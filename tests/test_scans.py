@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lociq.operators import candidates, coverage, scans
+from lociq.operators.graph import cut
 
 
 def plain_path(observed, median):
@@ -117,3 +119,18 @@ def test_many_tiles_share_a_python_batch(spark):
     for df in (sums, enters, out):  # a call for each tile was too slow
         assert "FlatMap" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r.v, r.before) for r in out.collect()} == {(v, sum(range(v // 9 * 9, v + 1))) for v in range(27_000)}
+
+
+def test_a_tile_stays_whole_where_its_join_turns_into_a_broadcast(spark):
+    """A join planned by merging takes the rows' deal over; what it turns into does not deal."""
+    tiled = cut(spark.range(0, 2000, 1, 8).selectExpr("id % 4 AS k", "id % 20 div 4 * 100 + id div 20 AS _row", "id % 20 div 4 AS _tile"))
+    states = cut(tiled.groupBy("k", "_tile").agg({"*": "count"}).withColumnRenamed("count(1)", "state"))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    for name, value in zip(names, ("-1", "10MB", "false")):
+        spark.conf.set(name, value)
+    try:
+        out = scans.worked(tiled, states, ("k",), lambda rows, state: pd.DataFrame({"n": [len(rows)], "state": [state["state"]], "first": [rows["_row"].iloc[0] % 100]}), "n bigint, state bigint, first bigint")
+        assert [tuple(r) for r in out.collect()] == [(100, 100, 0)] * 20
+    finally:
+        for name in names:
+            spark.conf.unset(name)
