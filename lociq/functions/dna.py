@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 
 def reverse_complement(s: Column | str) -> Column:
@@ -20,26 +23,98 @@ def gc_fraction(s: Column | str) -> Column:
     return F.when(F.length(s) > 0, F.length(F.regexp_replace(s, "[^GCgc]", "")) / F.length(s))
 
 
-def kmer_counts(df: DataFrame, id_col: str, seq_col: str, k: int = 9) -> DataFrame:
-    """(id, kmer, n): canonical k-mers, the lesser of a word and its complement."""
-    # A place in text is found by a walk from its start; one in bytes is not, so that a long
-    # sequence is no square. The bytes are named, since each reading of a column copies it.
-    letters, byte = f"`{seq_col}`", named(f"cast(`{seq_col}` AS binary)", "d", f"transform(sequence(1, length(d) - {k - 1}), i -> cast(substring(d, i, {k}) AS string))")
-    walked = f"transform(sequence(1, length({letters}) - {k - 1}), i -> substring({letters}, i, {k}))"
-    word = F.explode(F.expr(f"CASE WHEN octet_length({letters}) = length({letters}) THEN {byte} ELSE {walked} END")).alias("word")
-    words = df.where(F.length(seq_col) >= k).select(id_col, word)
-    return words.groupBy(id_col, F.least("word", complement(F.col("word"))).alias("kmer")).agg(F.count("*").alias("n"))
+#: Words of a batch that a task gives out.
+WORDS = 1 << 16
+
+
+def sources(df: DataFrame, id_col: str, seq_col: str, k: int = 9) -> DataFrame:
+    """(id, seqs): the bytes of each id's sequences that hold a word, a row an id. Words are
+    counted where their sequences lie; what is shuffled is a byte a base, not a row a word."""
+    return df.where(F.length(seq_col) >= k).groupBy(id_col).agg(F.collect_list(F.col(seq_col).cast("binary")).alias("seqs"))
+
+
+COMPLEMENT = np.arange(0x110000, dtype=np.uint32)
+for _a, _b in zip("ACGTacgt", "TGCAtgca"):
+    COMPLEMENT[ord(_a)] = ord(_b)
 
 
-def kmer_similarity(counts: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
+def words_of(seqs: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, n, letters): the canonical k-mers of one id's sequences, as whole numbers whose
+    digits are places among the letters (code points), and how often each comes. They go up as the words do."""
+    points = [np.frombuffer(s, np.uint8) if s.isascii() else np.frombuffer(s.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for s in seqs]
+    held = np.unique(np.concatenate([np.unique(p) for p in points]).astype(np.uint32))
+    letters = np.unique(np.concatenate([held, COMPLEMENT[held]]))
+    digits = np.zeros(int(letters[-1]) + 1, np.int64 if len(letters) ** k < 1 << 62 else object)
+    digits[letters] = np.arange(len(letters))
+    other = digits[COMPLEMENT[letters]]
+    found = []
+    for p in points:
+        n = max(0, len(p) - k + 1)
+        own = digits[p]
+        ahead, turned = (np.zeros(n, digits.dtype) for _ in range(2))
+        for j in range(k):
+            piece = own[j : j + n]
+            ahead, turned = ahead * len(letters) + piece, turned * len(letters) + other[piece.astype(np.int64)]
+        found.append(np.minimum(ahead, turned))
+    return *np.unique(np.concatenate(found), return_counts=True), letters
+
+
+def spelt(words: np.ndarray, letters: np.ndarray, k: int) -> pa.Array:
+    """The words as strings."""
+    places, rest = np.zeros((len(words), k), np.int64), words
+    for j in range(k - 1, -1, -1):
+        places[:, j], rest = rest % len(letters), rest // len(letters)
+    points = letters[places]
+    if letters[-1] < 128:
+        return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.arange(0, (len(words) + 1) * k, k, dtype=np.int32)), pa.py_buffer(points.astype(np.uint8).tobytes()))
+    return pa.array([row.tobytes().decode("utf-32-le") for row in points.astype(np.uint32)], pa.string())
+
+
+def kmer_counts(df: DataFrame, id_col: str, seq_col: str, k: int = 9) -> DataFrame:
+    """(id, kmer, n): canonical k-mers, the lesser of a word and its complement."""
+    rows = sources(df, id_col, seq_col, k)
+
+    def run(batches):
+        for batch in batches:
+            ids, out, held = batch.column(id_col), [], 0
+            for i in range(len(batch)):
+                words, n, letters = words_of(batch.column("seqs")[i].as_py(), k)
+                for at in range(0, len(words), WORDS):
+                    some = words[at : at + WORDS]
+                    out.append((np.full(len(some), i), spelt(some, letters, k), n[at : at + WORDS]))
+                    held += len(some)
+                if out and (held >= WORDS or i == len(batch) - 1):
+                    of, kmers, n_ = zip(*out)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(of))), pa.concat_arrays(kmers), pa.array(np.concatenate(n_))], [id_col, "kmer", "n"])
+                    out, held = [], 0
+
+    return rows.mapInArrow(run, StructType([rows.schema[id_col], StructField("kmer", StringType()), StructField("n", LongType())]))
+
+
+def shared_share(a: list, b: list, k: int) -> float:
+    """Shared k-mers over the k-mers of the side with fewer distinct ones, the first in a tie."""
+    (x, n, of_x), (y, m, of_y) = words_of(a, k), words_of(b, k)
+    if not np.array_equal(of_x, of_y):  # letters differ: by their spelling
+        x, y = (np.array(spelt(*side, k).to_pylist(), dtype=object) for side in ((x, of_x), (y, of_y)))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum()) / int(n.sum() if len(x) <= len(y) else m.sum())
+
+
+def kmer_similarity(counts: DataFrame, pairs: DataFrame, id_col: str, k: int = 9) -> DataFrame:
     """(a, b, similarity): shared k-mers over the k-mers of the side with fewer distinct
-    ones, the first in a tie (A14). Pairs with an empty side are 0."""
-    totals = counts.groupBy(id_col).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
-    left, right = counts.select(F.col(id_col).alias("a"), "kmer", F.col("n").alias("na")), counts.select(F.col(id_col).alias("b"), "kmer", F.col("n").alias("nb"))
-    shared = pairs.join(left, "a").join(right, ["b", "kmer"]).groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("shared"))
-    sized = pairs.join(totals.selectExpr(f"{id_col} AS a", "total AS ta", "distinct AS da"), "a", "left").join(totals.selectExpr(f"{id_col} AS b", "total AS tb", "distinct AS db"), "b", "left")
-    smaller = F.when(F.col("da") <= F.col("db"), F.col("ta")).otherwise(F.col("tb"))
-    return sized.join(shared, ["a", "b"], "left").select("a", "b", F.coalesce(F.coalesce("shared", F.lit(0)) / smaller, F.lit(0.0)).alias("similarity"))
+    ones, the first in a tie (A14). Pairs with an empty side are 0. counts: the `sources` of
+    the ids; a pair's two are counted where they meet."""
+    side = lambda name: counts.select(F.col(id_col).alias(name), F.col("seqs").alias(f"seqs_{name}"))
+    met = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "seqs_a", "seqs_b")
+    kinds = pairs.select("a", "b").schema
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("seqs_a"), batch.column("seqs_b")
+            share = [shared_share(x.as_py(), y.as_py(), k) if x.is_valid and y.is_valid else 0.0 for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], ["a", "b", "similarity"])
+
+    return met.mapInArrow(run, StructType([*kinds, StructField("similarity", DoubleType())]))
 
 
 def once(column: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociq.functions.dna import gc_fraction, kmer_counts, kmer_similarity
+from lociq.functions.dna import gc_fraction, kmer_similarity, sources
 from lociq.operators.graph import components
 from lociq.operators.intervals import range_join
 
@@ -119,7 +119,7 @@ def complexity_tolerance(variants: DataFrame, tracks: str = "tracks") -> DataFra
 
 def _like_contexts(pairs: DataFrame, contexts: DataFrame, least: float) -> DataFrame:
     """Pairs whose sequence contexts share enough k-mers; none without a context."""
-    counts = kmer_counts(contexts, "composite_id", "seq")
+    counts = sources(contexts, "composite_id", "seq")
     both = pairs.join(contexts.select(F.col("composite_id").alias("a")).distinct(), "a", "left_semi").join(contexts.select(F.col("composite_id").alias("b")).distinct(), "b", "left_semi")
     return kmer_similarity(counts, both.select("a", "b"), "composite_id").where(F.col("similarity") >= least).select("a", "b")
 

@@ -448,7 +448,7 @@ def kmer_similarity(spark, d):
     rows = view(spark, d, "v_dna")
     ids = rows.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
     pairs = ids.join(rows.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
-    return rounded(dna.kmer_similarity(dna.kmer_counts(rows, "doc_id", "seq"), pairs, "doc_id"), "similarity")
+    return rounded(dna.kmer_similarity(dna.sources(rows, "doc_id", "seq"), pairs, "doc_id"), "similarity")
 
 
 @query("SELECT doc_id, reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) AS rc, CASE WHEN length(seq) > 0 THEN round((length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / CAST(length(seq) AS DOUBLE), 6) END AS gc FROM v_dna")

@@ -98,3 +98,27 @@ def test_composites_of_two_consensuses_stay_apart_under_one_number(spark, tmp_pa
     rows = [("p", "s", 1, None, [1]), ("q", "s", 1, 2.5, [1, 2]), ("p", "s", 2, None, None), ("r", "s", 2, -1.0, [])]
     found = patterns.horizontal(spark.createDataFrame(rows, "pattern_id string, sample string, consensus_id bigint, signed_size double, repeat_ids array<bigint>"))
     assert sorted((tuple(r) for r in found.collect()), key=str) == [("p", 2.5, 2, "INS"), ("p", None, 1, "DEL"), ("r", -1.0, 1, "DEL")]
+
+
+def test_shared_words_are_counted_without_a_row_a_word(spark):
+    from lociq.functions import dna
+
+    rows = [(1, "ACGTACGTACGGTTTGCAACC"), (1, "ACGTTTGCAACCA"), (2, "ACGTACGTACGGTTTGCAANN"), (3, "ACGT"), (4, "日日ACGTACGTACéé"), (5, None), (6, "acgtacgtacggtttgcaacc")]
+    held = {}
+    for i, s in rows:
+        for at in range(len(s or "") - 8):
+            word = s[at : at + 9]
+            key = min(word, word.translate(str.maketrans("ACGTacgt", "TGCAtgca")))
+            held.setdefault(i, {})[key] = held.setdefault(i, {}).get(key, 0) + 1
+    asked = [(a, b) for a in range(1, 8) for b in range(1, 8) if a != b]
+    wanted = {}
+    for a, b in asked:
+        x, y = held.get(a, {}), held.get(b, {})
+        less = x if len(x) <= len(y) else y
+        wanted[a, b] = sum(min(n, y.get(w, 0)) for w, n in x.items()) / sum(less.values()) if x and y else 0.0
+    table = spark.createDataFrame(rows, "i bigint, s string")
+    out = dna.kmer_similarity(dna.sources(table, "i", "s"), spark.createDataFrame(asked, "a bigint, b bigint"), "i")
+    assert {(r.a, r.b): r.similarity for r in out.collect()} == wanted
+    assert out.schema.simpleString() == "struct<a:bigint,b:bigint,similarity:double>"
+    for df in (out, dna.kmer_counts(table, "i", "s")):
+        assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
