@@ -113,6 +113,16 @@ def complexity_tolerance(variants: DataFrame, tracks: str = "tracks") -> DataFra
     reference for deletions; 1 for other types, 0 without any complexity."""
     total = F.expr(f"aggregate(transform({tracks}, t -> aggregate(t, 0D, (s, x) -> s + x)), 0D, (s, x) -> s + x)")
     length = F.expr(f"aggregate(transform({tracks}, t -> size(t)), 0, (s, x) -> s + x)")
+    return _with_tolerance(variants, total, length)
+
+
+def summed_tolerance(variants: DataFrame, total: str = "total", length: str = "length") -> DataFrame:
+    """complexity_tolerance of composites whose tracks stand as their sums and lengths, added
+    up, so that no task holds all tracks of a composite."""
+    return _with_tolerance(variants, F.col(total), F.col(length))
+
+
+def _with_tolerance(variants: DataFrame, total: Column, length: Column) -> DataFrame:
     mean = F.when(F.coalesce(total, F.lit(0.0)) == 0, 0.0).otherwise(total / length)
     return variants.withColumn("size_tolerance", F.when(F.col("svtype").isin("INS", "INV", "INV-DEL", "INV-DUP", "DEL"), mean).otherwise(1.0))
 

@@ -355,9 +355,10 @@ def read_set_counts(spark, d):
 @query()
 def size_tolerances(spark, d):
     """Composites of one track each; a test holds the weighted means against plain ones."""
-    tracks = statistics.complexity_track(view(spark, d, "v_dna")).select(F.expr("doc_id % 40").alias("composite_id"), "track").groupBy("composite_id").agg(F.collect_list("track").alias("tracks"))
-    typed = tracks.withColumn("svtype", F.expr("CASE composite_id % 3 WHEN 0 THEN 'INS' WHEN 1 THEN 'DEL' ELSE 'BND' END"))
-    return rounded(calls.complexity_tolerance(typed), "size_tolerance").select("composite_id", "svtype", "size_tolerance")
+    tracks = statistics.complexity_track(view(spark, d, "v_dna").select("doc_id", "seq")).select(F.expr("doc_id % 40").alias("composite_id"), F.expr("aggregate(track, 0D, (s, x) -> s + x)").alias("total"), F.size("track").alias("length"))
+    sums = tracks.groupBy("composite_id").agg(F.sum("total").alias("total"), F.sum("length").alias("length"))
+    typed = sums.withColumn("svtype", F.expr("CASE composite_id % 3 WHEN 0 THEN 'INS' WHEN 1 THEN 'DEL' ELSE 'BND' END"))
+    return rounded(calls.summed_tolerance(typed), "size_tolerance").select("composite_id", "svtype", "size_tolerance")
 
 
 ENDS = "SELECT l_orderkey AS composite_id, l_linenumber % 3 AS chr, l_partkey * 40 AS s, l_partkey * 40 + l_suppkey % 7 AS e FROM {0} WHERE l_linenumber <= 2"

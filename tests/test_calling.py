@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociq.operators import candidates, clustering, coverage, genotypes, patterns
+from lociq.operators import calls, candidates, clustering, coverage, genotypes, patterns
 
 
 def by_hand(n, k, cn):
@@ -189,3 +189,15 @@ def test_many_containers_are_clustered_as_one_by_one(spark):
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     got = found.toPandas().sort_values("read_id").groupby("container_id")["cluster"].agg(list).to_dict()
     assert got == {c: alone(*x) for c, x in made.items()}
+
+
+def test_tolerances_gather_no_tracks(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["size_tolerances"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(1, "INS", [[0.5, 0.25], [1.0]]), (2, "DEL", [[], [0.0]]), (3, "BND", [[0.5]]), (4, "INS", [[]])]
+    table = spark.createDataFrame(rows, "composite_id bigint, svtype string, tracks array<array<double>>")
+    sums = spark.createDataFrame([(i, t, float(sum(map(sum, x))), sum(map(len, x))) for i, t, x in rows], "composite_id bigint, svtype string, total double, length bigint")
+    held = lambda df: {r.composite_id: r.size_tolerance for r in df.collect()}
+    assert held(calls.summed_tolerance(sums)) == held(calls.complexity_tolerance(table)) == {1: 1.75 / 3, 2: 0.0, 3: 1.0, 4: 0.0}
