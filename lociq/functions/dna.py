@@ -14,6 +14,14 @@ def reverse_complement(s: Column | str) -> Column:
     return F.reverse(F.translate(s, "ACGTacgt", "TGCAtgca"))
 
 
+TURNED = str.maketrans("ACGTacgt", "TGCAtgca")
+
+
+def turned(seq: str) -> str:
+    """reverse_complement of one sequence."""
+    return seq.translate(TURNED)[::-1]
+
+
 def complement(s: Column) -> Column:
     return F.translate(s, "ACGTacgt", "TGCAtgca")
 

@@ -3,12 +3,14 @@ primitives, patterns, composites and calls in one plan, with an audit (G11, G13,
 
 Members of a cluster are aligned to its medoid only; every aligned base votes for its
 column, or, where it is inserted, for a rank past one; a column takes what most members
-have there. Votes are rows, so a deep cluster is split by its columns.
+have there. One task does all of this for a cluster; a deep one's seeds and votes are rows,
+so it is split by its columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -142,11 +144,9 @@ def elected(votes_: DataFrame) -> DataFrame:
     return kept.where("(rank = 0 AND base <> '-') OR (rank > 0 AND 2 * n > coalesce(cover, 0))").select("cluster_id", "column", "rank", "base")
 
 
-def consensuses(reads: DataFrame, least: int = LEAST_READS, **how) -> DataFrame:
-    """(cluster_id, sequence, medoid, members): the voted sequence of each cluster, in the
-    direction of its medoid (G11). A cluster of fewer reads is its medoid's sequence. Reads
-    that do not align to the medoid have no vote; how: as `aligner.align` takes it."""
-    reads = cut(reads.select("cluster_id", "read_id", F.upper("seq").alias("seq")))
+def voted_by_rows(reads: DataFrame, least: int = LEAST_READS, **how) -> DataFrame:
+    """`consensuses` with seeds and votes as rows, so that a cluster is as many tasks as it
+    asks for."""
     central = cut(medoids(reads).join(reads, ["cluster_id", "read_id"]).withColumnRenamed("read_id", "medoid"))
     sizes = reads.groupBy("cluster_id").agg(F.count("*").alias("members"))
     many = sizes.where(F.col("members") >= least).select("cluster_id")
@@ -161,6 +161,163 @@ def consensuses(reads: DataFrame, least: int = LEAST_READS, **how) -> DataFrame:
     return spelt.join(central.select("cluster_id", "medoid"), "cluster_id").join(sizes, "cluster_id")
 
 
+#: Letters of a cluster up to which one task has it.
+DEEP = 1 << 26
+
+
+def seeds_of(seq: str, k: int, w: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`aligner.minimisers` of one sequence: (hash, at, forward)."""
+    found = [aligner.minimisers_of(seq[t : t + size + k + w - 2], k, w) for t in range(0, len(seq), size)]
+    value, at, forward = (np.concatenate(x) for x in ([f[0] for f in found], [f[1] + t * size for t, f in enumerate(found)], [f[2] for f in found]))
+    at, first = np.unique(at, return_index=True)
+    return value[first], at, forward[first]
+
+
+def best_chain(asked, length: int, known, k: int, band: int, unseeded: int, gap: int, least: int):
+    """(r_low, r_high, forward, q, r): the first of `aligner.chosen` of a query's chains on
+    one target, or None. asked: seeds of the query; known: those of the target, by hash."""
+    value, at, forward = asked
+    low, high = np.searchsorted(known[0], value, "left"), np.searchsorted(known[0], value, "right")
+    of = np.repeat(np.arange(len(value)), high - low)
+    there = np.arange(len(of)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[of]
+    same, r_all = forward[of] == known[2][there], known[1][there]
+    q_all, best = np.where(same, at[of], length - k - at[of]), None
+    for way in (False, True):
+        q, r = q_all[same == way], r_all[same == way]
+        if len(q) < least:
+            continue
+        order = np.lexsort((r, r - q))
+        q, r = q[order], r[order]
+        group = np.concatenate([[0], np.cumsum(np.diff(r - q) > band)])
+        order = np.lexsort((q, r, group))
+        q, r, group = q[order], r[order], group[order]
+        on_r, on_q = np.diff(r), np.abs(np.diff(q))
+        apart = (np.minimum(on_r, on_q) > unseeded) | (on_r > gap) | (np.diff(group) > 0)
+        edges = [0, *(np.flatnonzero(apart) + 1), len(q)]
+        for number, (i, j) in enumerate(zip(edges, edges[1:])):
+            n = len(np.unique(q[i:j]))
+            if n >= least:
+                first, last = int(q[i:j].min()), int(q[i:j].max()) + k
+                span = (first, last) if way else (length - last, length - first)
+                rank = (-n, int(r[i]), way, *span, number)
+                if best is None or rank < best[0]:
+                    best = rank, (int(r[i]), int(r[j - 1]), way, q[i:j], r[i:j])
+    return best and best[1]
+
+
+def spelt(of, column, rank, letter, own) -> dict[int, str]:
+    """`elected` of cells, as the sequence of each cluster number."""
+    key = packed(of, column, rank, letter)
+    _, first, where, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    own = np.bincount(where, weights=own) > 0
+    of, column, rank, letter = of[first], column[first], rank[first], letter[first].astype(np.int64)
+    fresh = lambda *by: np.flatnonzero(np.concatenate([[True], np.any([np.diff(x) != 0 for x in by], axis=0)]))
+    starts = fresh(of, column, rank)
+    place = np.repeat(np.arange(len(starts)), np.diff([*starts, len(of)]))
+    best = np.lexsort((-letter, own, n, place))[np.append(starts[1:], len(of)) - 1]  # the last of each place
+    of, column, rank, letter, n = of[starts], column[starts], rank[starts], letter[best], np.add.reduceat(n, starts)
+    columns = fresh(of, column)
+    cover = np.repeat(np.where(rank[columns] == 0, n[columns], 0), np.diff([*columns, len(of)]))
+    kept = np.where(rank == 0, letter != ord("-"), 2 * n > cover)
+    of, letter = of[kept], letter[kept]
+    clusters = fresh(of) if len(of) else []
+    return {int(of[i]): letter[i:j].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(clusters, [*clusters[1:], len(of)])}
+
+
+def voted(
+    clusters: list[pd.DataFrame], fewest: int, k: int = aligner.SEED, w: int = aligner.WINDOW, most: int = aligner.MOST_PLACES, size: int = aligner.TILE,
+    band: int = aligner.BAND, unseeded: int = aligner.UNSEEDED, gap: int = aligner.GAP, least: int = aligner.LEAST_SEEDS,
+) -> list[tuple]:
+    """(cluster's number, sequence, medoid, members) of clusters (read_id, seq): all that
+    `voted_by_rows` does, where the reads lie."""
+    from lociq.functions.dna import turned
+
+    about, chains, alignments_ = [], [], []
+    for number, rows in enumerate(clusters):
+        ids, seqs = rows["read_id"].tolist(), rows["seq"].tolist()
+        lengths = [len(s) for s in seqs if s is not None]
+        middle, usual = float(np.median(lengths)) if lengths else 0.0, [seeds_of(s, aligner.SEED, aligner.WINDOW, aligner.TILE) if s else None for s in seqs]
+        own = [np.unique(x[0]) if x is not None else np.zeros(0, np.int64) for x in usual]
+        hashes, held = np.unique(np.concatenate(own), return_counts=True) if own else (None, None)
+        mean = [int(held[np.searchsorted(hashes, x)].sum()) / len(x) if len(x) else 0.0 for x in own]
+        ranks = [(-mean[i], abs(len(s) - middle), ids[i], i) for i, s in enumerate(seqs) if s]
+        if not ranks:
+            continue
+        medoid = min(ranks)[3]
+        target, plain = seqs[medoid], (k, w, size) == (aligner.SEED, aligner.WINDOW, aligner.TILE)
+        about.append((number, ids[medoid], len(rows)))
+        alignments_.append((number, 0, f"{len(target)}M", target, True))
+        if len(rows) < fewest:
+            continue
+        value, at, forward = usual[medoid] if plain else seeds_of(target, k, w, size)
+        order = np.argsort(value, kind="stable")
+        _, of, times = np.unique(value[order], return_inverse=True, return_counts=True)
+        order = order[times[of] <= most]
+        known = value[order], at[order], forward[order]
+        for i, seq in enumerate(seqs):
+            if i == medoid or not seq or len(seq) < k:
+                continue
+            found = best_chain(usual[i] if plain else seeds_of(seq, k, w, size), len(seq), known, k, band, unseeded, gap, least)
+            if found:
+                r_low, r_high, way, q, r = found
+                reach = min(len(seq), aligner.TAIL) + k + aligner.PIECE_BAND
+                begin = max(r_low - reach, 0)
+                chains.append((number, begin, (seq if way else turned(seq), target[begin : r_high + reach], q, r - begin, k)))
+    for i in range(0, len(chains), 256):
+        some = chains[i : i + 256]
+        for (number, begin, row), (at_, cigar, _) in zip(some, aligner.align_chains([x[2] for x in some])):
+            alignments_.append((number, begin + at_, cigar, row[0], False))
+    if not about:
+        return []
+    numbers, starts, cigars, seqs, own = zip(*alignments_)
+    letters = np.frombuffer("".join(seqs).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of, column, rank, letter = cells(list(cigars), np.array(starts, np.int64), letters, np.array([len(x) for x in seqs], np.int64))
+    sequences = spelt(np.array(numbers)[of], column, rank, letter, np.array(own)[of])
+    return [(number, sequences[number], medoid, n) for number, medoid, n in about if number in sequences]
+
+
+def consensuses(reads: DataFrame, least: int = LEAST_READS, deep: int = DEEP, **how) -> DataFrame:
+    """(cluster_id, sequence, medoid, members): the voted sequence of each cluster, in the
+    direction of its medoid (G11). A cluster of fewer reads is its medoid's sequence. Reads
+    that do not align to the medoid have no vote; how: as `aligner.align` takes it.
+
+    A cluster's reads are shuffled once, to the task that does all that is asked of them;
+    clusters past `deep` letters, and those with letters past ASCII, go by rows."""
+    reads = cut(reads.select("cluster_id", "read_id", F.upper("seq").alias("seq")).where("cluster_id IS NOT NULL"))
+    large = cut(reads.groupBy("cluster_id").agg(F.sum(F.length("seq")).alias("n"), F.max(F.octet_length("seq") > F.length("seq")).alias("odd")).where((F.col("n") > deep) | F.col("odd")).select("cluster_id"))
+    parted = bool(large.head(1))
+    own = reads.join(large, "cluster_id", "left_anti") if parted else reads
+    kinds = dict(reads.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, held, letters = None, [], 0
+
+        def done() -> pd.DataFrame:
+            rows = voted(held, least, **how)
+            names = ["cluster_id", "sequence", "medoid", "members"]
+            return pd.DataFrame([(held[i]["cluster_id"].iloc[0], *rest) for i, *rest in rows], columns=names)
+
+        for batch in chain(batches, [None]):  # at last what waits
+            rows = waiting if batch is None else batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            edges = [0, *(np.flatnonzero((rows["cluster_id"] != rows["cluster_id"].shift()).to_numpy()[1:]) + 1), *([len(rows)] if batch is None else [])]
+            for i, j in zip(edges, edges[1:]):
+                held.append(rows.iloc[i:j])
+                letters += sum(len(x) for x in rows["seq"].iloc[i:j] if x)
+                if letters >= LETTERS:
+                    yield done()
+                    held, letters = [], 0
+            waiting = rows.iloc[edges[-1] :]
+        if held:
+            yield done()
+
+    # By a struct: no join deals by it, so a cluster is whole in its task.
+    dealt = own.repartition(F.struct("cluster_id")).sortWithinPartitions("cluster_id")
+    out = dealt.mapInPandas(run, f"cluster_id {kinds['cluster_id']}, sequence string, medoid {kinds['read_id']}, members bigint")
+    return out.unionByName(voted_by_rows(cut(reads.join(large, "cluster_id", "left_semi")), least, **how)) if parted else out
+
+
 def primitives(consensus: DataFrame, contigs: DataFrame, min_signal: int = 30, min_break: int = 200, within: bool = True, **how) -> tuple[DataFrame, DataFrame]:
     """(signals, breaks) of consensuses realigned to their contigs.
 

@@ -234,3 +234,23 @@ def test_adjacency_calls_gather_no_ends(spark):
     out = calls.adjacency_calls(ends, ends.groupBy("composite_id", "sample").agg(F.max("support").alias("n_alt")))
     assert sorted((r.composite_id, r.call_id, r.start) for r in out.collect()) == [(1, "s.1.11.0", 50), (1, "s.1.11.1", 70), (3, "s.1.14.0", 20), (3, "s.1.14.1", 20)]
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_cluster_is_voted_where_its_reads_lie(spark):
+    """One task does what seeds and votes as rows do, with one shuffle of the reads."""
+    rng, rows = random.Random(11), []
+    for c in range(14):
+        whole = dna(rng, rng.choice((12, 300, 900))) * rng.choice((1, 1, 2))
+        for r in range(rng.choice((1, 2, 4, 7))):
+            seq = "".join(x for b in whole for x in ([b] if rng.random() > 0.03 else rng.choice(([], ["A"], [b, "G"]))))
+            if r == 3:
+                seq = seq[: len(seq) // 2] + dna(rng, 60) + seq[len(seq) // 2 :]
+            rows.append((c, r, seq[::-1].translate(TURN) if r % 2 else seq))
+    rows += [(20, 1, ""), (20, 2, None), (21, 1, None), (21, 2, "acgt"), (22, 1, "ACGéT"), (22, 2, "ACG"), (23, 1, "N" * 60), (23, 2, dna(rng, 60)), (23, 3, "")]
+    reads = spark.createDataFrame(rows, "cluster_id bigint, read_id bigint, seq string").repartition(3)
+    held = lambda df: {r.cluster_id: (r.sequence, r.medoid, r.members) for r in df.collect()}
+    how = {"size": 200, "k": 11, "w": 5}
+    here = held(assembly.consensuses(reads, **how))
+    assert here == held(assembly.consensuses(reads, deep=0, **how)) and {21, 22, 23} < here.keys() and 20 not in here
+    plain = assembly.consensuses(reads.where("cluster_id < 20"))
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
